@@ -43,39 +43,45 @@ def leaves(records: DataFrame) -> DataFrame:
     return records.withColumn("file", file).select("file", (F.row_number().over(order) - 1).cast("long").alias("idx"), "page_id", before.alias("start"), "size", "digest", "replica")
 
 
-def tree(bottom: DataFrame) -> list[DataFrame]:
-    """Levels (file, idx, start, end, digest) from the leaves to the root. Nodes of a file come first, then nodes over files.
+def _parent(kind: str) -> tuple[Column, Column]:
+    """File and idx of the node above: among a file's nodes, among files, or the root over the files that are left."""
+    by = lambda c: F.floor(F.col(c) / FANOUT).cast("long")
+    zero = F.lit(0).cast("long")
+    return {"file": (F.col("file"), by("idx")), "files": (by("file"), zero), "root": (zero, zero)}[kind]
+
+
+def tree(bottom: DataFrame) -> list[tuple[str, DataFrame]]:
+    """Levels (file, idx, start, end, digest) from the leaves to the root, each with how its nodes stand above the last
+    level's. Nodes of a file come first, then nodes over files.
 
     A level has a sixteenth of the rows of the one below, and each of its rows is made of 16 at most.
     """
     level = stored(bottom.select("file", "idx", "start", (F.col("start") + F.col("size")).alias("end"), "digest"), "merkle")
-    levels, upper = [level], False
+    levels = [("leaf", level)]
     while True:
-        n_files, n_idx = level.agg(F.max("file") - F.min("file"), F.max("idx")).first()
-        if n_files is None or n_files == 0 and n_idx == 0:
+        n_files, n_idx, n = level.agg(F.max("file") - F.min("file"), F.max("idx"), F.count("*")).first()
+        if n == 0 or levels[-1][0] == "root":
             return levels
-        upper = upper or n_idx == 0
-        file = F.floor(F.col("file") / FANOUT).cast("long") if upper else F.col("file")
-        idx = F.lit(0).cast("long") if upper else F.floor(F.col("idx") / FANOUT).cast("long")
+        kind = "file" if n_idx else "files" if n_files >= FANOUT else "root"
+        file, idx = _parent(kind)
         below = F.array_sort(F.collect_list(F.struct("file", "idx", "start", "end", "digest")))
         ranges = F.transform(below, lambda x: F.concat_ws(":", x["file"], x["idx"], x["start"], x["end"], x["digest"]))
-        level = stored(level.groupBy(file.alias("file"), idx.alias("idx")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sha2(F.concat_ws(",", ranges), 256).alias("digest")), "merkle")
-        level.upper = upper
-        levels.append(level)
+        level = level.groupBy(file.alias("up_file"), idx.alias("up_idx")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sha2(F.concat_ws(",", ranges), 256).alias("digest"))
+        level = stored(level.withColumnsRenamed({"up_file": "file", "up_idx": "idx"}), "merkle")
+        levels.append((kind, level))
 
 
-def audit(first: list[DataFrame], second: list[DataFrame]) -> DataFrame:
+def audit(first: list[tuple[str, DataFrame]], second: list[tuple[str, DataFrame]]) -> DataFrame:
     """The leaves (file, idx) that differ, with both digests (null where a replica lacks the record) and the first replica's range."""
     compare = lambda a, b: a.alias("a").join(b.alias("b"), ["file", "idx"], "full").where(~F.col("a.digest").eqNullSafe(F.col("b.digest"))).select("file", "idx", F.col("a.start").alias("start"), F.col("a.end").alias("end"), F.col("a.digest").alias("digest"), F.col("b.digest").alias("other_digest"))
-    if len(first) != len(second):  # trees of unlike height share no inner node
-        return compare(first[0], second[0])
-    differ = compare(first[-1], second[-1])
+    if [kind for kind, _ in first] != [kind for kind, _ in second]:  # trees of unlike height share no inner node
+        return compare(first[0][1], second[0][1])
+    differ = compare(first[-1][1], second[-1][1])
     for k in range(len(first) - 2, -1, -1):
-        upper = getattr(first[k + 1], "upper", False)
-        parent = {"pf": F.floor(F.col("file") / FANOUT).cast("long") if upper else F.col("file"), "pi": F.lit(0).cast("long") if upper else F.floor(F.col("idx") / FANOUT).cast("long")}
+        file, idx = _parent(first[k + 1][0])
         open_ = differ.select(F.col("file").alias("pf"), F.col("idx").alias("pi"))
-        below = lambda level: level.withColumns(parent).join(open_, ["pf", "pi"], "left_semi").drop("pf", "pi")  # noqa: B023, E731
-        differ = compare(below(first[k]), below(second[k]))
+        below = lambda level: level.withColumns({"pf": file, "pi": idx}).join(open_, ["pf", "pi"], "left_semi").drop("pf", "pi")  # noqa: B023, E731
+        differ = compare(below(first[k][1]), below(second[k][1]))
     return differ
 
 

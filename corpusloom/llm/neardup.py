@@ -6,9 +6,9 @@
    have at least t hashes in common, so the k - t + 1 rarest of each (rarest in one common order) have one in common.
    Sets that fit into their sketches have a t that follows from their size alone; for larger ones t = `COMMON` of 64,
    which a pair at the threshold misses about once in 10^8.
-3. A list's members are compared in one task, or in blocks if there are more than `BLOCK`: sketches give the overlap and an
-   estimate of the Jaccard similarity of the sets, and what passes is held against the full sets. Of the links found, a
-   task returns a spanning forest, so rows grow with members, not with pairs.
+3. A list's members are compared in one task, or, if there are more than 2 `BLOCK`, in pairs of blocks: sketches give the
+   overlap and an estimate of the Jaccard similarity of the sets, and what passes is held against the full sets. Of the
+   links found, a task returns a spanning forest, so rows grow with members, not with pairs.
 4. Forests join up to components by alternating star contraction.
 
 Defined cases: null and word-free texts have the empty set and are linked with nothing; a text of fewer than five words is
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .bytetext import LOWER, NOT_SPACE, buffers, mix, pieces, span_hashes, words
 from .shared import stored, table
 
-SHINGLE, KEPT, COMMON, BLOCK = 5, 64, 36, 512
+SHINGLE, KEPT, COMMON, BLOCK = 5, 64, 36, 1024
 #: Estimates below the threshold by less than this are held against the full sets: five standard errors of 55 hashes.
 MARGIN = 0.25
 U = np.uint64
@@ -85,7 +85,7 @@ def full_sets(docs: DataFrame, id_column: str, size: int) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "node binary, whole binary")
 
 
-def _incidence(sets: list[np.ndarray], step: int = 8192) -> Iterator[np.ndarray]:
+def _incidence(sets: list[np.ndarray], step: int = 4096) -> Iterator[np.ndarray]:
     """0/1 matrices, member by value, over the values that two members have at least, some columns at a time."""
     flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values, number, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -105,7 +105,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(sets), len(sets)), np.float32)
     for m in _incidence(sets):
         out += m @ m.T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def linked(sets: list[np.ndarray], percent: int, kept: int = KEPT, common: int = COMMON) -> list[tuple[int, int]]:
@@ -117,7 +117,7 @@ def linked(sets: list[np.ndarray], percent: int, kept: int = KEPT, common: int =
     np.fill_diagonal(overlap, k)
     # the estimate over the hashes up to the lesser end of both sketches, which both hold without gaps; a whole set has no end
     top = np.array([h[-1] if m > kept else np.iinfo(U).max for h, m in zip(heads, n)], U)
-    within = np.array([np.searchsorted(h, top, "right") for h in heads])
+    within = np.array([np.searchsorted(h, top, "right") for h in heads], np.int32)
     union = within + within.T - overlap
     may = overlap >= np.maximum(union, 1) * (percent / 100 - MARGIN)
     may &= (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)) & (overlap > 0)
@@ -125,7 +125,7 @@ def linked(sets: list[np.ndarray], percent: int, kept: int = KEPT, common: int =
     if not len(i):
         return []
     if len(i) > 4 * len(sets):
-        both = _overlaps(sets)[i, j]
+        both = _overlaps(sets)[i, j].astype(np.int64)
     else:
         both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j)])
     ok = 100 * both >= percent * (n[i] + n[j] - both)
@@ -191,11 +191,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, kep
     entries = stored(entries, "entries")
 
     # lists with the same members are one; long ones are compared block by block
-    short = entries.where(F.col("df") <= block).groupBy("v").agg(F.array_sort(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
+    short = entries.where(F.col("df") <= 2 * block).groupBy("v").agg(F.array_sort(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
     short = short.select("nodes").distinct().select(F.md5(F.concat_ws(",", F.transform("nodes", F.hex))).alias("list"), F.explode("nodes").alias("node"))
     blocks = F.ceil(F.col("df") / block).cast("int")
     own = F.pmod(F.xxhash64("node", "v"), blocks).cast("int")
-    long = entries.where(F.col("df") > block).select("node", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    long = entries.where(F.col("df") > 2 * block).select("node", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).where("own <> other")
     long = long.select(F.concat_ws(":", "v", F.least("own", "other"), F.greatest("own", "other")).alias("list"), "node")
     members = stored(short.union(long), "members")
 
@@ -224,7 +224,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, kep
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """The documents that name their components, with their own columns; of repeated rows with the same id all stay."""
     kept = near_duplicates(docs, id_column=id_column, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs[id_column].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.toDF(*(f"own_{i}" for i in range(len(docs.columns))))  # whatever the columns are called
+    own_id = F.col(f"own_{docs.columns.index(id_column)}").cast("long")
+    return rows.join(kept.hint("shuffle_hash"), own_id.eqNullSafe(F.col("kept_id")), "left_semi").toDF(*docs.columns)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
