@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 WS = r"[ \t\n\r\f]"
 
 
+def let(x: Column, f) -> Column:
+    """f of x, with x evaluated once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def given(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -39,8 +44,7 @@ def count_words(text: Column) -> Column:
 def paragraphs(text: Column) -> Column:
     """Stripped, non-empty parts between blank lines; a text with only one of them is cut at single line ends."""
     cut = lambda by: F.filter(F.transform(F.split(given(text), by), strip), lambda p: p != "")
-    parts = cut("\n\n")
-    return F.when((F.size(parts) == 1) & F.contains(given(text), F.lit("\n")), cut("\n")).otherwise(parts)
+    return let(cut("\n\n"), lambda parts: F.when((F.size(parts) == 1) & F.contains(given(text), F.lit("\n")), cut("\n")).otherwise(parts))
 
 
 def sentences(text: Column) -> Column:
@@ -55,15 +59,19 @@ def terminated(text: Column) -> Column:
 
 def mean(xs: Column) -> Column:
     """Of an array of numbers; null for an empty one."""
-    return F.try_divide(F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x).cast("double"), F.size(xs).cast("double"))
+    return let(xs, lambda v: F.try_divide(F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x).cast("double"), F.size(v).cast("double")))
 
 
 def std_pop(xs: Column) -> Column:
     """Population standard deviation of an array of whole numbers: exact sums, one division. Null for an empty one."""
-    total = F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
-    squares = F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
-    n = F.size(xs).cast("long")
-    return F.try_divide(F.sqrt((n * squares - total * total).cast("double")), n.cast("double"))
+
+    def spread(v: Column) -> Column:
+        total = F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x)
+        squares = F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
+        n = F.size(v).cast("long")
+        return F.try_divide(F.sqrt((n * squares - total * total).cast("double")), n.cast("double"))
+
+    return let(xs, spread)
 
 
 def sentence_lengths(text: Column) -> Column:
@@ -114,7 +122,10 @@ def _count_in(tokens: Column, *wanted: str) -> Column:
 
 def perspective(text: Column) -> Column:
     """The person whose pronouns outnumber both others strictly, else the third."""
-    t = word_tokens(text)
+    return let(word_tokens(text), _person)
+
+
+def _person(t: Column) -> Column:
     one, many = _count_in(t, "i", "me", "my", "mine", "myself"), _count_in(t, "we", "us", "our", "ours", "ourselves")
     other = _count_in(t, "he", "she", "it", "they", "him", "her", "them", "his", "hers", "its", "their")
     return F.when((one > many) & (one > other), "first_person_singular").when((many > one) & (many > other), "first_person_plural").otherwise("third_person")
@@ -152,7 +163,7 @@ def rhetorical_move(sentence: Column) -> Column:
 
 def rhetorical_skeleton(text: Column) -> Column:
     moves = F.transform(sentences(text), lambda s: F.concat(F.lit("["), rhetorical_move(s), F.lit("]")))
-    return F.when(F.size(moves) > 0, F.array_join(moves, " -> ")).otherwise("[Observation]")
+    return let(moves, lambda m: F.when(F.size(m) > 0, F.array_join(m, " -> ")).otherwise("[Observation]"))
 
 
 def skeleton_moves(skeleton: Column) -> Column:
@@ -191,9 +202,13 @@ def clean_repair(text: Column) -> Column:
 
 def complete_sentences(text: Column) -> Column:
     """Cut after the last terminated sentence; without any, more than ten words get a stop unless they end in `,`, `:` or `;`."""
-    text = strip(given(text))
-    whole = F.filter(sentences(text), lambda s: s.rlike(r"[.!?]\z"))
-    return F.when(text.rlike(r"[.!?]\z"), text).when(F.size(whole) > 0, F.array_join(whole, " ")).when((count_words(text) > 10) & ~text.rlike(r"[,:;]\z"), F.concat(text, F.lit("."))).otherwise(text)
+
+    def cut(text: Column) -> Column:
+        stop = F.when((count_words(text) > 10) & ~text.rlike(r"[,:;]\z"), F.concat(text, F.lit("."))).otherwise(text)
+        whole = F.filter(sentences(text), lambda s: s.rlike(r"[.!?]\z"))
+        return F.when(text.rlike(r"[.!?]\z"), text).otherwise(let(whole, lambda w: F.when(F.size(w) > 0, F.array_join(w, " ")).otherwise(stop)))
+
+    return let(strip(given(text)), cut)
 
 
 #: Where a model's answer goes on into its training format, or into another script; fixed values.
@@ -207,7 +222,7 @@ FICTION = (
 
 def before(text: Column, mark: str) -> Column:
     """Stripped up to the mark, where there is one."""
-    return F.when(F.contains(text, F.lit(mark)), strip(F.substring_index(text, mark, 1))).otherwise(text)
+    return let(text, lambda t: F.when(F.contains(t, F.lit(mark)), strip(F.substring_index(t, mark, 1))).otherwise(t))
 
 
 def clean_response(text: Column) -> Column:
@@ -217,11 +232,14 @@ def clean_response(text: Column) -> Column:
         text = before(text, mark)
     text = sub(text, (r"""[\d!@#$%^&*()_+{}|:"<>?,./;'\[\]\\=\-]{10,}""", ""), ("(?s)<think>.*?</think>", ""))
     text = F.substring_index(text, "<think>", 1)
-    text = F.when(text.rlike(OTHER_SCRIPTS), strip(F.regexp_extract(text, rf"(?s)\A(.*?){OTHER_SCRIPTS}", 1))).otherwise(text)
+    text = let(text, lambda t: F.when(t.rlike(OTHER_SCRIPTS), strip(F.regexp_extract(t, rf"(?s)\A(.*?){OTHER_SCRIPTS}", 1))).otherwise(t))
     text = strip(sub(text, (rf"{WS}{{2,}}", " "), ("\n{3,}", "\n\n")))
-    parts = F.split(text, rf"(?<=[.!?]){WS}+")
-    clean = F.filter(parts, lambda s: ~F.lower(s).rlike("|".join(FICTION)))
-    return complete_sentences(F.when(F.size(clean) > 0, strip(F.array_join(clean, " "))).otherwise(text))
+
+    def true_to_life(t: Column) -> Column:
+        clean = F.filter(F.split(t, rf"(?<=[.!?]){WS}+"), lambda s: ~F.lower(s).rlike("|".join(FICTION)))
+        return let(clean, lambda c: F.when(F.size(c) > 0, strip(F.array_join(c, " "))).otherwise(t))
+
+    return complete_sentences(let(text, true_to_life))
 
 
 def strip_code_fence(text: Column) -> Column:
@@ -266,20 +284,20 @@ _EDGE = r"""[.,;:!?"'()\-—]"""
 
 def is_heading(line: Column) -> Column:
     """Marked with #, mostly capitals, one capitalised word, or in title case; not if it ends as a sentence does."""
-    line = strip(given(line))
-    ws = words(line)
-    upper, alpha = F.regexp_count(line, F.lit(r"\p{Lu}")), F.regexp_count(line, F.lit(r"\p{L}"))
     bare = lambda w: F.regexp_replace(w, f"^{_EDGE}+|{_EDGE}+$", "")
-    rest = F.filter(F.transform(F.slice(ws, 2, 1 << 20), bare), lambda w: (w != "") & ~F.lower(w).isin(*SMALL_WORDS) & ~((F.upper(w) == w) & (F.lower(w) != w) & (F.char_length(w) <= 4)))
-    significant, capital = F.size(rest), F.size(F.filter(rest, lambda w: w.rlike(r"^\p{Lu}")))
-    n = F.size(ws)
-    return (
-        F.when(line == "", False)
-        .when(line.startswith("#"), True)
-        .when((alpha > 0) & (upper > 0.8 * alpha), True)
-        .when(line.rlike(r"[.!]\z"), False)
-        .when((n == 1) & bare(F.element_at(ws, 1)).rlike(r"^\p{Lu}"), True)
-        .when((n >= 2) & (significant >= 2) & (2 * capital >= significant), True)
-        .when((n >= 2) & (n <= 6) & (capital >= 1), True)
-        .otherwise(False)
-    )
+    counted = lambda w: (w != "") & ~F.lower(w).isin(*SMALL_WORDS) & ~((F.upper(w) == w) & (F.lower(w) != w) & (F.char_length(w) <= 4))
+
+    def rule(line: Column) -> Column:
+        upper, alpha = F.regexp_count(line, F.lit(r"\p{Lu}")), F.regexp_count(line, F.lit(r"\p{L}"))
+        plain = F.when(line == "", False).when(line.startswith("#"), True).when((alpha > 0) & (upper > 0.8 * alpha), True).when(line.rlike(r"[.!]\z"), False)
+        return plain.otherwise(let(words(line), by_words))
+
+    def by_words(ws: Column) -> Column:
+        rest = F.filter(F.transform(F.slice(ws, 2, 1 << 20), bare), counted)
+        return let(rest, lambda r: titled(F.size(ws), r) | ((F.size(ws) == 1) & bare(F.element_at(ws, 1)).rlike(r"^\p{Lu}")))
+
+    def titled(n: Column, rest: Column) -> Column:
+        capital = F.size(F.filter(rest, lambda w: w.rlike(r"^\p{Lu}")))
+        return (n >= 2) & (((F.size(rest) >= 2) & (2 * capital >= F.size(rest))) | ((n <= 6) & (capital >= 1)))
+
+    return let(strip(given(line)), rule)

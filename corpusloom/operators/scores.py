@@ -36,21 +36,27 @@ def _capped(x: Column) -> Column:
 
 def vocabulary_richness(text: Column) -> Column:
     """Distinct words over words, with a bonus for long ones; 0 below ten words."""
-    ws = F.filter(T.word_tokens(text), lambda w: w.rlike(r"\A[a-z]+\z"))
-    distinct = F.array_distinct(ws)
-    rare = F.filter(distinct, lambda w: (F.char_length(w) > 8) & ~w.isin(*ORDINARY))
-    score = F.try_divide(F.size(distinct), F.size(ws)) * 0.6 + F.try_divide(F.size(rare), F.greatest(F.size(distinct), F.lit(1))) * 0.4 + 0.2
-    return F.when(F.size(ws) < 10, 0.0).otherwise(_capped(score))
+
+    def score(ws: Column, distinct: Column) -> Column:
+        rare = F.filter(distinct, lambda w: (F.char_length(w) > 8) & ~w.isin(*ORDINARY))
+        rich = F.try_divide(F.size(distinct), F.size(ws)) * 0.6 + F.try_divide(F.size(rare), F.greatest(F.size(distinct), F.lit(1))) * 0.4 + 0.2
+        return F.when(F.size(ws) < 10, 0.0).otherwise(_capped(rich))
+
+    plain = F.filter(T.word_tokens(text), lambda w: w.rlike(r"\A[a-z]+\z"))
+    return T.let(plain, lambda ws: T.let(F.array_distinct(ws), lambda distinct: score(ws, distinct)))
 
 
 def syntax_complexity(text: Column) -> Column:
     """Spread of sentence lengths, clause marks and subordinating words."""
     parts = F.filter(F.transform(T.terminated(text), T.strip), lambda s: s != "")
-    lengths = F.transform(parts, T.count_words)
-    spread = F.when(F.size(lengths) < 2, 0.3).otherwise(_capped(T.std_pop(lengths) / 20))
     marks = _capped(F.regexp_count(T.given(text), F.lit("[;:—–()]")) / 10)
     clauses = _capped(F.size(F.filter(T.word_tokens(text), lambda w: w.isin(*CLAUSE_WORDS))) / 5)
-    return F.when(F.size(parts) == 0, 0.0).otherwise(spread * 0.3 + marks * 0.3 + clauses * 0.4)
+
+    def score(lengths: Column) -> Column:
+        spread = F.when(F.size(lengths) < 2, 0.3).otherwise(_capped(T.std_pop(lengths) / 20))
+        return F.when(F.size(lengths) == 0, 0.0).otherwise(spread * 0.3 + marks * 0.3 + clauses * 0.4)
+
+    return T.let(F.transform(parts, T.count_words), score)
 
 
 def style_markers(text: Column) -> Column:
@@ -60,7 +66,7 @@ def style_markers(text: Column) -> Column:
     for p in DARK_PHRASES:
         mood = mood + low.rlike(p).cast("int")
     own = F.size(F.filter(F.regexp_extract_all(T.given(text), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: w.isin("I", "my", "me", "myself")))
-    first = F.when(own > 0, _capped(own / 10)).otherwise(0.3)
+    first = T.let(own, lambda n: F.when(n > 0, _capped(n / 10)).otherwise(0.3))
     stress = _capped(F.regexp_count(T.given(text), F.lit(r"!|—|\.{3}")) / 5)
     return vocabulary * 0.4 + _capped(mood / 3) * 0.3 + first * 0.15 + stress * 0.15
 
@@ -99,8 +105,8 @@ def structural_distance(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 def burstiness(lengths: Column) -> Column:
     """Standard deviation over mean of sentence lengths; 0 below two sentences or without words."""
-    m = T.mean(lengths)
-    return F.when((F.size(lengths) < 2) | (m == 0), 0.0).otherwise(F.try_divide(T.std_pop(lengths), m))
+    share = lambda v: T.let(T.mean(v), lambda m: F.when((F.size(v) < 2) | (m == 0), 0.0).otherwise(F.try_divide(T.std_pop(v), m)))
+    return T.let(lengths, share)
 
 
 def length_category(n: Column) -> Column:
@@ -108,6 +114,10 @@ def length_category(n: Column) -> Column:
 
 
 def _length_tag(lengths: Column) -> Column:
+    return T.let(lengths, _tag_of)
+
+
+def _tag_of(lengths: Column) -> Column:
     return F.when(T.mean(lengths) < 12, "Short & Punchy").when(T.mean(lengths) > 25, "Long & Flowing").when(T.std_pop(lengths) > 8, "Varied Lengths").otherwise("Medium Length")
 
 

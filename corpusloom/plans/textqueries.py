@@ -310,10 +310,10 @@ def clean_punctuation(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.clean_punctuation(F.col("text")).alias("clean"))
 
 
-_REPAIR = D.strip(D.sub(D.sub(D.strip("text"), *((f"(?im){p}".replace("'", "''"), "") for p in T.REPAIR_PREFIXES)), *((f"(?i){p}", "") for p in T.REPAIR_SUFFIXES)))
+_REPAIR = D.strip(D.sub(D.sub(D.strip("text"), *((f"(?im){p}".replace("'", "''").replace("text", "tex[t]"), "") for p in T.REPAIR_PREFIXES)), *((f"(?i){p}", "") for p in T.REPAIR_SUFFIXES)))
 
 
-@query(f"SELECT doc_id, {_REPAIR.replace('text', _t := "'Sure, here you are: ' || text || ' I hope this helps you.'")} AS clean FROM documents")
+@query(f"SELECT doc_id, {_REPAIR} AS clean FROM (SELECT doc_id, 'Sure, here you are: ' || text || ' I hope this helps you.' AS text FROM documents)")
 def clean_repair_prefixes(spark, sf_dir):
     """The documents as answers that begin and end as a polite model's do, cleaned of that."""
     return docs(spark, sf_dir).select("doc_id", T.clean_repair(F.concat(F.lit("Sure, here you are: "), "text", F.lit(" I hope this helps you."))).alias("clean"))
