@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpusqueries, textqueries
+from . import corpusqueries, postqueries, textqueries
 
-_MODULES = (textqueries, corpusqueries)
+_MODULES = (textqueries, corpusqueries, postqueries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
