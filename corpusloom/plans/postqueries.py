@@ -35,7 +35,7 @@ def _marked():
 @query()
 def reference_extract(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", references.extract_references(_marked()).alias("r"))
-    return rows.select("doc_id", "r.clean", F.size("r.refs").cast("long").alias("n_refs"), F.element_at("r.refs", 1)["attached_to"].alias("first"))
+    return rows.select("doc_id", "r.clean", F.size("r.refs").cast("long").alias("n_refs"), F.try_element_at("r.refs", F.lit(1))["attached_to"].alias("first"))
 
 
 @query()
