@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import providers
 from corpusloom.functions import text as T
-from corpusloom.operators import folds, references
+from corpusloom.operators import folds, phrases, references
 from corpusloom.streaming import flows
 
 from . import duck as D
@@ -107,6 +107,13 @@ def grammar_edit_apply(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", folds.text_udf(fixed)("text").alias("text"))
 
 
+@query()
+def phrase_replace(spark, sf_dir):
+    """Paragraphs with plainer phrases and punctuation."""
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("para_idx", "text"))
+    return rows.select("doc_id", "para_idx", folds.text_udf(lambda t: phrases.plain_phrases(t)[0])("text").alias("text"))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     """An extension: hourly windows by type, as the stream has them."""

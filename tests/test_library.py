@@ -125,6 +125,16 @@ def test_rewrites():
     assert light > 0 and folds.perturbed(words) == folds.perturbed(words) and folds.perturbed("") == ""
 
 
+def test_phrases():
+    from corpusloom.operators import phrases
+
+    assert len(phrases.PLAIN) > 140 and phrases.PLAIN["in order to"] == "to" and phrases.PLAIN["thus"] == ""
+    assert phrases.plain_phrases("We utilize it in order to win.") == ("We use it to win.", 2)
+    assert phrases.plain_phrases("Furthermore, it is robust; the rest is new.")[0] == "Also, it is strong, the rest is new."
+    assert phrases.simple_punctuation("The plan—which is old—works; We agree: it holds.") == "The plan, which is old, works. We agree. It holds."
+    assert phrases.plain_phrases("") == ("", 0)
+
+
 def test_references(spark):
     clean, refs = references.extracted('Karl Marx[^1] wrote "the book"[2] (see below)[^n] and more words[1,2].')
     assert [(r["marker"], r["attached_to"], r["kind"]) for r in refs] == [("[^1]", "Karl Marx", "footnote"), ("[^n]", "see below", "footnote"), ("[2]", "the book", "citation"), ("[1,2]", "words", "citation")]
