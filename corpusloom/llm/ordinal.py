@@ -191,5 +191,6 @@ def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, **opt
 
 
 def op7_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, with their grades; `graded` has the rejected ones too."""
     docs = table(spark, sf_dir, "documents")
-    return graded(docs, fitted(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return graded(docs, fitted(docs, table(spark, sf_dir, "labels")), ["doc_id"]).where("kept")
