@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpusqueries, postqueries, textqueries
+from . import corpusqueries, morequeries, postqueries, textqueries
 
-_MODULES = (textqueries, corpusqueries, postqueries)
+_MODULES = (textqueries, corpusqueries, postqueries, morequeries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
