@@ -32,8 +32,8 @@ DIMENSIONS = 1 << 18
 BEGINNINGS = (5, 6)
 #: Share of a text's words from which a feature counts once more.
 OFTEN = 0.01
-#: Least likelihood ratio statistic of a feature at one of the cuts; about 4.9 standard errors.
-TELLING = 24.0
+#: Fewest sample documents that a feature must be in to be tested.
+TESTED = 3
 U = np.uint64
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#$%&*|<>{}[]~^_=+@\\/"]] = True
@@ -86,12 +86,14 @@ class Ordinal:
         n = len(grades)
         seen = np.bincount(dims, minlength=DIMENSIONS).astype(float)
         telling = np.zeros(DIMENSIONS, bool)
+        least = 2 * np.log(max(1, (seen >= TESTED).sum())) + 2  # of so many features, less than one passes by chance
         for cut in range(n_grades - 1):
             low = grades <= cut
             p = low.mean() if n else 0
             k = np.bincount(dims, weights=low[texts], minlength=DIMENSIONS)
             term = lambda o, e: o * np.log(np.where(o > 0, o, 1) / np.maximum(e, 1e-12))
-            telling |= 2 * (term(k, seen * p) + term(seen - k, seen * (1 - p)) + term(low.sum() - k, (n - seen) * p) + term(n - seen - low.sum() + k, (n - seen) * (1 - p))) >= TELLING
+            telling |= 2 * (term(k, seen * p) + term(seen - k, seen * (1 - p)) + term(low.sum() - k, (n - seen) * p) + term(n - seen - low.sum() + k, (n - seen) * (1 - p))) >= least
+            telling &= seen >= TESTED
         used, keep = np.flatnonzero(telling), telling[dims]
         texts, cols = texts[keep], np.searchsorted(used, dims[keep])
         have = np.bincount(grades, minlength=n_grades)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def test_stages_keep_the_columns_and_take_effect(spark):
@@ -34,6 +34,30 @@ def test_stages_keep_the_columns_and_take_effect(spark):
     assert out.count() == n[-1] and out.where("taken > 3 * size").count() == 0
 
 
+def test_stages_equal_brute_force(spark):
+    """What the classifier keeps, taken through the other stages by plain loops."""
+    import corpus_pipeline as cp
+    from test_operators import brute_components, brute_windows
+
+    from corpusloom.llm.secrets import base_spans
+    from corpusloom.llm.shared import stored, table
+
+    stages = dict(cp.STAGES)
+    docs = stored(stages["quality"](spark, table(spark, SF, "documents"), SF), "quality")
+    left = {r.doc_id: r.text for r in docs.collect()}
+    named = {d for d, _, _, kept in brute_components(sorted(left.items()), 80) if kept}
+    left = {i: t for i, t in left.items() if i in named}
+    items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
+    few = [x for x in items if any(w in t.lower() for w in [" ".join(x[1].lower().split()[:4])] for t in left.values())]  # items whose first words occur at all
+    hit = {r[0] for r in brute_windows(list(left.items()), few) if r[5]}
+    for name in ("near_copies", "decontamination", "secrets"):
+        docs = stored(stages[name](spark, docs, SF), name)
+    got = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) <= set(left) and hit & set(got) == set()
+    clean = [i for i, t in left.items() if i in got and not base_spans(t)]
+    assert clean and all(got[i] == left[i] for i in clean)
+
+
 def test_stages_of_odd_tables(spark):
     import corpus_pipeline as cp
 
