@@ -110,9 +110,9 @@ def test_packers():
 
 
 def test_rewrites():
-    masked, names = folds.masked_names('He met Jervas Dudley in Boston, and "Anna" spoke. The end.')
-    assert names[0] == "Jervas Dudley" and "Boston" in names and "Dudley" not in masked
-    assert folds.unmasked(masked, names) == 'He met Jervas Dudley in Boston, and "Anna" spoke. The end.'
+    masked, names = folds.masked_names('He met Martin Hale in Boston, and "Anna" spoke. The end.')
+    assert names[0] == "Martin Hale" and "Boston" in names and "Hale" not in masked
+    assert folds.unmasked(masked, names) == 'He met Martin Hale in Boston, and "Anna" spoke. The end.'
     long = "the man went to the old shop by the sea and he bought some bread for his wife but she was out that day"
     assert folds.flattened(long).count(".") >= 2 and folds.flattened("Short (very) one; two here.") == "Short  one. Two here."
     many = " ".join(["word"] * 30) + ", and " + " ".join(["word"] * 30) + "."
