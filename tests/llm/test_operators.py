@@ -404,3 +404,36 @@ def test_fingerprints(spark, odd, none):
     assert fp.likeness(one(0), one(1))[0] == 1 and fp.likeness(one(0), one(2))[0] > 0.5 > fp.likeness(one(0), one(5))[0]
     assert same(fp.read(fp.written(*v)), v) and np.array_equal(fp.read(fp.written(*v))[1], v[1])
     assert fp.fingerprints(none).count() == 0
+
+
+def test_context_counts_stay_exact_on_large_vocabularies(spark):
+    """More pairs than the 2^16 to 2^22 slots that tables once had: each word's count of its own is told from all others'."""
+    import numpy as np
+
+    from corpusloom.llm import contextmix as cm
+
+    r = np.random.default_rng(5)
+    letters = r.integers(0x61, 0x7B, (300_000, 8)).astype(np.uint8)
+    at = np.arange(len(letters) + 1) * 8
+    tables = cm.empty_tables()
+    cm.count_bits(tables, cm.Spelled(letters.reshape(-1), at), np.ones(len(letters), np.int64))
+    known, unknown = letters[:5000], r.integers(0x41, 0x5B, (5000, 8)).astype(np.uint8)
+    whole = lambda w: tables.paths(cm.Spelled(w.reshape(-1), np.arange(len(w) + 1) * 8))[8, -1].reshape(-1, 9)
+    alike = {}
+    for w in map(bytes, letters):
+        alike[w] = alike.get(w, 0) + 1
+    assert whole(known)[:, -1].tolist() == [alike[bytes(w)] for w in known]
+    assert not whole(unknown).any()
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 7 + k} q{k % 5}" for k in range(40))) for i in range(60)], "doc_id long, text string")
+    lexicon = cm.counted(cm.packs(docs, "doc_id", "text", 2000), 7)
+    rows, ends = cm.informed(lexicon, 5, 3)
+    merged = [(cm._merged(bytes(x.blob))[:3], x.answers) for x in rows.collect()]
+    spelled = lambda at, text: cm.Spelled(np.asarray(text), at)
+    tables = cm.empty_tables()
+    cm.count_bits(tables, cm._end(), np.array([3]))
+    for (at, counts, text), _ in merged:
+        cm.count_bits(tables, spelled(at, text), counts)
+    assert len(merged) > 1 and (ends.paths(cm._end()) == tables.paths(cm._end())).all()
+    for (at, counts, text), say in merged:  # shards say what one table of everything does
+        x = spelled(at, text)
+        assert (cm._answers(at, counts, text, say).paths(x) == tables.paths(x)).all()
