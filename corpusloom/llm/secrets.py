@@ -5,8 +5,11 @@ base64 and compressed parts unwrap to, until nothing new comes out. A digest of
 inside a layer is reported at the place in the original text that the layer was unwrapped from.
 
 Defined cases: a null text is scanned as the empty one; rows are kept as they are, repeated or not; extra columns of the
-input are ignored or passed on. A layer larger than `MAX_LAYER` bytes after decompression isn't opened but counted in
-n_unopened, since a few bytes can unpack to any size.
+input are ignored or passed on. Bytes that aren't UTF-8 are scanned as Latin-1, those with NULs as UTF-16 and UTF-32 too; of
+such layers only those that hold something count as opened. A layer larger than `MAX_LAYER` bytes after decompression isn't
+held whole: it is scanned in overlapping windows, cut between runs of what secrets and codes consist of (a run longer than half
+a window is cut inside), and counted in n_unopened. Streams packed in each other more than `DEPTH` times are scanned as they
+are there, since some unpack to themselves.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,6 +31,7 @@ from .shared import table
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 64 << 20
+DEPTH, STEP, OVERLAP = 64, 1 << 20, 1 << 16
 _any_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 _NAMES = "|".join(map(_any_case, ("password", "passwd", "secret", "token"))) + "|" + _any_case("api") + "_?" + _any_case("key")
 ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -38,6 +43,11 @@ _RUN = re.compile(r"\S+")  # runs are taken whole: a search from each of their c
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BREAK = re.compile(r"\r?\n[\x20\t]*")
+#: Lines of base64, of which the last one may be short.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,})*(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)?={0,2}")
+#: Bytes of secrets, codes and broken lines of them, in any of the encodings.
+_INSIDE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\:.\"' \t\r\n\0"
 
 Span = tuple[int, int, str]
 
@@ -59,66 +69,128 @@ def _char(m: re.Match) -> str:
     return chr(x) if x < 0x110000 and not 0xD800 <= x < 0xE000 else m[0]
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """What compressed bytes hold; None if they aren't compressed or hold more than MAX_LAYER bytes."""
-    if not (raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    try:
-        d = zlib.decompressobj(47)
-        out = d.decompress(raw, MAX_LAYER)
-    except zlib.error:
-        return None
-    if d.unconsumed_tail:
-        raise OverflowError
-    return out
-
-
-def _readable(raw: bytes) -> str | None:
+def _packed(head: bytes) -> bool:
+    return head[:2] == b"\x1f\x8b" or len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0
+
+
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What all members of a compressed stream hold, some bytes at a time; after the last or a damaged one, the rest as it is."""
+    d, plain = zlib.decompressobj(47), False
+    for data in chunks:
+        while not plain:
+            if d is None:  # between members
+                data = data.lstrip(b"\0")
+                if not data:
+                    break
+                if not _packed(data):
+                    plain = True
+                    yield b"\n"
+                    break
+                d = zlib.decompressobj(47)
+            try:
+                out = d.decompress(data, STEP)
+            except zlib.error:
+                plain = True
+                yield b"\n"
+                break
+            yield out
+            if d.eof:
+                data, d = d.unused_data, None
+            else:
+                data = d.unconsumed_tail
+                if not data and len(out) < STEP:
+                    break
+        if plain:
+            yield data
+
+
+def _unpacked(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    for _ in range(DEPTH):
+        head = b""
+        for more in chunks:
+            head += more
+            if len(head) > 2:
+                break
+        chunks = itertools.chain([head], chunks)
+        if not _packed(head):
+            break
+        chunks = _inflated(chunks)
+    return chunks
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes at once or, if they are more than MAX_LAYER, in windows that overlap."""
+    held = bytearray()
+    for more in chunks:
+        held += more
+        if len(held) > MAX_LAYER:
+            yield bytes(held)
+            cut = min(len(held.rstrip(_INSIDE)), len(held) - OVERLAP)
+            del held[: cut if 2 * cut > len(held) else len(held) - OVERLAP]
+    yield bytes(held)
+
+
+def _readings(raw: bytes) -> Iterator[tuple[str, bool]]:
+    """The texts that bytes can be read as, and whether they plainly are that text."""
     try:
         s = raw.decode()
+        some = s[: 1 << 16]
+        yield s, bool(s) and sum(not c.isprintable() and c not in "\t\n\r" for c in some) * 20 <= len(some)
     except UnicodeDecodeError:
-        return None
-    odd = sum(not c.isprintable() and c not in "\t\n\r" for c in s)
-    return s if s and odd * 20 <= len(s) else None
-
-
-def _opened(raw: bytes) -> str | None:
-    while (more := _inflated(raw)) is not None and more != raw:
-        raw = more
-    return _readable(raw)
-
-
-def layers(text: str) -> Iterator[tuple[int, int, str | None]]:
-    """(start, end, content) of each part of a text that unwraps to another one; content None: too large to open."""
+        yield raw.decode("latin-1"), False
+    if b"\0" in raw:  # whatever the order of bytes, characters of ASCII are in one of these
+        for code, width in (("utf-16-le", 2), ("utf-32-le", 4)):
+            if b"\0" * (width - 1) in raw:
+                for k in range(width):
+                    yield (raw[k:] + bytes(-(len(raw) - k) % width)).decode(code, "replace"), False
+
+
+def _decoded(start: int, end: int, code: str) -> Iterator[tuple[int, int, str | None, bool]]:
+    code = code.rstrip("=")
+    if len(code) % 4 == 1 or code.isalpha() and (code.islower() or code[1:].islower()):
+        return  # a length that base64 can't have, or a plain word
+    try:
+        raw = base64.b64decode(code.replace("-", "+").replace("_", "/") + "=" * (-len(code) % 4), validate=True)
+    except binascii.Error:
+        return
+    for k, window in enumerate(_windows(_unpacked(iter([raw])))):
+        if k == 1:
+            yield start, end, None, False
+        for content, plain in _readings(window):
+            yield start, end, content, plain
+
+
+def layers(text: str) -> Iterator[tuple[int, int, str | None, bool]]:
+    """(start, end, content, plain) of each part of a text that unwraps to another one. content None: what the same part
+    unwraps to is too large to hold, and comes in windows; not plain: bytes read as text on trial."""
     if "%" in text or "\\" in text:
         for m in _RUN.finditer(text):
             for mark, rule, char in (("%", _PERCENT, _bytes), ("\\", _ESCAPE, _char)):
                 if mark in m[0] and (got := rule.sub(char, m[0])) != m[0]:
-                    yield m.start(), m.end(), got
+                    yield m.start(), m.end(), got, True
     for m in _BASE64.finditer(text):
-        code = m[0].rstrip("=")
-        if len(code) % 4 == 1 or code.isalpha() and (code.islower() or code[1:].islower()):
-            continue  # a length that base64 can't have, or a plain word
-        try:
-            raw = base64.b64decode(code.replace("-", "+").replace("_", "/") + "=" * (-len(code) % 4), validate=True)
-            got = _opened(raw)
-        except binascii.Error:
-            continue
-        except OverflowError:
-            yield m.start(), m.end(), None
-            continue
-        if got is not None:
-            yield m.start(), m.end(), got
+        yield from _decoded(m.start(), m.end(), m[0])
+    for m in _WRAPPED.finditer(text) if "\n" in text else ():
+        if "\n" in m[0]:
+            yield from _decoded(m.start(), m.end(), _BREAK.sub("", m[0]))
+            last = [*_BREAK.finditer(m[0])][-1].start()  # the last line may be the text that goes on
+            yield from _decoded(m.start(), m.start() + last, _BREAK.sub("", m[0][:last]))
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
-    """Base spans; those that layers add, without repeats; the number of layers opened; and of those too large to open."""
+    """Base spans; those that layers add, without repeats; the number of layers opened; and of those read in windows."""
     base = base_spans(text)
     base.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     found, seen, opened, unopened = set(), {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, 0, 0
-    work = list(layers(text))
+    work = [layers(text)]
     while work:
-        start, end, content = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        start, end, content, plain = layer if len(work) == 1 else (*outer, *layer[2:])
+        if len(work) == 1:
+            outer = start, end
         if content is None:
             unopened += 1
             continue
@@ -126,9 +198,10 @@ def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
         if key in seen:
             continue
         seen.add(key)
-        opened += 1
-        found.update((start, end, kind) for _, _, kind in base_spans(content))
-        work += [(start, end, inner) for _, _, inner in layers(content)]
+        inner = base_spans(content)
+        opened += plain or bool(inner)
+        found.update((start, end, kind) for _, _, kind in inner)
+        work.append(layers(content))
     return base, sorted(found - set(base), key=lambda s: (s[0], KINDS.index(s[2]), s[1])), opened, unopened
 
 

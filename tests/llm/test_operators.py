@@ -437,3 +437,44 @@ def test_context_counts_stay_exact_on_large_vocabularies(spark):
     for (at, counts, text), say in merged:  # shards say what one table of everything does
         x = spelled(at, text)
         assert (cm._answers(at, counts, text, say).paths(x) == tables.paths(x)).all()
+
+
+def test_secret_layers_of_any_bytes():
+    from corpusloom.llm import secrets as sc
+
+    key = "AKIA" + "A1B2C3D4E5F6G7H8"
+    inner = f"token={key} more"
+    wrap = lambda raw: base64.b64encode(raw).decode()
+    for raw in (inner.encode("utf-16-le"), inner.encode("utf-16-be"), inner.encode("utf-16"), b"x" + inner.encode("utf-16-le"), inner.encode("utf-32"), ("é " + inner).encode("latin-1"), bytes(range(128, 256)) * 9 + inner.encode() + b"\xff\0\1"):
+        for data in (raw, gzip.compress(raw), gzip.compress(b"first ") + gzip.compress(raw), gzip.compress(b"first") + b"\0" * 9 + gzip.compress(raw), gzip.compress(zlib.compress(raw)), zlib.compress(b"first") + b" " + raw):
+            text = f"a {wrap(data)}. b"
+            _, more, *_ = sc.scan(text)
+            assert {k for a, b, k in more if text[a:b].rstrip("=") == wrap(data).rstrip("=")} >= {"assign", "access"}, (raw, data)
+            assert sc.scan(sc.redacted(text, more))[1] == []
+    noise = random.Random(3).randbytes(300)
+    for end in ("\n", "\r\n", "\n  "):
+        for width in (20, 64, 76):
+            for data in (gzip.compress(noise + inner.encode()), noise + inner.encode()):
+                code = wrap(data)
+                lines = end.join(code[i : i + width] for i in range(0, len(code), width))
+                for after in ("", "\nthen words"):
+                    text = f"see:\n{lines}{after}"
+                    _, more, *_ = sc.scan(text)
+                    assert {k for _, _, k in more} >= {"assign", "access"}
+                    assert sc.scan(sc.redacted(text, more))[1] == []
+
+
+def test_secrets_of_layers_too_large_to_hold(monkeypatch):
+    from corpusloom.llm import secrets as sc
+
+    monkeypatch.setattr(sc, "MAX_LAYER", 1 << 18)
+    key = "AKIA" + "A1B2C3D4E5F6G7H8"
+    nested = base64.b64encode(gzip.compress(random.Random(4).randbytes(90_000) + f" secret={key}".encode()))
+    filler = b"some words, and more. " * 30_000
+    for at in (0, 200_000, (1 << 18) - 10, 1 << 18, 300_000, 660_000):
+        for hidden in (f" {key} ".encode(), nested):
+            raw = gzip.compress(filler[:at] + b", " + hidden + b", " + filler[at:])
+            text = f"see {base64.b64encode(raw).decode()}"
+            base, more, _, unopened = sc.scan(text)
+            assert not base and "access" in {k for _, _, k in more} and unopened == 1, (at, hidden[:9])
+            assert sc.scan(sc.redacted(text, more))[1] == []
