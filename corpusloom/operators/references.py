@@ -22,7 +22,7 @@ def attached(prefix: str) -> str:
     for close, open_ in (('"', '"'), ("'", "'"), (")", "(")):
         if prefix.endswith(close) and (at := prefix.rfind(open_, 0, len(prefix) - 1)) >= 0:
             return prefix[at + 1 : -1]
-    last = [w.strip(_STOPS) for w in prefix.split()[-2:]]
+    last = [w.strip(_STOPS) for w in prefix.rsplit(None, 2)[-2:]]
     if len(last) == 2 and all(w[:1].isupper() for w in last):
         return " ".join(last)
     return last[-1] if last else ""
@@ -45,12 +45,38 @@ def _stem(word: str) -> str:
     return next((word[: -len(e)] for e in _ENDINGS if word.endswith(e) and len(word) - len(e) >= 4), word)
 
 
-def _place(text: str, wanted: str, context: str) -> int | None:
-    whole = list(re.finditer(rf"(?<!\w){re.escape(wanted)}(?!\w)", text, re.IGNORECASE))
+#: Characters that letters of ASCII equal regardless of case, or whose lower case depends on more than themselves.
+_CASED = re.compile("[\u0130\u0131\u017f\u212a\u03a3]")
+
+
+def _whole(text: str, low: str | None, wanted: str) -> list[tuple[int, int]]:
+    """Where the text has the wanted words by themselves. low: the text in lower case, where a plain search finds the same."""
+    if low is None or not wanted.isascii():
+        return [m.span() for m in re.finditer(rf"(?<!\w){re.escape(wanted)}(?!\w)", text, re.IGNORECASE)]
+    wanted, found, n = wanted.lower(), [], len(wanted)
+    inside = lambda c: c.isalnum() or c == "_"
+    at = low.find(wanted)
+    while at >= 0:
+        free = not (at and inside(low[at - 1])) and not inside(low[at + n : at + n + 1])
+        if free:
+            found.append((at, at + n))
+        at = low.find(wanted, at + (n if free else 1))
+    return found
+
+
+def _place(text: str, low: str | None, wanted: str, context: str) -> int | None:
+    whole = _whole(text, low, wanted)
+    if len(whole) == 1:
+        return whole[0][1]
     if whole:
         near = set(re.findall(r"\w{4,}", context.lower()))
-        score = lambda m: sum(w in text[max(0, m.start() - 50) : m.end() + 50].lower() for w in near)
-        return max(whole, key=lambda m: (score(m), -m.start())).end()
+        around = lambda a, b: text[max(0, a - 50) : b + 50].lower() if low is None else low[max(0, a - 50) : b + 50]
+
+        def score(span: tuple[int, int]) -> int:
+            here = around(*span)
+            return sum(w in here for w in near)
+
+        return max(whole, key=lambda span: (score(span), -span[0]))[1]
     if len(wanted) < 3:
         return None
     if " " in wanted and (m := re.search(rf"(?<!\w){re.escape(wanted.split()[-1])}(?!\w)", text, re.IGNORECASE)):
@@ -61,9 +87,12 @@ def _place(text: str, wanted: str, context: str) -> int | None:
 
 def reinjected(text: str, refs: list[dict]) -> str:
     """Each marker after the word or phrase it was attached to, where the text still has it or another form of it."""
+    plain = not _CASED.search(text) and not any(_CASED.search(r["marker"]) for r in refs)
+    low = text.lower() if plain else None
     for r in refs:
-        if r["attached_to"] and (at := _place(text, r["attached_to"], r["context"])) is not None:
+        if r["attached_to"] and (at := _place(text, low, r["attached_to"], r["context"])) is not None:
             text = text[:at] + r["marker"] + text[at:]
+            low = None if low is None else low[:at] + r["marker"].lower() + low[at:]
     return text
 
 
@@ -86,6 +115,16 @@ def reinject_references(text: Column, refs: Column) -> Column:
     return arrow_udf(run, "string")(text, refs)
 
 
+def reinjected_references(text: Column) -> Column:
+    """A text whose references were all taken out and put back, document after document, so that no list of them is passed on."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array((reinjected(*extracted(t.as_py() or "")) for t in texts), pa.string())
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return arrow_udf(run, "string")(text)
+
+
 def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text"))
 

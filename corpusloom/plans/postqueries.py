@@ -40,10 +40,8 @@ def reference_extract(spark, sf_dir):
 
 @query()
 def reference_reinject(spark, sf_dir):
-    """References taken out of the documents' first thousand marks and put back."""
-    rows = docs(spark, sf_dir).select("doc_id", references.extract_references(_marked()).alias("r"))
-    few = F.slice("r.refs", 1, 20)
-    return rows.select("doc_id", references.reinject_references(F.col("r.clean"), few).alias("text"))
+    """All references taken out of the documents and put back."""
+    return docs(spark, sf_dir).select("doc_id", references.reinjected_references(_marked()).alias("text"))
 
 
 @query()

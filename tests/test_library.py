@@ -214,3 +214,12 @@ def test_streams(spark, tmp_path):
     t = datetime.datetime(2024, 1, 1)
     events = spark.createDataFrame([(1, t, "a", 1.0), (1, t + datetime.timedelta(minutes=5), "a", 2.0), (1, t + datetime.timedelta(hours=3), "b", 4.0)], "user_id long, ts timestamp, event_type string, value double")
     assert sorted(r.n for r in flows.event_windows(events).collect()) == [1, 2] and sorted(r.n for r in flows.event_sessions(events).collect()) == [1, 2]
+
+
+def test_all_references_of_a_document_come_back(spark, tmp_path):
+    from corpusloom.plans.postqueries import reference_reinject
+
+    text = ", ".join(f"word{i}" for i in range(60)) + ". Naïve Straße, and so on."
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    (row,) = reference_reinject(spark, f"file://{tmp_path}").collect()
+    assert row.text == text.replace(",", "[^1],").replace(".", "[2].")
