@@ -223,3 +223,22 @@ def test_all_references_of_a_document_come_back(spark, tmp_path):
     spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
     (row,) = reference_reinject(spark, f"file://{tmp_path}").collect()
     assert row.text == text.replace(",", "[^1],").replace(".", "[2].")
+
+
+def test_kmeans_sample_shares_its_target(spark):
+    from corpusloom.plans.corpusqueries import clustered_sample, sample_clusters
+
+    rows = [(i, 0 if i < 60 else 1 + i % 2, 10 + i % 7) for i in range(100)]
+    got = sample_clusters(rows, 500)
+    words = {c: sum(r[2] for r in rows if r[0] in got and r[1] == c) for c in range(3)}
+    assert 300 <= words[0] < 317 and sum(words.values()) <= 550  # six tenths of the rows
+    assert min(r[2] for r in rows if r[0] in got) >= 14
+    assert sorted(sample_clusters(rows, 10**6)) == list(range(100))  # less than the target is there
+    assert sorted(sample_clusters([(1, 0, 100), (2, 0, 5), (3, 1, 90)], 100)) == [1]
+    assert sorted(sample_clusters([(1, 0, 200), (2, 0, 50), (3, 0, 45)], 100)) == [2, 3]  # the first doesn't fit
+    r = random.Random(2)
+    docs = [(i, [float(i % 12 == k) + r.random() / 9 for k in range(12)], 20) for i in range(600)]
+    df = spark.createDataFrame(docs, "vec_id long, embedding array<float>, words long")
+    out = clustered_sample(df, 2000).collect()
+    assert 100 <= len(out) <= 110 and len({x.cluster for x in out}) == 10  # 50 rows at most before
+    assert clustered_sample(df.limit(3), 2000).count() == 3
