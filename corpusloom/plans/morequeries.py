@@ -166,7 +166,8 @@ def blended(rows: DataFrame, primary: int, others: list[int], percent: int = 20,
 @query()
 def blend_corpus(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    return blended(rows, 0, [1, 2, 3]).select("vec_id", "label")
+    others = [r.label for r in rows.where("label <> 0").select("label").distinct().orderBy("label").collect()]  # one a source
+    return blended(rows, 0, others).select("vec_id", "label")
 
 
 @query("SELECT CAST(pos AS INTEGER) AS pos, round(sum(w * x) / sum(w), 6) AS mean FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(generate_series(0, len(embedding) - 1)) AS pos, CASE WHEN label = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM embeddings) GROUP BY pos")

@@ -242,3 +242,13 @@ def test_kmeans_sample_shares_its_target(spark):
     out = clustered_sample(df, 2000).collect()
     assert 100 <= len(out) <= 110 and len({x.cluster for x in out}) == 10  # 50 rows at most before
     assert clustered_sample(df.limit(3), 2000).count() == 3
+
+
+def test_blend_takes_every_label(spark, tmp_path):
+    from corpusloom.plans.morequeries import blend_corpus
+
+    r = random.Random(6)
+    rows = [(i, [1.0 + r.random() / 9, r.random()], i % 7) for i in range(210)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = blend_corpus(spark, f"file://{tmp_path}").groupBy("label").count().collect()
+    assert {x.label: x["count"] for x in got} == {0: 30} | {k: 10 for k in range(1, 7)}
