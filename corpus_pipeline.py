@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.curriculum import mixed
+from corpusloom.llm.curriculum import mixed, places
 from corpusloom.llm.decontam import decontaminated
 from corpusloom.llm.neardup import one_of_each
 from corpusloom.llm.ordinal import good_documents
@@ -41,8 +41,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What of each document the mix takes, and where in training it is placed."""
-    return mixed(docs).drop("begins", "slope").orderBy("place", "doc_id")
+    """What of each document the mix takes, and where in training each of its readings is placed; the rows are in the order of the first."""
+    return mixed(docs).withColumn("places", places()).drop("begins", "slope").orderBy("place", "doc_id")
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_copies", near_copies), ("decontamination", decontamination), ("secrets", secrets), ("mixture", mixture)]

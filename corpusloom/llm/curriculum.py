@@ -62,8 +62,7 @@ def place(share: Column, slope: Column) -> Column:
 def mixed(docs: DataFrame, slopes: tuple[float, float, float] = (-0.5, 0.0, 0.5), max_repeats: int = 3, id_column: str = "doc_id", seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, taken, place: one row a document. Only sizes are shuffled, no texts.
 
-    slopes: of the sources of weight 1, 2 and 3. place: of the document's first word; rounds after the first are placed
-    by `rounds`.
+    slopes: of the sources of weight 1, 2 and 3. place: of the document's first word in the first round; `places` has all.
     """
     size = F.regexp_count(text_of(docs), F.lit(WORD)).cast("long")
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))))
@@ -87,13 +86,24 @@ def mixed(docs: DataFrame, slopes: tuple[float, float, float] = (-0.5, 0.0, 0.5)
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), first.alias("place"), begins.alias("begins"), slope.alias("slope"))
 
 
+def _n_rounds() -> Column:
+    return F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+
+
+def _place_of(round_: Column) -> Column:
+    return place((round_ * F.col("source_size") + F.col("begins")) / F.col("target"), F.col("slope"))
+
+
+def places() -> Column:
+    """Of a row of `mixed`: the places of all rounds in which the document is read, in their order."""
+    return F.when(_n_rounds() > 0, F.transform(F.sequence(F.lit(0), _n_rounds() - 1), _place_of)).otherwise(F.array().cast("array<double>"))
+
+
 def rounds(mix: DataFrame) -> DataFrame:
     """One row for each time a document is read: doc_id, source, round, words, place, range-sorted by place."""
-    n = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    each = mix.where(n > 0).withColumn("round", F.explode(F.sequence(F.lit(0), n - 1)))
+    each = mix.where(_n_rounds() > 0).withColumn("round", F.explode(F.sequence(F.lit(0), _n_rounds() - 1)))
     words = F.least(F.col("size"), F.col("taken") - F.col("round") * F.col("size"))
-    share = (F.col("round") * F.col("source_size") + F.col("begins")) / F.col("target")
-    return each.select("doc_id", "source", "round", words.alias("words"), place(share, F.col("slope")).alias("place")).orderBy("place", "doc_id", "round")
+    return each.select("doc_id", "source", "round", words.alias("words"), _place_of(F.col("round")).alias("place")).orderBy("place", "doc_id", "round")
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

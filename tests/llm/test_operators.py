@@ -478,3 +478,17 @@ def test_secrets_of_layers_too_large_to_hold(monkeypatch):
             base, more, _, unopened = sc.scan(text)
             assert not base and "access" in {k for _, _, k in more} and unopened == 1, (at, hidden[:9])
             assert sc.scan(sc.redacted(text, more))[1] == []
+
+
+def test_pipeline_places_every_reading(spark):
+    import corpus_pipeline as cp
+    from corpusloom.llm.curriculum import mixed, rounds
+
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "small" if i < 30 else "large") for i in range(900)] + [(999, "", "small")], "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in cp.mixture(spark, docs, "").collect()}
+    want = {}
+    for r in rounds(mixed(docs)).collect():
+        want.setdefault(r.doc_id, {})[r["round"]] = r.place
+    assert max(map(len, want.values())) == 3 and len(out) == 901
+    assert all(r.places == [want.get(i, {})[k] for k in sorted(want.get(i, {}))] for i, r in out.items())
+    assert all(r.place == (r.places[0] if r.places else None) for r in out.values())
