@@ -4,8 +4,9 @@
    class from here on.
 2. Retained hashes are counted, and each class is entered in the lists of its rarest ones only. Sketches of linked sets
    have at least t hashes in common, so the k - t + 1 rarest of each (rarest in one common order) have one in common.
-   Sets that fit into their sketches have a t that follows from their size alone; for larger ones t = `COMMON` of 64,
-   which a pair at the threshold misses about once in 10^8.
+   Sets that fit into their sketches have a t that follows from their size alone; for larger ones t is the
+   largest number that a pair at the threshold misses at most once in 10^8 (`common_of`), and estimates below the share
+   t / 64 are what such a pair doesn't have either.
 3. A list's members are compared in one task, or, if there are more than 2 `BLOCK`, in pairs of blocks: sketches give the
    overlap and an estimate of the Jaccard similarity of the sets, and what passes is held against the full sets. Of the
    links found, a task returns a spanning forest, so rows grow with members, not with pairs.
@@ -19,6 +20,7 @@ of such rows only has a null component_id, and all its rows are kept).
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +31,24 @@ from pyspark.sql import functions as F
 from .bytetext import LOWER, NOT_SPACE, buffers, mix, pieces, span_hashes, words
 from .shared import stored, table
 
-SHINGLE, KEPT, COMMON, BLOCK = 5, 64, 36, 1024
-#: Estimates below the threshold by less than this are held against the full sets: five standard errors of 55 hashes.
-MARGIN = 0.25
+SHINGLE, KEPT, BLOCK = 5, 64, 1024
+#: Of pairs at the threshold, the share that may be missed.
+MISS = 1e-8
 U = np.uint64
 
 
+def common_of(percent: int, kept: int = KEPT) -> int:
+    """The largest t with P(X < t) <= MISS, where X, of what two sets at the threshold have in common among the `kept` least
+    hashes of their union, is binomial. Sketches have as many in common at least."""
+    p, tail, t = percent / 100, 0.0, 0
+    while t < kept:
+        tail += math.comb(kept, t) * p**t * (1 - p) ** (kept - t)
+        if tail > MISS:
+            break
+        t += 1
+    return max(1, t)
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles; a shorter text's whole sequence of words is one."""
     low = LOWER[data] if len(data) else data
@@ -108,8 +122,9 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def linked(sets: list[np.ndarray], percent: int, kept: int = KEPT, common: int = COMMON) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], percent: int, kept: int = KEPT, common: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets."""
+    common = common_of(percent, kept) if common is None else common
     n = np.array([len(s) for s in sets])
     heads = [s[:kept] for s in sets]
     k = np.minimum(n, kept)
@@ -119,7 +134,7 @@ def linked(sets: list[np.ndarray], percent: int, kept: int = KEPT, common: int =
     top = np.array([h[-1] if m > kept else np.iinfo(U).max for h, m in zip(heads, n)], U)
     within = np.array([np.searchsorted(h, top, "right") for h in heads], np.int32)
     union = within + within.T - overlap
-    may = overlap >= np.maximum(union, 1) * (percent / 100 - MARGIN)
+    may = overlap * kept >= np.maximum(union, 1) * min(common, kept * percent // 100)
     may &= (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)) & (overlap > 0)
     i, j = np.nonzero(np.triu(may, 1))
     if not len(i):
@@ -172,8 +187,9 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, kept: int = KEPT, common: int = COMMON, block: int = BLOCK, id_column: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, kept: int = KEPT, common: int | None = None, block: int = BLOCK, id_column: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document. Links are pairs with 100 |A and B| >= percent |A or B|."""
+    common = common_of(percent, kept) if common is None else common
     rows = stored(sketched(docs, id_column, size, kept), "sketches")
     classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 

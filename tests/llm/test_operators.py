@@ -492,3 +492,20 @@ def test_pipeline_places_every_reading(spark):
     assert max(map(len, want.values())) == 3 and len(out) == 901
     assert all(r.places == [want.get(i, {})[k] for k in sorted(want.get(i, {}))] for i, r in out.items())
     assert all(r.place == (r.places[0] if r.places else None) for r in out.values())
+
+
+def test_near_duplicate_misses_at_every_threshold():
+    from corpusloom.llm.neardup import common_of, linked
+
+    import numpy as np
+
+    for percent in (50, 70, 80, 85, 95):
+        t, p = common_of(percent), percent / 100
+        tail = lambda n: sum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(n))  # noqa: B023, E731
+        assert tail(t) <= 1e-8 < tail(t + 1)
+    assert common_of(85) == 36 > common_of(80)
+    # a set inside another at 80 %, with few of the sketch in common: 33 of 64, which lists and estimates by 36 or 0.55 lose
+    small = np.concatenate([np.arange(33), 10**6 + np.arange(767)]).astype(np.uint64)
+    other = np.concatenate([small, 100 + np.arange(31), 2 * 10**6 + np.arange(169)]).astype(np.uint64)
+    pair = [np.sort(small), np.sort(other)]
+    assert linked(pair, 80) == [(0, 1)] and common_of(80) <= 33
