@@ -146,24 +146,90 @@ def test_decontamination(spark, odd, none, block_bytes):
     clean = decontaminated(odd, bench)
     assert clean.columns == odd.columns and clean.count() == sum(not r[5] for r in want)
     assert matched(none, bench, ["doc_id"]).count() == 0
+    clash = odd.select("*", *(odd.extra.alias(c) for c in ("contaminated", "found", "own_0", "n_words", "items")))
+    assert decontaminated(clash, bench).columns == clash.columns and decontaminated(clash, bench).count() == clean.count()
+    assert pairs(matched(clash, bench, clash.columns), *cols) == want
     assert not any(r[5] for r in pairs(matched(odd, bench.limit(0), ["doc_id"]), *cols))
 
 
-def test_suffix_search_gives_the_longest_match():
+@pytest.mark.parametrize(("n", "k", "most"), [(400, 4, 6), (600, 3, 60), (90, 2, 90)])
+def test_suffix_search_gives_the_longest_match(n, k, most):
     import numpy as np
 
-    from corpusloom.llm.decontam import search, suffix_array
+    from corpusloom.llm.decontam import Suffixes, search
+
+    r = np.random.default_rng(n)
+    numbers, texts = r.integers(0, k, n), np.arange(n) // 50
+    numbers[n // 2 :] = numbers[: n - n // 2]  # long repeats
+    left = np.array([(texts == t).sum() - (i - np.flatnonzero(texts == t)[0]) for i, t in enumerate(texts)])
+    suffixes = Suffixes(numbers, left, most)
+    words_of = lambda i: tuple(numbers[i : i + suffixes.depth[i]][:most])
+    assert [words_of(i) for i in suffixes.order] == sorted(words_of(i) for i in range(n) if numbers[i])
+    asked = r.integers(1, k, 200)
+    queries = Suffixes(asked, np.array([40 - i % 40 for i in range(200)]), 40)
+    sizes = np.minimum(r.integers(1, 7, 200), queries.depth)
+    begin, end, longest, lo, hi = search(suffixes, queries, np.arange(200), sizes)
+    for q in range(200):
+        fits = lambda m: {p for p in range(n) if suffixes.depth[p] >= m and (numbers[p : p + m] == asked[q : q + m]).all()}  # noqa: B023, E731
+        assert longest[q] == max([m for m in range(1, queries.depth[q] + 1) if fits(m)], default=0)
+        assert set(suffixes.order[begin[q] : end[q]]) == fits(sizes[q])
+        assert not longest[q] or set(suffixes.order[lo[q] : hi[q]]) == fits(longest[q])
+
+
+def test_longest_matches_and_their_places(spark, none):
+    from corpusloom.llm.decontam import longest_matches, matched
+
+    r = random.Random(2)
+    items = [(i, " ".join(f"v{r.randrange(9)}" for _ in range(r.randrange(0, 40)))) for i in range(12)] + [(50, None)]
+    texts = []
+    for i in range(40):
+        own = [f"v{r.randrange(9)}" for _ in range(r.randrange(0, 30))]
+        for _ in range(r.randrange(3)):
+            v = (items[r.randrange(12)][1]).split()
+            a = r.randrange(len(v) + 1)
+            own[r.randrange(len(own) + 1) :] = v[a : a + r.randrange(20)]
+        texts.append((None if i == 7 else i // 2 * 2, " ".join(own)))
+    texts += [(100, " ".join([*(f"x{i}" for i in range(10)), *(f"y{i}" for i in range(10))]))]
+    items += [(60, " ".join(f"x{i}" for i in range(10))), (61, " ".join(f"y{i}" for i in range(10)))]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+
+    def common(v, w):
+        return next((k for k, (x, y) in enumerate(zip(v, w)) if x != y), min(len(v), len(w)))
+
+    want, own = [], {}
+    for item, text in items:
+        v = (text or "").split()
+        for a in range(len(v)):
+            found = [(common(v[a:], t.split()[p:]), d, p) for d, t in texts for p in range(len(t.split()))]
+            best = max((f[0] for f in found), default=0)
+            if best >= 10:
+                _, d, p = min((f for f in found if f[0] == best), key=lambda f: (f[1] is None, f[1] or 0, f[2]))
+                want.append((str(item), a, best, d, p))
+    assert pairs(longest_matches(docs, bench), "item_id", "suffix", "n_words", "doc_id", "start") == sorted(want, key=repr) and want
+    assert pairs(longest_matches(docs, bench, block_bytes=100), "item_id", "suffix", "n_words", "doc_id", "start") == sorted(want, key=repr)
+    for r_ in matched(docs, bench, ["doc_id", "text"]).collect():
+        v = r_.text.split()
+        best = max((common(v[a:], (t or "").split()[p:]) for _, t in items for p in range(len((t or "").split())) for a in range(len(v))), default=0)
+        short = [len((t or "").split()) for _, t in items if 0 < len((t or "").split()) < 10]
+        if best >= 10:
+            assert r_.longest_match == best
+        elif not short:
+            assert r_.longest_match == 0
+    assert [x.longest_match for x in matched(docs, bench, ["doc_id"]).where("doc_id = 100").collect()] == [10]  # two items side by side are two matches
+    assert longest_matches(none, bench).count() == longest_matches(docs, bench.limit(0)).count() == 0
+
+
+def test_items_that_share_windows():
+    import numpy as np
+
+    from corpusloom.llm import decontam
 
-    r = np.random.default_rng(3)
-    numbers, texts = r.integers(0, 4, 400), np.repeat(np.arange(8), 50)
-    starts, keys = suffix_array(numbers, texts, 6)
-    queries = r.integers(1, 4, (50, 6))
-    sizes = r.integers(1, 7, 50)
-    lo, hi, longest = search(keys, queries, sizes)
-    for q, n, a, b, m in zip(queries, sizes, lo, hi, longest):
-        fits = lambda k: {p for p in range(400) if p // 50 == (p + k - 1) // 50 and p + k <= 400 and (numbers[p : p + k] == q[:k]).all()}  # noqa: B023, E731
-        assert m == max([k for k in range(1, n + 1) if fits(k)], default=0)
-        assert set(starts[a:b]) == (fits(n) if m == n else set())
+    group, texts = np.repeat(np.arange(50), 20), np.tile(np.arange(20), 50)
+    item_group, items = np.repeat(np.arange(50), 30), np.tile(np.arange(30), 50)
+    was = decontam.PAIRS
+    for decontam.PAIRS in (1, 700, was):
+        assert len(decontam._pairs(group, texts, item_group, items, 30)) == 600
+    assert decontam._pairs(np.array([1]), np.array([4]), np.array([0, 1, 1]), np.array([9, 2, 5]), 10).tolist() == [42, 45]
 
 
 def brute_repeats(rows, length):
@@ -278,11 +344,64 @@ def test_quality_on_held_out_ratings(spark, odd, none):
     mean = lambda x: sum(r.expected_grade for r in x) / len(x)
     assert mean(toxic) < mean(poor) < mean(good)
     assert graded(odd, None, ["doc_id"]).where("kept").count() == odd.count()
+    clash = odd.select("*", *(odd.extra.alias(c) for c in ("kept", "g", "expected_grade", "own_0")))
+    rated = spark.createDataFrame([(3 * i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(50)], "doc_id long, quality int, toxic int")
+    model = fitted(odd.union(odd), rated)  # a repeated id is one rated document
+    scores = graded(clash, model, clash.columns)
+    assert sorted(scores.columns) == sorted({*clash.columns, "tail_probability"}) and scores.where("tail_probability is null").count() == 0
+    by_text = {}
+    for r in scores.collect():
+        assert by_text.setdefault(r.text or "", r.tail_probability) == r.tail_probability and 0 <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 2
+    assert good_documents(clash, rated).columns == clash.columns and good_documents(clash, rated).count() == scores.where("kept").count()
     few = spark.createDataFrame([(15, 1, 0), (18, None, 0), (21, 0, None), (None, 1, 1), (999999, 1, 1)], "doc_id long, quality int, toxic int")
     assert good_documents(odd, few).columns == odd.columns
     assert good_documents(none, labels).count() == 0
 
 
+def test_ordinal_regression_against_its_definition():
+    import numpy as np
+
+    from corpusloom.llm.ordinal import Ordinal, features, loss, thresholds
+
+    r = np.random.default_rng(1)
+    n, m = 30, 8
+    texts, cols, grades, own = np.repeat(np.arange(n), 3), r.integers(0, m, 3 * n), r.integers(0, 4, n), r.random(n) + 0.5
+    w, theta = r.normal(size=m), np.array([-0.7, 0.1, -0.4])
+
+    def slow(w, theta):  # P(grade <= k) is logistic in cut k minus the score
+        cuts = [theta[0], theta[0] + math.exp(theta[1]), theta[0] + math.exp(theta[1]) + math.exp(theta[2])]
+        total = 0.0
+        for i in range(n):
+            s = sum(w[c] for t, c in zip(texts, cols) if t == i)
+            up = [0.0, *(1 / (1 + math.exp(s - c)) for c in cuts), 1.0]
+            total -= own[i] * math.log(up[grades[i] + 1] - up[grades[i]])
+        return total / n + 0.01 * sum(x * x for x in w) / 200
+
+    value, g_w, g_theta = loss(w, theta, texts, cols, grades, own, 0.01)
+    assert value == pytest.approx(slow(w, theta), rel=1e-9)
+    for g, x in ((g_w, w), (g_theta, theta)):
+        for k in range(len(x)):
+            up, down = x.copy(), x.copy()
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            near = (slow(up, theta) - slow(down, theta)) if x is w else (slow(w, up) - slow(w, down))
+            assert g[k] == pytest.approx(near / 2e-5, abs=1e-6)
+    model = Ordinal(r.normal(size=1 << 18) / 9, thresholds(theta))
+    raw = [b"some words here", b"", b"words words and Words " * 50]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    of, dims = features(data, at)
+    tails = model.tails(data, at)
+    for i in range(3):
+        s = float(sum(model.weights[d] for t, d in zip(of, dims) if t == i))
+        assert tails[i] == pytest.approx([1 - 1 / (1 + math.exp(s - c)) for c in model.cuts], abs=1e-5)
+    assert (np.diff(model.cuts) > 0).all() and (np.diff(tails, axis=1) < 0).all()
+    # fitted on separable grades, it tells them apart
+    grades = np.arange(60) % 3
+    fit = Ordinal.fit(np.repeat(np.arange(60), 2), np.stack([grades + 5, np.full(60, 99)], axis=1).reshape(-1), grades, 3)
+    s = fit.weights[[5, 6, 7]]
+    assert s[0] < fit.cuts[0] < s[1] < fit.cuts[1] < s[2]
+
+
 def brute_components(rows, percent):
     sets = []
     for _, t in rows:
