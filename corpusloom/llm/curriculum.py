@@ -5,8 +5,9 @@ its words, and the excess is shared out again among the rest. Within a source, d
 their ids and are taken round after round until the target is met; the last one is taken in part.
 
 Order: a source's weight runs linearly over training time t in [0, 1], from 1 - slope to 1 + slope times its mean, so the
-share of its words that training has used by t is the integral (1 - slope) t + slope t^2. A document whose words begin at
-share q of its source's is placed at the t that the inverse gives for q, and the documents are range-sorted by place.
+share of its words that training has used by t is the integral (1 - slope) t + slope t^2. A reading that begins at share q
+of its source's words is due at the t that the inverse gives for q; by then training has used the sum of all sources'
+integrals, which is the reading's position, in words. Every reading has a position, and rows are range-sorted by the first.
 
 Defined cases: a null text has no words; null is a source of its own, the last; documents are kept as they are, repeated or
 with null ids; a document of no words is taken 0 words and has no place; an empty table gives an empty result.
@@ -53,21 +54,24 @@ def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
     return own.withColumn("target", target)
 
 
-def place(share: Column, slope: Column) -> Column:
+def due(share: Column, slope: Column) -> Column:
     """The t in [0, 1] at which (1 - slope) t + slope t^2 is the share."""
     a = F.lit(1.0) - slope
     return F.when(slope == 0, share).otherwise((F.sqrt(a * a + 4 * slope * share) - a) / (2 * slope))
 
 
 def mixed(docs: DataFrame, slopes: tuple[float, float, float] = (-0.5, 0.0, 0.5), max_repeats: int = 3, id_column: str = "doc_id", seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, place: one row a document. Only sizes are shuffled, no texts.
+    """doc_id, source, size, source_size, target, taken, positions: one row a document. Only sizes are shuffled, no texts.
 
-    slopes: of the sources of weight 1, 2 and 3. place: of the document's first word in the first round; `places` has all.
+    slopes: of the sources of weight 1, 2 and 3. positions: of each reading of the document, in words of the whole training
+    before it; empty for one that isn't taken. Whole words of the targets are what training uses.
     """
     size = F.regexp_count(text_of(docs), F.lit(WORD)).cast("long")
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))))
     rows = stored(docs.select(F.col(id_column).alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), digest.alias("digest")), "mix_sizes")
     targets = source_targets(rows, max_repeats)
+    used = {r[0]: r[1] for r in targets.groupBy("weight").agg(F.sum(F.floor("target").cast("long"))).collect()}  # three sums
+    total, bend = float(sum(used.values())), float(sum(slopes[k - 1] * n for k, n in sorted(used.items())))
     key = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source")))
     rows = rows.withColumns({"key": key, "bucket": F.substring("digest", 1, BUCKET_DIGITS)})
     sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -82,33 +86,29 @@ def mixed(docs: DataFrame, slopes: tuple[float, float, float] = (-0.5, 0.0, 0.5)
     left = wanted - rounds_ * F.col("source_size")
     taken = rounds_ * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - begins))
     slope = F.element_at(F.array(*map(F.lit, slopes)), F.col("weight").cast("int"))
-    first = F.when((taken > 0) & (F.col("target") > 0), place(begins / F.col("target"), slope))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), first.alias("place"), begins.alias("begins"), slope.alias("slope"))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), begins.alias("begins"), slope.alias("slope"))
 
+    def position(round_: Column) -> Column:
+        t = due((round_ * F.col("source_size") + F.col("begins")) / F.col("target"), F.col("slope"))
+        return F.floor(F.lit(total) * t + F.lit(bend) * (t * t - t)).cast("long")
 
-def _n_rounds() -> Column:
-    return F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-
-
-def _place_of(round_: Column) -> Column:
-    return place((round_ * F.col("source_size") + F.col("begins")) / F.col("target"), F.col("slope"))
-
-
-def places() -> Column:
-    """Of a row of `mixed`: the places of all rounds in which the document is read, in their order."""
-    return F.when(_n_rounds() > 0, F.transform(F.sequence(F.lit(0), _n_rounds() - 1), _place_of)).otherwise(F.array().cast("array<double>"))
+    n = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    positions = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), position)).otherwise(F.array().cast("array<bigint>"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", positions.alias("positions"))
 
 
 def rounds(mix: DataFrame) -> DataFrame:
-    """One row for each time a document is read: doc_id, source, round, words, place, range-sorted by place."""
-    each = mix.where(_n_rounds() > 0).withColumn("round", F.explode(F.sequence(F.lit(0), _n_rounds() - 1)))
+    """The training sequence: one row for each reading, doc_id, source, round, words, position, range-sorted by position."""
+    each = mix.select("*", F.posexplode("positions").alias("round", "position"))
     words = F.least(F.col("size"), F.col("taken") - F.col("round") * F.col("size"))
-    return each.select("doc_id", "source", "round", words.alias("words"), _place_of(F.col("round")).alias("place")).orderBy("place", "doc_id", "round")
+    return each.select("doc_id", "source", "round", words.alias("words"), "position").orderBy("position", "doc_id", "round")
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixed(table(spark, sf_dir, "documents"))
-    return mix.drop("source", "begins", "slope").orderBy("place", "doc_id")
+    """`mixed`; positions as text, joined by commas, and rows in the order of the first reading, those not taken first."""
+    first = F.try_element_at("positions", F.lit(1))
+    mix = mixed(table(spark, sf_dir, "documents")).withColumn("position", first)
+    return mix.withColumn("positions", F.concat_ws(",", F.col("positions").cast("array<string>"))).drop("source").orderBy("position", "doc_id")
 
 
 OP9_SQL = r"""
@@ -144,9 +144,18 @@ targets AS (
   SELECT *, CASE WHEN source_size > 0 THEN wanted // source_size ELSE 0 END AS rounds FROM placed
 ), done AS (
   SELECT *, CAST(rounds * size + greatest(0, least(size, wanted - rounds * source_size - begins)) AS BIGINT) AS taken FROM took
+), used AS (
+  SELECT CAST(sum(floor(target)) AS DOUBLE) AS total, CAST(sum(slope * floor(target)) AS DOUBLE) AS bend
+  FROM (SELECT *, CASE weight WHEN 1 THEN -0.5::DOUBLE WHEN 2 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS slope FROM targets)
+), readings AS (
+  SELECT d.*, CASE WHEN size > 0 THEN CAST(ceil(taken / size) AS BIGINT) ELSE 0 END AS n FROM done d
+), shared AS (
+  SELECT r.*, list_transform(range(n), lambda k: (k * source_size + begins) / target) AS shares FROM readings r
+), dues AS (
+  SELECT s.*, list_transform(shares, lambda q: CASE WHEN slope = 0 THEN q ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * q) - (1 - slope)) / (2 * slope) END) AS times FROM shared s
+), positioned AS (
+  SELECT d.*, list_transform(times, lambda t: CAST(floor(u.total * t + u.bend * (t * t - t)) AS BIGINT)) AS places FROM dues d, used u
 )
-SELECT doc_id, size, source_size, target, taken,
-       CASE WHEN taken > 0 THEN CASE WHEN slope = 0 THEN begins / target
-            ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * (begins / target)) - (1 - slope)) / (2 * slope) END END AS place
-FROM done
+SELECT doc_id, size, source_size, target, taken, places[1] AS position, coalesce(array_to_string(places, ','), '') AS positions
+FROM positioned
 """
