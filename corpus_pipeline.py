@@ -2,6 +2,11 @@
 
 Each stage gets (spark, docs, sf_dir) and returns a frame; the next one reads what it returned from a table. All but the
 last return the columns of `documents`.
+
+Defined cases, of every stage: null texts are empty ones, which have no copies, no benchmark words, no secrets and no words
+to mix; empty tables give empty results, and without labels or benchmark nothing is removed; rows with the same id are kept
+or removed row by row, but of rows that are repeated as a whole `near_copies` keeps all that name their group; extra columns
+are passed on, whatever their names, and end at the mixture; very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -9,8 +14,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm.curriculum import mixed, places
+from corpusloom.llm.curriculum import mixed
 from corpusloom.llm.decontam import decontaminated
 from corpusloom.llm.neardup import one_of_each
 from corpusloom.llm.ordinal import good_documents
@@ -41,8 +47,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What of each document the mix takes, and where in training each of its readings is placed; the rows are in the order of the first."""
-    return mixed(docs).withColumn("places", places()).drop("begins", "slope").orderBy("place", "doc_id")
+    """What of each document the mix takes, and the positions in training of all its readings; the rows are in the order of the first."""
+    return mixed(docs).orderBy(F.try_element_at("positions", F.lit(1)), "doc_id")
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_copies", near_copies), ("decontamination", decontamination), ("secrets", secrets), ("mixture", mixture)]
