@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import buffers, pieces
-from .shared import fresh_path, stored, table, text_of
+from .shared import shared_dir, stored, table, text_of
 
 CACHE = "tokenizer binary, content binary, n_tokens long"
 #: Distinct words whose counts a task remembers before it starts anew.
@@ -109,10 +109,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048,
     misses = keyed.groupBy("content").agg(F.first("text").alias("text")).join(known().select("content"), "content", "left_anti")
     encoded(misses, tokenizer).select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
     counts = known().groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # one row even if two writers appended the same content
-    return rows.join(counts, "content").select(id_column, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # contents with more than a thousandth of the rows are a thousand at most: their rows meet them in a broadcast, not in one task
+    hot = rows.groupBy("content").count().where(F.col("count") > rows.count() // 1000).select("content")
+    hot = stored(hot.join(counts, "content"), "token_hot")
+    rows = rows.join(F.broadcast(hot.withColumnRenamed("n_tokens", "hot_tokens")), "content", "left")
+    rest = rows.where("hot_tokens is null").join(counts, "content").select(id_column, "n_bytes", "n_tokens")
+    both = rows.where("hot_tokens is not null").select(id_column, "n_bytes", F.col("hot_tokens").alias("n_tokens")).union(rest)
+    return both.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache lies in the shared folder and stays for later runs."""
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), fresh_path(spark, "token_cache"))
+    return count_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), f"{shared_dir(spark)}/token_cache")

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, over texts of every odd kind."""
 
 import base64
+import collections
 import gzip
 import hashlib
 import math
@@ -486,14 +487,34 @@ def test_source_mix(spark, odd, none):
     assert sum(r.target for rs in by.values() for r in rs[:1]) == pytest.approx(total)
     mix = mixed(docs)
     order = rounds(mix).collect()
-    assert sum(r["words"] for r in order) == sum(r.taken for r in got) and all(0 <= r.place <= 1 for r in order)
-    assert [r.place for r in order] == sorted(r.place for r in order)
+    assert sum(r["words"] for r in order) == sum(r.taken for r in got) == sum(math.floor(by[s][0].target + 1e-9) for s in names)
+    assert [r.position for r in order] == sorted(r.position for r in order)
+    whole, done, largest = sum(r["words"] for r in order), 0, max(r.size for r in got)
+    used = {s: 0 for s in names}
+    slope = {1: -0.5, 2: 0.0, 3: 0.5}
+    for r in order:  # a position is the number of words that training reads before, but for what of each source is begun then
+        assert abs(r.position - done) <= largest * len(names)
+        done += r["words"]
+        used[r.source] += r["words"]
+        low, high = 0.0, 1.0  # the time at which all schedules' integrals have used this position
+        for _ in range(50):
+            t = (low + high) / 2
+            sum_ = sum(math.floor(by[s][0].target + 1e-9) * ((1 - slope[weight[s]]) * t + slope[weight[s]] * t * t) for s in names)
+            low, high = (t, high) if sum_ < r.position else (low, t)
+        a = slope[weight[r.source]]
+        assert abs(used[r.source] - by[r.source][0].target * ((1 - a) * t + a * t * t)) <= largest + 2
+    assert done == whole
     late = {1: 0, 3: 0}  # a rising source has less than half of its words in the first half, a falling one more
     for r in order:
-        if weight[r.source] in late and r.place < 0.5:
+        if weight[r.source] in late and r.position < whole / 2:
             late[weight[r.source]] += r["words"]
     assert late[1] / sum(r["words"] for r in order if weight[r.source] == 1) > 0.55 and late[3] / sum(r["words"] for r in order if weight[r.source] == 3) < 0.45
-    assert pairs(mixed(odd), "doc_id", "taken", "place") == pairs(mixed(odd.repartition(3)), "doc_id", "taken", "place")
+    for x in got:
+        n = -(-x.taken // x.size) if x.size else 0
+        assert len(x.positions) == n and x.positions == sorted(x.positions)
+    assert pairs(mixed(odd), "doc_id", "taken", "positions") == pairs(mixed(odd.repartition(3)), "doc_id", "taken", "positions")
+    clash = odd.select("*", *(odd.extra.alias(c) for c in ("size", "key", "bucket", "digest", "target", "positions")))
+    assert pairs(mixed(clash), "doc_id", "taken", "positions") == pairs(mixed(odd), "doc_id", "taken", "positions")
     assert mixed(none).count() == 0
 
 
@@ -521,7 +542,27 @@ def test_fingerprints(spark, odd, none):
     same = lambda a, b: (a[0] == b[0]).all() and (a[1] == b[1]).all()
     assert same(one(0), one(1)) and same(fp.added(one(2), one(3)), one(0)) and same(fp.taken_out(one(0), one(3)), one(2)) and not v[0][4].any()
     assert fp.likeness(one(0), one(1))[0] == 1 and fp.likeness(one(0), one(2))[0] > 0.5 > fp.likeness(one(0), one(5))[0]
-    assert same(fp.read(fp.written(*v)), v) and np.array_equal(fp.read(fp.written(*v))[1], v[1])
+    assert same(fp.read(fp.written(*v)), v)
+    # against the definition, and likeness against the multisets themselves
+    r, pool = random.Random(9), [f"Line number {i}." for i in range(4000)]
+    lists = [[r.choice(pool[:: 1 + k % 3]) for _ in range(r.randrange(1, 300))] for k in range(60)] + [[pool[0]] * 40_000, [pool[0]] * 40_000 + pool[:3000] * 10]
+    many = ["\n".join(x).encode() for x in lists]
+    v = fp.vectors(*fp._flat(many))
+    for k in (0, 7, 60):
+        sums = [0] * fp.WIDE
+        for line in lists[k]:
+            digest = hashlib.blake2b(line.encode(), person=b"lanes").digest()
+            sums = [(s + int.from_bytes(digest[8 * i : 8 * i + 8], "little")) % (1 << 64) for i, s in enumerate(sums)]
+        assert v[0][k].tolist() == sums
+    assert same(fp.read(fp.written(*v)), v) and {f[0] for f in fp.written(*v)} == {"1", "4"}
+    off = []
+    for i in range(len(many)):
+        for j in range(i):
+            x, y = collections.Counter(lists[i]), collections.Counter(lists[j])
+            apart, both = sum((x[w] - y[w]) ** 2 for w in x | y), sum(c * c for c in (*x.values(), *y.values()))
+            off.append(fp.likeness(one(i), one(j))[0] - max(0.0, 1 - apart / both))
+    assert max(map(abs, off)) < 0.25 and (sum(x * x for x in off) / len(off)) ** 0.5 < 0.045
+    assert fp.likeness(one(60), one(61))[0] > 0.8
     assert fp.fingerprints(none).count() == 0
 
 
@@ -607,10 +648,11 @@ def test_pipeline_places_every_reading(spark):
     out = {r.doc_id: r for r in cp.mixture(spark, docs, "").collect()}
     want = {}
     for r in rounds(mixed(docs)).collect():
-        want.setdefault(r.doc_id, {})[r["round"]] = r.place
+        want.setdefault(r.doc_id, {})[r["round"]] = r.position
     assert max(map(len, want.values())) == 3 and len(out) == 901
-    assert all(r.places == [want.get(i, {})[k] for k in sorted(want.get(i, {}))] for i, r in out.items())
-    assert all(r.place == (r.places[0] if r.places else None) for r in out.values())
+    assert all(r.positions == [want.get(i, {})[k] for k in sorted(want.get(i, {}))] for i, r in out.items())
+    first = [r.positions[0] for r in cp.mixture(spark, docs, "").collect() if r.positions]
+    assert first == sorted(first)
 
 
 def test_near_duplicate_misses_at_every_threshold():
