@@ -89,16 +89,22 @@ def words(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndar
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, at)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal spans have equal hashes."""
-    power, inverse = _power(len(data) + 1)
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """Sums that `span_hashes` takes differences of."""
+    power, _ = _power(len(data) + 1)
     h, step = np.zeros(len(data) + 1, U), 1 << 17  # in blocks that stay in cache
     for i in range(0, len(data), step):
         block = _TABLE[data[i : i + step]]
         block *= power[i : i + len(block)]
         block[:1] += h[i]
         np.cumsum(block, out=h[i + 1 : i + 1 + len(block)])
-    return mix((h[ends] - h[starts]) * inverse[starts] + (ends - starts).astype(U))
+    return h
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; equal spans have equal hashes."""
+    h = prefix_hashes(data) if prefix is None else prefix
+    return mix((h[ends] - h[starts]) * _power(len(data) + 1)[1][starts] + (ends - starts).astype(U))
 
 
 def gather_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -36,11 +36,27 @@ class Bounds:
         n = max(1, -(-(n_bytes or 0) // chunk_bytes))
         ask = [i / n for i in range(1, n)]
         cuts = docs.where(F.col(id_column).isNotNull()).approxQuantile(id_column, ask, 0.25 / n) if ask and lo else []
-        self.cuts, self.n, self.n_bytes = np.unique(np.array(cuts, np.float64)), n + 1, n_bytes or 0
+        # cuts are approximate, and rounded for ids beyond 2^53; ids are compared with them as the integers they are
+        self.cuts, self.n, self.n_bytes = np.unique([min(max(int(c), -(1 << 63)), (1 << 63) - 1) for c in cuts]).astype(np.int64), n + 1, n_bytes or 0
 
     def chunk(self, ids: pa.Array) -> np.ndarray:
-        known = pc.fill_null(ids.cast(pa.float64()), np.inf).to_numpy(zero_copy_only=False)
-        return np.where(np.isinf(known), self.n - 1, np.searchsorted(self.cuts, known, "right"))
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        return np.where(null, self.n - 1, np.searchsorted(self.cuts, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), "right"))
+
+
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed blob; `unsqueezed` takes their kinds to read them."""
+    raw = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))
+
+
+def unsqueezed(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    sizes, at, out = struct.unpack_from(f"<{len(kinds)}q", raw), 8 * len(kinds), []
+    for n, kind in zip(sizes, kinds):
+        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
+        at += n
+    return out
 
 
 def packed(ids: list, data: np.ndarray, at: np.ndarray) -> bytes:

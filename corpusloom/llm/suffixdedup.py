@@ -1,41 +1,49 @@
-"""Removal of repeated byte strings: blockwise suffix sorting with a difference cover.
-
-A difference cover D modulo v has, for any two positions i and j, an offset below v at which both i and j plus the offset
-fall on the cover. So two equal strings of `length` bytes hold one pair of equal cover samples, strings of length - v + 1
-bytes, at the same place. Ranking the samples (equal or not) bounds what has to be sorted at full length:
-
-1. Chunks of documents rank their cover samples, one bucket of them at a time across the corpus; a sample that occurs once
-   rules out every suffix that would have to contain it.
-2. The suffixes left are sorted one bucket at a time by their first `length` bytes, as 64-bit digests that stand with a
-   bucket of the digest's range; of equal ones, the first chunk's first stays.
+"""Removal of repeated byte strings: suffix buckets, sorted one at a time with difference-cover ranks.
+
+A suffix counts by its first `length` bytes. Equal ones have the same least sample hash among the strings of `ROUTE` bytes
+that they hold, so suffixes are dealt out by it: neighbours in a text mostly share it and travel as one run, the bytes of
+all of them at once. Hashes only route; what is equal is decided by the bytes.
+
+1. A chunk of documents cuts its suffixes into runs. Of runs with the same bytes the first one is sent.
+2. A bucket has the text of all runs with hashes in its range, and takes them block by block. In a block, suffixes are
+   ranked by their first bytes. Longer ties are resolved with a difference cover D modulo v = `period`: for any two places
+   there is an offset below v at which both fall on the cover, so two suffixes with equal ends of v - 1 bytes are equal if
+   their cover samples, strings of length - v + 1 bytes ranked beforehand, are. Ranks are kept of an eighth to a fifth of the
+   places, and no more than a block is held. Of equal suffixes the first stays; a bit a suffix goes back.
 3. Each chunk cuts the bytes that later suffixes cover.
 
-Only the samples (an eighth of the positions, 4 bytes each) and the suffixes with a repeated sample (8 bytes each) move, and
-a task holds one chunk or one bucket. Equal digests count as equal strings; with 64 bits, a wrong cut is expected once in
-about 2^65 / n^2 corpora of n such suffixes.
+A run is some 37 suffixes in 136 bytes, so about 3.7 times the text moves, compressed. Rows are chunks times buckets, or as
+many as runs if those are fewer; chunks and blocks should grow with the executors' memory.
 
-Copies of whole earlier documents are set aside first: all of their bytes repeat, and nothing starts first in them.
-
-Defined cases: a null text is the empty one; documents are ordered by id, then by text, null ids last; of repeated rows
-the first stays; a document shorter than `length` keeps all its bytes.
+Defined cases: a null text is the empty one; documents are ordered by id, null ids last, those with the same id or none by a
+digest of their texts, then by their place in the stored chunks, so that of repeated rows one stays; a document shorter than
+`length` keeps all its bytes; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .bytetext import mix
-from .exchange import ASKED, CHUNK_BYTES, Bounds, Chunk, answered, asked, by_chunk, chunks, flags
-from .shared import table
+from .bytetext import buffers, gather_spans, pieces, prefix_hashes, span_hashes
+from .exchange import buckets_of, squeezed, unsqueezed
+from .shared import stored, table, text_of
 
 LENGTH = 100
-PERIOD = 57
+PERIOD = 31
+#: Bytes of the strings whose least hash routes a suffix.
+ROUTE = 28
+#: Bytes of text in a chunk; text of runs in a block, whose places fit into 20 bits.
+CHUNK_BYTES, BLOCK_BITS = 4 << 20, 20
+#: Tie groups are split by their first member so many times before all members are compared by residues.
+ROUNDS = 4
 U = np.uint64
-_K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], U)
 
 
 def difference_cover(v: int) -> list[int]:
@@ -64,114 +72,287 @@ def difference_cover(v: int) -> list[int]:
     return sorted(d)
 
 
-def digests(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """64-bit digests of the n bytes from each place; n >= 8."""
-    loads = np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,)) if len(data) >= 8 else np.zeros(0, U)
-    h = np.full(len(at), n, U)
-    for k, step in enumerate([*range(0, n - 8, 8), n - 8]):
-        h ^= loads[at + step] * _K[k % 4]
-        h ^= h >> U(29)
-        h *= _K[(k + 1) % 4]
-        h ^= h >> U(32)
-    return mix(h)
-
-
-class Work:
-    """One chunk's part in all rounds; every round derives the same keys from the same documents."""
-
-    def __init__(self, chunk: Chunk, n_buckets: int, length: int, cover: list[int], period: int):
-        self.c, self.n, self.length, self.cover, self.period = chunk, n_buckets, length, np.array(cover), period
-        digest = [hashlib.sha256(t).digest()[:8] for t in chunk.texts]
-        self.whole = np.frombuffer(b"".join(digest), "<u8")
-
-    def documents(self) -> np.ndarray:
-        return np.unique(self.whole)
-
-    def told_documents(self, told: dict) -> None:
-        """Sets aside the copies of documents that are earlier or in an earlier chunk."""
-        keys, first = np.unique(self.whole, return_index=True)
-        earlier, _ = flags(told, 0, keys, self.n)
-        self.copy = np.ones(len(self.whole), bool)
-        self.copy[first] = earlier
-        sizes = np.diff(self.c.at)
-        live = ~self.copy & (sizes >= self.length)
-        self.starts, self.ends = self.c.at[:-1][live], self.c.at[1:][live]
-
-    def samples(self) -> np.ndarray:
-        n, sample = len(self.c.data), self.length - self.period + 1
-        at = (np.arange(0, n, self.period)[:, None] + self.cover).ravel()
-        k = np.searchsorted(self.starts, at, "right") - 1
-        at = at[(k >= 0) & (at + sample <= np.append(self.ends, 0)[k])]  # k = -1 reads the 0
-        self.at = at
-        keys, self.of, count = np.unique(digests(self.c.data, at, sample), return_inverse=True, return_counts=True)
-        self.twice = count > 1
-        return keys
-
-    def told_samples(self, told: dict, keys: np.ndarray) -> None:
-        """Which suffixes contain a sample that occurs again."""
-        _, other = flags(told, 1, keys, self.n)
-        hit = self.at[(other | self.twice)[self.of]]
-        k = np.searchsorted(self.starts, hit, "right") - 1
-        n = len(self.c.data)
-        edge = np.zeros(n + 2, np.int32)
-        np.add.at(edge, np.maximum(hit - (self.period - 1), self.starts[k]) if len(hit) else hit, 1)
-        np.add.at(edge, hit + 1, -1)
-        may = np.cumsum(edge)[:n] > 0
-        for_all = np.zeros(n + 1, np.int32)  # places where a suffix of full length begins within its document
-        np.add.at(for_all, self.starts, 1)
-        np.add.at(for_all, self.ends - self.length + 1, -1)
-        self.at = np.flatnonzero(may & (np.cumsum(for_all)[:n] > 0))
-
-    def suffixes(self) -> np.ndarray:
-        keys, first, self.of = np.unique(digests(self.c.data, self.at, self.length), return_index=True, return_inverse=True)
-        self.later = np.ones(len(self.at), bool)
-        self.later[first] = False
-        return keys
-
-    def removed(self, told: dict, keys: np.ndarray) -> np.ndarray:
-        earlier, _ = flags(told, 2, keys, self.n)
-        hit = self.at[self.later | earlier[self.of]]
-        edge = np.zeros(len(self.c.data) + 1, np.int32)
-        edge[hit] += 1  # places differ
-        edge[hit + self.length] -= 1
-        gone = np.cumsum(edge)[:-1] > 0
-        for k in np.flatnonzero(self.copy & (np.diff(self.c.at) >= self.length)):
-            gone[self.c.at[k] : self.c.at[k + 1]] = True
-        return gone
+# -- runs of a chunk ---------------------------------------------------------------------------------------------------
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours, by the least from and up to the ends of blocks."""
+    n = len(h) - width + 1
+    blocks = np.full(-(-len(h) // width) * width, np.iinfo(U).max, U)
+    blocks[: len(h)] = h
+    blocks = blocks.reshape(-1, width)
+    after = np.minimum.accumulate(blocks, axis=1).reshape(-1)[width - 1 : width - 1 + n]
+    before = np.ascontiguousarray(np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]).reshape(-1)[:n]
+    return np.minimum(before, after, out=before)
+
+
+class Chunk:
+    """The documents of a stored chunk in their order, and the runs of their suffixes."""
+
+    def __init__(self, blob: bytes, length: int, route: int = ROUTE):
+        null, ids, tie, at, data = unsqueezed(blob, "?", "<i8", "<u4", "<i8", "u1")
+        self.null, self.ids, self.tie, self.at, self.data, self.length = null, ids, tie, at, data, length
+        n, width = len(data), length - route + 1
+        self.starts = self.ends = np.zeros(0, np.int64)
+        self.key, self.multi, self.of = np.zeros(0, U), np.zeros(0, bool), np.zeros(0, np.int64)
+        sizes = np.diff(at)
+        if not (sizes >= length).any():
+            return
+        prefix = prefix_hashes(data)
+        h = span_hashes(data, np.arange(n - route + 1), np.arange(route, n + 1), prefix)
+        least = _least(h, width)
+        edge = np.zeros(n + 2, np.int8)
+        whole = sizes >= length
+        np.add.at(edge, at[:-1][whole], 1)
+        np.add.at(edge, at[1:][whole] - length + 1, -1)
+        valid = np.cumsum(edge, dtype=np.int8)[: len(least)] > 0  # suffixes that lie in one document
+        first, last = valid.copy(), valid.copy()
+        on = valid[1:] & valid[:-1] & (least[1:] == least[:-1])
+        first[1:] &= ~on
+        last[:-1] &= ~on
+        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.key = least[self.starts]
+        del least, edge, valid, first, last, on
+        # whether the least hash is there again, so that suffixes of the run itself may be equal
+        x = self.starts.copy()
+        for _ in range(width - 1):
+            x += h[x] != self.key
+        limit = np.minimum(self.ends + width - 2, len(h) - 1)
+        self.multi = self.ends - self.starts > width
+        for d in range(1, 2 * width - 1):
+            self.multi |= (x + d <= limit) & (h[np.minimum(x + d, limit)] == self.key)
+        # of runs with the same bytes, the first
+        self.of = np.arange(len(self.starts))
+        stop = self.ends + length - 1
+        digest = span_hashes(data, self.starts, stop, prefix)
+        del h, prefix
+        order = np.argsort(digest, kind="stable")
+        head = np.concatenate([[True], digest[order][1:] != digest[order][:-1]])
+        rep = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        may, rep = order[~head], rep[~head]
+        for i in range(0, len(may), 1 << 13):
+            m, r = may[i : i + (1 << 13)], rep[i : i + (1 << 13)]
+            alike = stop[m] - self.starts[m] == stop[r] - self.starts[r]
+            m, r = m[alike], r[alike]
+            if len(m):
+                same = gather_spans(data, self.starts[m], stop[m]) == gather_spans(data, self.starts[r], stop[r])
+                size = stop[m] - self.starts[m]
+                ok = np.add.reduceat(same.astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]])) == size
+                self.of[m[ok]] = r[ok]
+
+    def sent(self, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Buckets, and the runs that go there."""
+        own = np.flatnonzero(self.of == np.arange(len(self.of)))
+        own = own[np.argsort(self.key[own], kind="stable")]
+        of = buckets_of(self.key[own], n_buckets)
+        at = np.flatnonzero(np.diff(of, prepend=-1)) if len(of) else np.zeros(0, np.int64)
+        return zip(of[at].tolist(), np.split(own, at[1:]) if len(at) else [])
+
+    def blob(self, runs: np.ndarray) -> bytes:
+        doc = np.searchsorted(self.at, self.starts[runs], "right") - 1
+        text = gather_spans(self.data, self.starts[runs], self.ends[runs] + self.length - 1)
+        return squeezed((self.key[runs] & U(0xFFFFFFFF)).astype("<u4"), (self.ends - self.starts)[runs].astype("<u4"), self.multi[runs], self.null[doc], self.ids[doc], self.tie[doc], self.starts[runs] - self.at[doc], text)
+
+    def gone(self, told: dict[int, bytes], n_buckets: int) -> np.ndarray:
+        """The bytes that later suffixes cover."""
+        n = len(self.data)
+        later = np.zeros(n + 1, bool)
+        for bucket, runs in self.sent(n_buckets):
+            size = (self.ends - self.starts)[runs]
+            place = gather_spans(np.arange(n), self.starts[runs], self.ends[runs])
+            later[place] = np.unpackbits(np.frombuffer(told[bucket], np.uint8), count=int(size.sum())).astype(bool)
+        copy = np.flatnonzero(self.of != np.arange(len(self.of)))
+        edge = np.zeros(n + 1, np.int32)
+        edge[:n] += later[:n]
+        if n >= self.length:
+            edge[self.length :] -= later[: n + 1 - self.length]
+        np.add.at(edge, self.starts[copy], 1)  # all suffixes of a copy are later ones
+        np.add.at(edge, self.ends[copy] + self.length - 1, -1)
+        return np.cumsum(edge)[:n] > 0
+
+
+# -- blocks of a bucket ------------------------------------------------------------------------------------------------
+
+
+def ranked(key: np.ndarray) -> np.ndarray:
+    """Dense ranks of unsigned keys. Those that leave room for their places are sorted together with them, which is faster."""
+    n = len(key)
+    if not n:
+        return np.zeros(0, U)
+    if n <= 1 << BLOCK_BITS and int(key.max()) < 1 << (64 - BLOCK_BITS):
+        both = key << U(BLOCK_BITS) | np.arange(n, dtype=U)
+        both.sort()
+        key, at = both >> U(BLOCK_BITS), (both & U((1 << BLOCK_BITS) - 1)).astype(np.int64)
+    else:
+        at = np.argsort(key, kind="stable")
+        key = key[at]
+    out = np.empty(n, U)
+    out[at] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])).astype(U)
+    return out
+
+
+def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dense ranks of pairs of dense ranks."""
+    bits = U(max(1, int(y.max(initial=0)).bit_length()))
+    return ranked(x << bits | y)
+
+
+def head_ranks(text: np.ndarray, width: int) -> np.ndarray:
+    """Ranks of the strings of `width` bytes (5 at least) from each place that has them; by doubling."""
+    n = len(text) - 4
+    key = np.zeros(n, U)
+    for k in range(5):
+        key = key << U(8) | text[k : n + k].astype(U)
+    rank, w = ranked(key), 5
+    while w < width:
+        step = min(w, width - w)
+        rank = joined(rank[: len(rank) - step], rank[step:])
+        w += step
+    return rank
+
+
+class Cover:
+    """A difference cover modulo v, and for two residues the least offset at which both fall on it."""
+
+    def __init__(self, v: int):
+        d = difference_cover(v)
+        self.v, self.on = v, np.zeros(v, bool)
+        self.on[d] = True
+        both = np.stack([[[self.on[(i + k) % v] and self.on[(j + k) % v] for k in range(v)] for j in range(v)] for i in range(v)])
+        self.offset = both.argmax(axis=2)
+
+
+def later_of(text: np.ndarray, places: np.ndarray, length: int, cover: Cover) -> np.ndarray:
+    """Whether the string of `length` bytes from a place is there from an earlier one of the places, which are ascending."""
+    v, depth, end = cover.v, length - cover.v + 1, cover.v - 1
+    head = head_ranks(text, end)
+    # ranks of the cover samples, by as many heads as they take
+    sample = np.flatnonzero(cover.on[np.arange(len(text) - depth + 1) % v])
+    rank = (head if depth >= end else head_ranks(text, depth))[sample]
+    at = end
+    while at < depth:
+        step = min(at, depth - end)
+        rank, at = joined(rank, head[sample + step]), step + end
+    of_place = np.zeros(len(text) + 1, np.int64)
+    of_place[sample] = rank
+    # suffixes in order of their first and last bytes; ties by the ranks at the offset that a suffix has with its group's first
+    tie = joined(head[places], head[places + length - end])
+    order = np.argsort(tie, kind="stable")
+    group, at = tie[order], places[order]
+    later, open_ = np.zeros(len(places), bool), np.arange(len(places))
+    for _ in range(ROUNDS):
+        if not len(open_):
+            return later
+        first = np.concatenate([[True], group[open_][1:] != group[open_][:-1]])
+        lead = at[open_[np.maximum.accumulate(np.where(first, np.arange(len(open_)), 0))]]
+        p = at[open_]
+        d = cover.offset[p % v, lead % v]
+        same = of_place[p + d] == of_place[lead + d]
+        later[order[open_[same & ~first]]] = True
+        open_ = open_[~same]
+    _by_residues(at, group, order, open_, of_place, cover, later)
+    return later
+
+
+def _by_residues(at: np.ndarray, group: np.ndarray, order: np.ndarray, open_: np.ndarray, of_place: np.ndarray, cover: Cover, later: np.ndarray) -> None:
+    """Of large groups of unlike suffixes: members of two residues have one offset, so a sort by the ranks there finds all equal pairs."""
+    v = cover.v
+    by = [open_[at[open_] % v == r] for r in range(v)]
+    for b in range(v):
+        for a in range(b + 1):
+            if not len(by[a]) or not len(by[b]):
+                continue
+            d = cover.offset[a, b]
+            members = by[a] if a == b else np.concatenate([by[a], by[b]])
+            key = joined(ranked(group[members]), ranked(of_place[at[members] + d].astype(U)))
+            least = np.full(int(key.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, key.astype(np.int64), at[members])
+            later[order[members[at[members] > least[key.astype(np.int64)]]]] = True
+
+
+def sorted_bucket(parts: list[tuple[int, bytes]], length: int, cover: Cover) -> list[bytes]:
+    """For the runs that each chunk sent, a bit a suffix: whether an equal one is earlier. Block by block of equal hashes."""
+    parts = [(c, *unsqueezed(b, "<u4", "<u4", "?", "?", "<i8", "<u4", "<i8", "u1")) for c, b in parts]
+    size = np.concatenate([p[2] for p in parts]).astype(np.int64)
+    key, multi, null, ids, tie, start = (np.concatenate([p[k] for p in parts]) for k in (1, 3, 4, 5, 6, 7))
+    chunk = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+    text = np.concatenate([p[8] for p in parts])
+    begin = np.concatenate([[0], np.cumsum(size + length - 1)])
+    where = np.concatenate([[0], np.cumsum(size)])
+    later = np.zeros(where[-1], bool)
+    order = np.lexsort((start, chunk, tie, ids, null, key))
+    head = np.flatnonzero(np.diff(key[order].astype(np.int64), prepend=-1))
+    n = np.diff(np.append(head, len(order)))
+    busy = (n > 1) | np.maximum.reduceat(multi[order], head) if len(head) else np.zeros(0, bool)
+    groups = [order[a : a + m] for a, m in zip(head[busy].tolist(), n[busy].tolist())]
+    i = 0
+    while i < len(groups):
+        j, total = i, 0
+        while j < len(groups) and (j == i or total + (size[groups[j]] + length - 1).sum() <= 1 << BLOCK_BITS):
+            total += int((size[groups[j]] + length - 1).sum())
+            j += 1
+        runs = np.concatenate(groups[i:j])
+        block = gather_spans(text, begin[runs], begin[runs] + size[runs] + length - 1)
+        to = np.concatenate([[0], np.cumsum(size[runs] + length - 1)])[:-1]
+        places = gather_spans(np.arange(len(block)), to, to + size[runs])
+        later[gather_spans(np.arange(len(later)), where[runs], where[runs + 1])] = later_of(block, places, length, cover)
+        i = j
+    cut = np.concatenate([[0], np.cumsum([len(p[1]) for p in parts])])
+    return [np.packbits(later[where[a] : where[b]]).tobytes() for a, b in zip(cut, cut[1:])]
+
+
+# -- the corpus --------------------------------------------------------------------------------------------------------
+
+
+def stored_chunks(docs: DataFrame, chunk_bytes: int, id_column: str, text_column: str) -> DataFrame:
+    """(chunk, blob): documents by some megabytes, in their order; a chunk keeps its number however often it is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in pieces(batch, limit=chunk_bytes):
+                data, at = buffers(part.column(1))
+                null = part.column(0).is_null().to_numpy(zero_copy_only=False)
+                ids = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+                raw, cut = data.tobytes(), at.tolist()
+                tie = np.frombuffer(b"".join(hashlib.sha256(raw[a:b]).digest()[:4] for a, b in zip(cut, cut[1:])), "<u4")
+                order = np.lexsort((tie, ids, null))
+                data = gather_spans(data, at[order], at[order + 1])
+                at = np.concatenate([[0], np.cumsum(np.diff(at)[order])])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([squeezed(null[order], ids[order], tie[order], at, data)], pa.binary())], ["chunk", "blob"])
+                number += 1
+
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(docs, text_column).alias("text"))
+    return stored(rows.mapInArrow(run, "chunk long, blob binary"), "repeat_chunks")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, chunk_bytes: int = CHUNK_BYTES, keep_text: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, chunk_bytes: int = CHUNK_BYTES, keep_text: bool = True, id_column: str = "doc_id", text_column: str = "text", route: int = ROUTE) -> DataFrame:
     """Each document without the bytes that repeat earlier ones: RESULT; `kept` only with keep_text."""
-    if length - period + 1 < 8:
-        raise ValueError("a cover sample has 8 bytes at least")
-    cover = difference_cover(period)
-    bounds = Bounds(docs, id_column, text_column, chunk_bytes)
-    n = max(1, bounds.n_bytes // chunk_bytes)
-    rows = chunks(docs, bounds, id_column, text_column)
-    work = lambda c: Work(c, n, length, cover, period)
-
-    def first(i: int, c: Chunk, told: dict) -> pa.Table:
-        return asked(i, work(c).documents(), n, 8)
-
-    def second(i: int, c: Chunk, told: dict) -> pa.Table:
-        w = work(c)
-        w.told_documents(told)
-        return asked(i, w.samples(), n, 4)
-
-    def third(i: int, c: Chunk, told: dict) -> pa.Table:
-        w = work(c)
-        w.told_documents(told)
-        w.told_samples(told, w.samples())
-        return asked(i, w.suffixes(), n, 8)
-
-    def last(i: int, c: Chunk, told: dict) -> pa.Table:
-        w = work(c)
-        w.told_documents(told)
-        w.told_samples(told, w.samples())
-        gone = w.removed(told, w.suffixes())
+    route = min(route, length)
+    if not 6 <= period <= length - 4:
+        raise ValueError("a cover sample, and the ends that are compared, have 5 bytes at least")
+    n_bytes = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    n = max(1, n_bytes // chunk_bytes)
+    chunks = stored_chunks(docs, chunk_bytes, id_column, text_column)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                chunk = Chunk(blob.as_py(), length, route)
+                for bucket, runs in chunk.sent(n):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), pa.array([chunk.blob(runs)], pa.binary())], ["bucket", "chunk", "blob"])
+
+    def sort(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("chunk").to_pylist(), group.column("blob").to_pylist()))
+        bits = sorted_bucket(rows, length, Cover(period))
+        return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int64()), "bucket": group.column("bucket"), "blob": pa.array(bits, pa.binary())})
+
+    def cut(group: pa.Table, told: pa.Table) -> pa.Table:
+        c = Chunk(group.column("blob")[0].as_py(), length, route)
+        gone = c.gone(dict(zip(told.column("bucket").to_pylist(), told.column("blob").to_pylist())), n)
         total = np.concatenate([[0], np.cumsum(gone)])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -179,13 +360,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
         begins[head] = gone[head]
         spans = np.concatenate([[0], np.cumsum(begins)])
         n_removed = total[c.at[1:]] - total[c.at[:-1]]
-        kept = [t if r == 0 else c.data[a:b][~gone[a:b]].tobytes() for t, r, a, b in zip(c.texts, n_removed.tolist(), c.at.tolist(), c.at[1:].tolist())]
-        return pa.table({"doc_id": pa.array(c.ids, pa.int64()), "n_bytes": pa.array(np.diff(c.at), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(spans[c.at[1:]] - spans[c.at[:-1]], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept": pa.array(kept if keep_text else [None] * len(kept), pa.binary())})
-
-    told = answered(by_chunk(rows, None, first, ASKED), 0, 8)
-    told = told.union(answered(by_chunk(rows, told, second, ASKED), 1, 4))
-    told = told.union(answered(by_chunk(rows, told, third, ASKED), 2, 8))
-    return by_chunk(rows, told, last, RESULT)
+        raw = c.data.tobytes()
+        kept = [raw[a:b] if r == 0 else c.data[a:b][~gone[a:b]].tobytes() for r, a, b in zip(n_removed.tolist(), c.at.tolist(), c.at[1:].tolist())]
+        ids = [None if x else i for x, i in zip(c.null.tolist(), c.ids.tolist())]
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(np.diff(c.at), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(spans[c.at[1:]] - spans[c.at[:-1]], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept": pa.array(kept if keep_text else [None] * len(kept), pa.binary())})
+
+    runs = chunks.mapInArrow(send, "bucket int, chunk long, blob binary")
+    told = runs.groupBy("bucket").applyInArrow(sort, "chunk long, bucket int, blob binary")
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cut, RESULT)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,7 +248,7 @@ def brute_repeats(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("length", "period", "chunk_bytes"), [(100, 57, 30_000), (40, 31, 8 << 20)])
+@pytest.mark.parametrize(("length", "period", "chunk_bytes"), [(100, 57, 30_000), (40, 31, 8 << 20), (100, 31, 4 << 20)])
 def test_suffix_dedup(spark, odd, none, length, period, chunk_bytes):
     from corpusloom.llm.suffixdedup import without_repeats
 
@@ -258,6 +258,53 @@ def test_suffix_dedup(spark, odd, none, length, period, chunk_bytes):
     assert without_repeats(none).count() == 0
 
 
+def test_suffix_buckets_decide_by_bytes(monkeypatch):
+    """Colliding hashes, small blocks, ties of all depths and every residue: what is removed is what a set of strings says."""
+    import numpy as np
+
+    from corpusloom.llm import suffixdedup as sd
+    from corpusloom.llm.exchange import squeezed
+
+    r, plain = random.Random(1), sd.span_hashes
+
+    def text():
+        k = r.randrange(6)
+        if k < 3:
+            return [b"x" * r.randrange(600), b"ab" * r.randrange(300), bytes(r.choice(b"ab") for _ in range(r.randrange(300))) * r.randrange(1, 3)][k]
+        if k == 3:
+            return b"0123456789abcdefghijklmnopqrstu"[: r.randrange(5, 31)] * r.randrange(20)
+        return b" ".join(r.choice([b"the", b"quick", b"brown", b"fox", b"jumps", b"%d" % r.randrange(5)]) for _ in range(r.randrange(90)))
+
+    for trial in range(40):
+        monkeypatch.setattr(sd, "ROUNDS", r.choice([0, 1, 4]))
+        monkeypatch.setattr(sd, "BLOCK_BITS", r.choice([20, 11, 16]))
+        monkeypatch.setattr(sd, "span_hashes", (lambda *a: plain(*a) & np.uint64(3 << 60 | 1)) if trial % 3 == 0 else plain)
+        docs = [text() for _ in range(12)]
+        docs += [docs[r.randrange(12)][r.randrange(50) :] + text() for _ in range(8)]
+        length, period = r.choice([(100, 31), (40, 13), (100, 50), (30, 7), (64, 31), (100, 57)])
+        buckets, per, chunks, sent = r.choice([1, 3, 7]), r.choice([1, 4, 30]), [], {}
+        for c in range(0, len(docs), per):
+            d = docs[c : c + per]
+            chunks.append(sd.Chunk(squeezed(np.zeros(len(d), bool), np.arange(c, c + len(d)), np.zeros(len(d), "<u4"), np.cumsum([0, *map(len, d)]), np.frombuffer(b"".join(d), np.uint8)), length, min(28, length)))
+        told = [{} for _ in chunks]
+        for i, c in enumerate(chunks):
+            for k, runs in c.sent(buckets):
+                sent.setdefault(k, []).append((i, c.blob(runs)))
+        for k, parts in sent.items():
+            for (i, _), bits in zip(parts, sd.sorted_bucket(parts, length, sd.Cover(period))):
+                told[i][k] = bits
+        got = b"".join(c.gone(t, buckets).astype(np.uint8).tobytes() for c, t in zip(chunks, told))
+        seen, want = set(), []
+        for b in docs:
+            gone = bytearray(len(b))
+            for p in range(len(b) - length + 1):
+                if b[p : p + length] in seen:
+                    gone[p : p + length] = b"\1" * length
+                seen.add(b[p : p + length])
+            want.append(bytes(gone))
+        assert got == b"".join(want), (trial, length, period, buckets, per)
+
+
 def test_difference_covers():
     from corpusloom.llm.suffixdedup import difference_cover
 
