@@ -7,9 +7,11 @@
    Sets that fit into their sketches have a t that follows from their size alone; for larger ones t is the
    largest number that a pair at the threshold misses at most once in 10^8 (`common_of`), and estimates below the share
    t / 64 are what such a pair doesn't have either.
-3. A list's members are compared in one task, or, if there are more than 2 `BLOCK`, in pairs of blocks: sketches give the
-   overlap and an estimate of the Jaccard similarity of the sets, and what passes is held against the full sets. Of the
-   links found, a task returns a spanning forest, so rows grow with members, not with pairs.
+3. A list's members are compared in one task: sketches give the overlap and an estimate of the Jaccard similarity of the
+   sets, and what passes is held against the full sets. Of the links found, a task returns a spanning forest, so rows grow
+   with members, not with pairs. A longer list is dealt into blocks, each compared within itself and with some `PIVOTS` members
+   that all blocks have. That joins a family of copies in time that grows with its members; members that are not in the
+   list's largest component then are compared with all others, block by block, so no link is lost.
 4. Forests join up to components by alternating star contraction.
 
 Defined cases: null and word-free texts have the empty set and are linked with nothing; a text of fewer than five words is
@@ -32,6 +34,8 @@ from .bytetext import LOWER, NOT_SPACE, buffers, mix, pieces, span_hashes, words
 from .shared import stored, table
 
 SHINGLE, KEPT, BLOCK = 5, 64, 1024
+#: Members of a long list that all its blocks have; hashes of full sets that a block should hold.
+PIVOTS, HASHES = 32, 1 << 22
 #: Of pairs at the threshold, the share that may be missed.
 MISS = 1e-8
 U = np.uint64
@@ -159,18 +163,26 @@ def linked(sets: list[np.ndarray], percent: int, kept: int = KEPT, common: int |
     return forest
 
 
+def met(rows: DataFrame, facts: DataFrame, key: str, heavy, how: str = "inner") -> DataFrame:
+    """rows joined with the one fact of their key. Keys that are `heavy` have over a thousandth of all rows, so there are a
+    thousand at most: their facts are broadcast, and no task gets all rows of such a key."""
+    hot = F.broadcast(facts.where(heavy))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(~heavy), key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of (a, b): alternating large and small stars until nothing changes.
 
     Each round halves the depth of chains, at least; only minima and single edges are exchanged, so a hub costs no list.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         if not large:
             both = both.where("v < u")
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        moved = both.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("degree"))
+        moved = met(both, least, "u", F.col("degree") > 2 * n // 1000)
         if large:
             return moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         return moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
@@ -179,7 +191,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     was = sign(e)
     while was[0]:
-        e = stored(star(star(e, True), False), "edges")
+        e = stored(star(e, True, was[0]), "edges")
+        e = stored(star(e, False, e.count()), "edges")
         now = sign(e)
         if now == was:
             break
@@ -191,34 +204,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, kep
     """doc_id, n_shingles, component_id, kept: one row a document. Links are pairs with 100 |A and B| >= percent |A or B|."""
     common = common_of(percent, kept) if common is None else common
     rows = stored(sketched(docs, id_column, size, kept), "sketches")
-    classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    n_rows = rows.count()
+    classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     # the rarest retained hashes of each class that any other class retains too
     entries = classes.select("node", "n", F.explode("sketch").alias("v"))
-    counts = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    entries = entries.join(counts, "v")
+    counts = entries.groupBy("v").agg(F.count("*").alias("df"), F.sum("n").alias("hashes")).where("df > 1")
+    n_entries = classes.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()[0]
+    entries = met(entries, counts, "v", F.col("df") > n_entries // 1000)
     k = F.least(F.col("n"), F.lit(kept))
     whole = int(kept * percent / 100)  # partners of sets up to this size fit into their sketches
     t = F.when(F.col("n") <= whole, F.ceil(F.col("n") * percent / 100.0 - 1e-9)).otherwise(F.lit(common))
     mine = Window.partitionBy("node")
     lone = k - F.count("*").over(mine)  # hashes of one class only come first, and are in no list
     rank = F.row_number().over(mine.orderBy("df", "v"))
-    entries = entries.select("node", "v", "df", rank.alias("rank"), (k - t + 1 - lone).alias("most")).where("rank <= most").select("node", "v", "df")
+    blocks = F.ceil(F.greatest(F.col("df") / block, F.col("hashes") / HASHES)).cast("int")
+    entries = entries.select("node", "v", "df", blocks.alias("blocks"), rank.alias("rank"), (k - t + 1 - lone).alias("most")).where("rank <= most").drop("rank", "most")
     entries = stored(entries, "entries")
 
-    # lists with the same members are one; long ones are compared block by block
-    short = entries.where(F.col("df") <= 2 * block).groupBy("v").agg(F.array_sort(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
+    # lists with the same members are one; long ones are compared by blocks that share pivots
+    short = entries.where("blocks <= 2").groupBy("v").agg(F.array_sort(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
     short = short.select("nodes").distinct().select(F.md5(F.concat_ws(",", F.transform("nodes", F.hex))).alias("list"), F.explode("nodes").alias("node"))
-    blocks = F.ceil(F.col("df") / block).cast("int")
-    own = F.pmod(F.xxhash64("node", "v"), blocks).cast("int")
-    long = entries.where(F.col("df") > 2 * block).select("node", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).where("own <> other")
-    long = long.select(F.concat_ws(":", "v", F.least("own", "other"), F.greatest("own", "other")).alias("list"), "node")
-    members = stored(short.union(long), "members")
-
-    asked = members.select("node").distinct().join(rows.select("node", "doc_id"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = asked.select(F.col("doc_id").alias("asked_id")).distinct()
-    there = docs.select(F.col(id_column).cast("long").alias("doc_id"), "text").join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("asked_id")), "left_semi")
-    sets = full_sets(there, "doc_id", size).join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.first("whole").alias("whole"))
+    long = entries.where("blocks > 2").withColumn("own", F.pmod(F.xxhash64("node", "v"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pivot = F.pmod(F.xxhash64("v", "node"), F.ceil(F.col("df") / PIVOTS)) == 0
+    dealt = long.select("v", "node", F.explode(F.when(pivot, every).otherwise(F.array("own"))).alias("at")).select(F.concat_ws(":", "v", "at").alias("list"), "node")
 
     def compare(group: pa.Table) -> pa.Table:
         nodes = group.column("node").to_pylist()
@@ -226,15 +236,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, kep
         pairs = linked(found, percent, kept, common)
         return pa.table({"a": pa.array([nodes[i] for i, _ in pairs], pa.binary()), "b": pa.array([nodes[j] for _, j in pairs], pa.binary())})
 
-    forest = members.join(sets, "node").select("list", "node", "whole").groupBy("list").applyInArrow(compare, "a binary, b binary")
-    roots = components(forest)
-
-    ids = classes.select("node", "least_id").join(roots, "node", "left")
-    least = ids.where("root is not null").groupBy("root").agg(F.min("least_id").alias("root_id"))
-    ids = ids.join(least, "root", "left").select("node", F.coalesce("root_id", "least_id").alias("component"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(ids, "node", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    def forest(members: DataFrame) -> DataFrame:
+        asked = members.select("node").distinct().join(classes.select("node", "least_id"), "node")
+        ids = asked.select(F.col("least_id").alias("asked_id")).distinct()
+        there = docs.select(F.col(id_column).cast("long").alias("doc_id"), "text").join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("asked_id")), "left_semi")
+        sets = full_sets(there, "doc_id", size).join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.first("whole").alias("whole"))
+        return members.join(sets, "node").select("list", "node", "whole").groupBy("list").applyInArrow(compare, "a binary, b binary")
+
+    links = stored(forest(stored(short.union(dealt), "members")), "links")
+    roots = components(links)
+    if not long.isEmpty():  # what no block joined to most of its list is held against the whole of it
+        named = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        most = named.groupBy("v", "root", "df").agg(F.count("*").alias("m")).groupBy("v", "df").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.sum("m") - F.max("m")).alias("others")).where("others > 0")
+        named = stored(met(named.drop("df"), most, "v", F.col("df") > n_entries // 1000), "long_lists")
+        if not named.isEmpty():
+            parts = F.ceil(F.col("others") / block).cast("int")
+            part = F.pmod(F.xxhash64("v", "node"), parts).cast("int")
+            outside = named.where("root <> main").select("v", "node", part.alias("part"), F.explode(every).alias("at"))
+            inside = named.select("v", "node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("own").alias("at"))
+            held = outside.union(inside).select(F.concat_ws(":", "v", "part", "at").alias("list"), "node").distinct()
+            roots = components(links.union(forest(stored(held, "members"))))
+
+    ids = classes.select("node", "least_id", "copies").join(roots, "node", "left")
+    least = ids.where("root is not null").groupBy("root").agg(F.min("least_id").alias("root_id"), F.count("*").alias("size"))
+    ids = met(ids.where("root is not null"), least, "root", F.col("size") > n_rows // 1000).select("node", "copies", F.coalesce("root_id", "least_id").alias("component")).union(ids.where("root is null").select("node", "copies", "least_id"))
+    found = met(rows.where("node is not null").select("doc_id", "n", "node"), ids, "node", F.col("copies") > n_rows // 1000).select("doc_id", F.col("n").alias("n_shingles"), "component")
+    found = found.union(rows.where("node is null").select("doc_id", "n", "doc_id"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull()).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
