@@ -10,7 +10,8 @@ It is fitted on a bounded sample of rated documents (`SAMPLE`, in order of a dig
 text in one scan.
 
 Defined cases: a null text is the empty one, and scored by its facts alone; ratings without a grade, or of documents that
-aren't there, are ignored; without any rating all documents are kept; an id rated twice counts twice.
+aren't there, are ignored; without any rating all documents are kept, without grades; an id rated twice counts twice; of several
+documents with a rated id the least text is the rated one; each document row is graded by itself; extra columns are passed on.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .bytetext import ALNUM, LOWER, buffers, mix, pieces, span_hashes, words
 from .shared import table
@@ -34,6 +36,8 @@ BEGINNINGS = (5, 6)
 OFTEN = 0.01
 #: Fewest sample documents that a feature must be in to be tested.
 TESTED = 3
+#: Bytes of text whose features are held at a time; a longer text is held whole.
+PIECE = 1 << 20
 U = np.uint64
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#$%&*|<>{}[]~^_=+@\\/"]] = True
@@ -73,6 +77,26 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([texts, *[rows] * len(extra)]), np.concatenate([(keys & U(0xFFFFFFFF)).astype(np.int64), *(x.astype(np.int64) for x in extra)])
 
 
+def thresholds(theta: np.ndarray) -> np.ndarray:
+    """Ordered cuts of the first cut and the logs of the gaps between them."""
+    return np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))])
+
+
+def loss(w: np.ndarray, theta: np.ndarray, texts: np.ndarray, cols: np.ndarray, grades: np.ndarray, own: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log likelihood of the grades, texts weighing `own`, with a ridge, and its gradients by w and theta."""
+    n, n_grades = len(grades), len(theta) + 1
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    s = np.bincount(texts, weights=w[cols], minlength=n)
+    edge = np.concatenate([[-40.0], thresholds(theta), [40.0]])
+    hi, lo = sigmoid(edge[grades + 1] - s), sigmoid(edge[grades] - s)
+    p = np.maximum(hi - lo, 1e-9)
+    dhi, dlo = own * hi * (1 - hi) / p, own * lo * (1 - lo) / p
+    g_cut = (np.bincount(grades, weights=-dhi, minlength=n_grades)[:-1] + np.bincount(grades, weights=dlo, minlength=n_grades)[1:]) / n
+    g_theta = np.concatenate([[g_cut.sum()], [g_cut[k:].sum() * np.exp(theta[k]) for k in range(1, len(theta))]])
+    g_w = np.bincount(cols, weights=((dhi - dlo) / n)[texts], minlength=len(w)) + ridge * w / 100
+    return float(-(own * np.log(p)).sum() / n + ridge * (w * w).sum() / 200), g_w, g_theta
+
+
 class Ordinal:
     """weights: of the dimensions; cuts: ordered thresholds, one fewer than grades."""
 
@@ -103,25 +127,15 @@ class Ordinal:
         raw = np.log(prior / (1 - prior))
         theta = np.concatenate([raw[:1], np.log(np.maximum(np.diff(raw), 0.1))])  # first cut, then logs of the gaps
         state = [np.zeros((2, len(w))), np.zeros((2, len(theta)))]
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
         for t in range(1, steps + 1):
-            cuts = np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))])
-            s = np.bincount(texts, weights=w[cols], minlength=n)
-            edge = np.concatenate([[-40.0], cuts, [40.0]])
-            hi, lo = sigmoid(edge[grades + 1] - s), sigmoid(edge[grades] - s)
-            p = np.maximum(hi - lo, 1e-9)
-            dhi, dlo = own * hi * (1 - hi) / p, own * lo * (1 - lo) / p
-            g_s = (dhi - dlo) / n  # gradient of the loss
-            g_cut = (np.bincount(grades, weights=-dhi, minlength=n_grades)[:-1] + np.bincount(grades, weights=dlo, minlength=n_grades)[1:]) / n
-            g_theta = np.concatenate([[g_cut.sum()], [g_cut[k:].sum() * np.exp(theta[k]) for k in range(1, len(theta))]])
-            g_w = np.bincount(cols, weights=g_s[texts], minlength=len(w)) + ridge * w / 100
+            _, g_w, g_theta = loss(w, theta, texts, cols, grades, own, ridge)
             for x, g, m in ((w, g_w, state[0]), (theta, g_theta, state[1])):
                 m[0] = 0.9 * m[0] + 0.1 * g
                 m[1] = 0.99 * m[1] + 0.01 * g * g
                 x -= rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-6)
         weights = np.zeros(DIMENSIONS)
         weights[used] = w
-        return cls(weights, np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))]))
+        return cls(weights, thresholds(theta))
 
     def tails(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """P(grade > k) of each text, a column for each threshold."""
@@ -140,11 +154,12 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column:
     key = F.col(id_column).cast("long")
     rated = labels.select(key.alias("id"), grade_of(labels).alias("grade")).where("id is not null and grade is not null")
     rated = rated.orderBy(F.md5(F.col("id").cast("string")), "grade").limit(sample)  # at most `sample` pairs of numbers
-    some = docs.select(key.alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rated), "id").select("id", "grade", "text")
+    texts = docs.select(key.alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rated.select("id").distinct()), "id", "left_semi")
+    some = texts.groupBy("id").agg(F.min("text").alias("text")).join(F.broadcast(rated), "id").select("id", "grade", "text")  # `sample` rows, however often ids repeat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=PIECE):
                 texts, dims = features(*buffers(part.column(2)))
                 order = np.argsort(texts, kind="stable")
                 cut = np.searchsorted(texts[order], np.arange(part.num_rows + 1))
@@ -162,34 +177,44 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column:
     return Ordinal.fit(texts, dims, grades, n_grades)
 
 
-GRADED = "expected_grade double, tail_probability double, kept boolean"
+GRADED = ("expected_grade", "tail_probability", "kept")
 
 
-def graded(docs: DataFrame, model: Ordinal | None, keep: list[str], least: float = 0.5) -> DataFrame:
-    """The kept columns, the expected grade, the probability of the best grade, and whether that is at least `least`."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS numbers
+def grades(model: Ordinal | None, spark: SparkSession):
+    """A function of a text column: struct of the expected grade and the probability of the best one; nulls without a model.
+    Texts go to Python and two numbers come back. It is marked nondeterministic so that plans evaluate it once."""
+    held = spark.sparkContext.broadcast(model)  # DIMENSIONS numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                if held.value is None:
-                    expected = tail = np.full(part.num_rows, np.nan)
-                    stays = np.ones(part.num_rows, bool)
-                else:
-                    p = held.value.tails(*buffers(part.column(0)))
-                    expected, tail, stays = p.sum(axis=1), p[:, -1], p[:, -1] >= least
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(1, part.num_columns)), pa.array(expected, from_pandas=True), pa.array(tail, from_pandas=True), pa.array(stays)], [*(f"kept_{i}" for i in range(len(keep))), *(x.split()[0] for x in GRADED.split(", "))])
+    @arrow_udf("struct<expected double, tail double>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = [np.zeros((0, 2))]
+        for part in pieces(pa.record_batch([texts], ["text"]), limit=PIECE):
+            if held.value is None:
+                found.append(np.full((part.num_rows, 2), np.nan))
+            else:
+                p = held.value.tails(*buffers(part.column(0)))
+                found.append(np.stack([p.sum(axis=1), p[:, -1]], axis=1))
+        both = np.concatenate(found)
+        return pa.StructArray.from_arrays([pa.array(both[:, k].copy(), from_pandas=True) for k in range(2)], ["expected", "tail"])
+
+    return run.asNondeterministic()
 
-    rows = docs.select(F.col("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
-    schema = ", ".join(f"kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = rows.mapInArrow(run, f"{schema}, {GRADED}")
-    return out.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), *(x.split()[0] for x in GRADED.split(", ")))
+
+def graded(docs: DataFrame, model: Ordinal | None, keep: list[str], least: float = 0.5) -> DataFrame:
+    """The kept columns, the expected grade, the probability of the best grade, and whether that is at least `least`. Of
+    kept columns with the names of these three, the results take the place."""
+    keep = [c for c in keep if c.lower() not in GRADED]
+    rows = docs.select(*(F.col(c).alias(f"own_{i}") for i, c in enumerate(keep)), grades(model, docs.sparkSession)(F.col("text")).alias("g"))
+    stays = F.coalesce(F.col("g.tail") >= least, F.lit(True))
+    return rows.select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(keep)), F.col("g.expected").alias(GRADED[0]), F.col("g.tail").alias(GRADED[1]), stays.alias(GRADED[2]))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """The documents whose probability of the best grade is at least `least`, with their own columns."""
-    found = graded(docs.select(*(F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)), F.col("text")), fitted(docs, labels, **options), [f"own_{i}" for i in range(len(docs.columns))], least)
-    return found.where("kept").select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    model = fitted(docs, labels, **options)
+    rows = docs.toDF(*(f"own_{i}" for i in range(len(docs.columns))))  # whatever the columns are called
+    g = rows.withColumn("g", grades(model, docs.sparkSession)(F.col(f"own_{docs.columns.index('text')}")))
+    return g.where(F.coalesce(F.col("g.tail") >= least, F.lit(True))).drop("g").toDF(*docs.columns)
 
 
 def op7_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
-Every layer of a text is scanned with the same patterns: the text itself, and whatever its URL-escaped, Unicode-escaped,
-base64 and compressed parts unwrap to, until nothing new comes out. A digest of each layer stops cycles. What is found
-inside a layer is reported at the place in the original text that the layer was unwrapped from.
+Every layer of a text is scanned with the same patterns: the text itself; the whole text with its URL escapes decoded, or its
+Unicode escapes; and whatever its base64 and compressed parts unwrap to; and so on for each layer, until nothing new comes
+out. A digest of each layer stops cycles. Each character of a layer knows the stretch of the original text that it comes
+from, so what is found is reported at its own place there: escapes by the character, what was packed by its whole code.
 
 Defined cases: a null text is scanned as the empty one; rows are kept as they are, repeated or not; extra columns of the
 input are ignored or passed on. Bytes that aren't UTF-8 are scanned as Latin-1, those with NULs as UTF-16 and UTF-32 too; of
@@ -20,8 +21,9 @@ import hashlib
 import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +41,10 @@ ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-_RUN = re.compile(r"\S+")  # runs are taken whole: a search from each of their characters would be quadratic
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
+#: Escapes; escaped marks before an escape (%2525, \\u005cu005c) are taken with it, since what they leave holds no secret of its own.
+_PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+_PERCENTS = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(r"\\(?:u005[Cc]|x5[Cc])*(?:u([Dd][89ABab][0-9A-Fa-f]{2})\\(?:u005[Cc]|x5[Cc])*u([Dd][C-Fc-f][0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _BREAK = re.compile(r"\r?\n[\x20\t]*")
 #: Lines of base64, of which the last one may be short.
@@ -60,13 +63,62 @@ def base_spans(text: str) -> list[Span]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def _bytes(m: re.Match) -> str:
-    return bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
-
-
-def _char(m: re.Match) -> str:
-    x = int(m[1] or m[2] or m[3], 16)
-    return chr(x) if x < 0x110000 and not 0xD800 <= x < 0xE000 else m[0]
+class Layer:
+    """A text, and for each of its characters the stretch [first, last) of the original text that it comes from; None: its own place."""
+
+    __slots__ = ("first", "last", "text")
+
+    def __init__(self, text: str, first: np.ndarray | None = None, last: np.ndarray | None = None):
+        self.text, self.first, self.last = text, first, last
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return (a, b) if self.first is None else (int(self.first[a]), int(self.last[a:b].max()))
+
+    def unescaped(self, rule: re.Pattern, chars: Callable[[re.Match], list[tuple[str, int, int]]]) -> Layer | None:
+        """The whole layer with the matches replaced; chars: characters and their own places. None if nothing changes."""
+        text, first, last, at = [], [], [], 0
+        for m in rule.finditer(self.text):
+            if got := chars(m):
+                text += [self.text[at : m.start()], *(c for c, _, _ in got)]
+                plain = np.arange(at, m.start())
+                first += [plain, np.array([a for _, a, _ in got])]
+                last += [plain, np.array([b - 1 for _, _, b in got])]
+                at = m.end()
+        if not at:
+            return None
+        text.append(self.text[at:])
+        plain = np.arange(at, len(self.text))
+        first, last = np.concatenate([*first, plain]), np.concatenate([*last, plain])
+        if self.first is None:
+            return Layer("".join(text), first, last + 1)
+        return Layer("".join(text), self.first[first], self.last[last])
+
+
+def _percents(m: re.Match) -> list[tuple[str, int, int]]:
+    """The characters of a run of URL escapes; if its bytes aren't UTF-8, those that can be read, each from the whole run."""
+    codes = list(_PERCENT.finditer(m[0]))
+    raw = bytes(int(c[1], 16) for c in codes)
+    try:
+        chars = raw.decode()
+    except UnicodeDecodeError:
+        return [(c, m.start(), m.end()) for c in raw.decode("utf-8", "replace")]
+    out, k = [], 0
+    for c in chars:
+        n = len(c.encode())
+        out.append((c, m.start() + codes[k].start(), m.start() + codes[k + n - 1].end()))
+        k += n
+    return out
+
+
+def _char(m: re.Match) -> list[tuple[str, int, int]]:
+    if m[1]:
+        c = chr(0x10000 + ((int(m[1], 16) & 0x3FF) << 10) + (int(m[2], 16) & 0x3FF))
+    else:
+        x = int(m[3] or m[4] or m[5], 16)
+        if x >= 0x110000 or 0xD800 <= x < 0xE000:
+            return []
+        c = chr(x)
+    return [(c, m.start(), m.end())]
 
 
 def _packed(head: bytes) -> bool:
@@ -145,7 +197,8 @@ def _readings(raw: bytes) -> Iterator[tuple[str, bool]]:
                     yield (raw[k:] + bytes(-(len(raw) - k) % width)).decode(code, "replace"), False
 
 
-def _decoded(start: int, end: int, code: str) -> Iterator[tuple[int, int, str | None, bool]]:
+def _decoded(code: str) -> Iterator[tuple[str | None, bool]]:
+    """What base64 unwraps to. None: it is too large to hold, and comes in windows; False: bytes read as text on trial."""
     code = code.rstrip("=")
     if len(code) % 4 == 1 or code.isalpha() and (code.islower() or code[1:].islower()):
         return  # a length that base64 can't have, or a plain word
@@ -155,53 +208,58 @@ def _decoded(start: int, end: int, code: str) -> Iterator[tuple[int, int, str |
         return
     for k, window in enumerate(_windows(_unpacked(iter([raw])))):
         if k == 1:
-            yield start, end, None, False
-        for content, plain in _readings(window):
-            yield start, end, content, plain
-
-
-def layers(text: str) -> Iterator[tuple[int, int, str | None, bool]]:
-    """(start, end, content, plain) of each part of a text that unwraps to another one. content None: what the same part
-    unwraps to is too large to hold, and comes in windows; not plain: bytes read as text on trial."""
-    if "%" in text or "\\" in text:
-        for m in _RUN.finditer(text):
-            for mark, rule, char in (("%", _PERCENT, _bytes), ("\\", _ESCAPE, _char)):
-                if mark in m[0] and (got := rule.sub(char, m[0])) != m[0]:
-                    yield m.start(), m.end(), got, True
+            yield None, False
+        yield from _readings(window)
+
+
+def layers(layer: Layer) -> Iterator[tuple[Layer | None, bool]]:
+    """The layers that a layer unwraps to, and whether they plainly are text; None where windows of a larger one follow."""
+    text = layer.text
+    if "%" in text and (got := layer.unescaped(_PERCENTS, _percents)):
+        yield got, True
+    if "\\" in text and (got := layer.unescaped(_ESCAPE, _char)):
+        yield got, True
+
+    def packed(a: int, b: int, code: str) -> Iterator[tuple[Layer | None, bool]]:
+        first, last = layer.span(a, b)
+        for content, plain in _decoded(code):
+            yield content if content is None else Layer(content, *(np.broadcast_to(np.int64(x), max(1, len(content))) for x in (first, last))), plain
+
     for m in _BASE64.finditer(text):
-        yield from _decoded(m.start(), m.end(), m[0])
+        yield from packed(m.start(), m.end(), m[0])
     for m in _WRAPPED.finditer(text) if "\n" in text else ():
         if "\n" in m[0]:
-            yield from _decoded(m.start(), m.end(), _BREAK.sub("", m[0]))
+            yield from packed(m.start(), m.end(), _BREAK.sub("", m[0]))
             last = [*_BREAK.finditer(m[0])][-1].start()  # the last line may be the text that goes on
-            yield from _decoded(m.start(), m.start() + last, _BREAK.sub("", m[0][:last]))
+            yield from packed(m.start(), m.start() + last, _BREAK.sub("", m[0][:last]))
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
     """Base spans; those that layers add, without repeats; the number of layers opened; and of those read in windows."""
     base = base_spans(text)
     base.sort(key=lambda s: (s[0], KINDS.index(s[2])))
-    found, seen, opened, unopened = set(), {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, 0, 0
-    work = [layers(text)]
+    digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest()
+    found, seen, opened, unopened = set(), {(0, len(text), digest(text))}, 0, 0
+    work = [layers(Layer(text))]
     while work:
-        layer = next(work[-1], None)
-        if layer is None:
+        item = next(work[-1], None)
+        if item is None:
             work.pop()
             continue
-        start, end, content, plain = layer if len(work) == 1 else (*outer, *layer[2:])
-        if len(work) == 1:
-            outer = start, end
-        if content is None:
+        layer, plain = item
+        if layer is None:
             unopened += 1
             continue
-        key = hashlib.sha256(b"%d:%d:" % (start, end) + content.encode("utf-8", "surrogatepass")).digest()
+        if not layer.text:
+            continue
+        key = *layer.span(0, len(layer.text)), digest(layer.text)
         if key in seen:
             continue
         seen.add(key)
-        inner = base_spans(content)
+        inner = base_spans(layer.text)
         opened += plain or bool(inner)
-        found.update((start, end, kind) for _, _, kind in inner)
-        work.append(layers(content))
+        found.update((*layer.span(a, b), kind) for a, b, kind in inner)
+        work.append(layers(layer))
     return base, sorted(found - set(base), key=lambda s: (s[0], KINDS.index(s[2]), s[1])), opened, unopened
 
 
