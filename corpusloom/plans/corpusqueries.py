@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import folds, gates, scores
+from corpusloom.operators import folds, gates, scores, verify
 
 from . import duck as D
 from .textqueries import _CATEGORY, docs, paras, score_columns
@@ -498,10 +498,10 @@ def variation_validation(spark, sf_dir):
     return text_pairs(spark, sf_dir).select("doc_id", gates.topic_variation_ok(a, b).alias("topic_ok"), gates.perspective_variation_ok(a, b).alias("perspective_ok"), gates.pair_length_ok(a, b).alias("length_ok"))
 
 
-def content_words(text: Column) -> Column:
-    """Distinct lower-case words of four characters or more that aren't common."""
-    common = F.array(*map(F.lit, gates.COMMON_WORDS))
-    return F.array_except(F.filter(T.word_tokens(text), lambda w: F.char_length(w) >= 4), common)
+def pair_profiles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Each document as a source, and the one with the next id as the output of it."""
+    p = verify.profiles(docs(spark, sf_dir))
+    return p, p.withColumn("doc_id", F.col("doc_id") - 1)
 
 
 def _content(x: str) -> str:
@@ -513,29 +513,8 @@ _COVER = f"CASE WHEN len({_content('text')}) = 0 THEN 1.0 ELSE len(list_intersec
 
 @query(f"WITH {_PAIRS} SELECT doc_id, round({_COVER}, 6) AS coverage FROM p")
 def content_coverage(spark, sf_dir):
-    return text_pairs(spark, sf_dir).select("doc_id", F.round(coverage(F.col("text"), F.col("other")), 6).alias("coverage"))
-
-
-def coverage(source: Column, output: Column) -> Column:
-    return T.let(content_words(source), lambda own: F.when(F.size(own) == 0, 1.0).otherwise(F.try_divide(F.size(F.array_intersect(own, content_words(output))), F.size(own))))
-
-
-def grounding(pairs: DataFrame) -> DataFrame:
-    """doc_id, sent_idx, best, novelty, grounded, hallucinated of each sentence of `other` against those of `text`: the best F1 of
-    content words over the sentences that share one, and the share of words that the whole text lacks."""
-    out = pairs.select("doc_id", F.posexplode(T.sentences(F.col("other"))).alias("sent_idx", "s"), content_words(F.col("text")).alias("all_words"))
-    out = out.select("doc_id", "sent_idx", T.count_words(F.col("s")).alias("n"), content_words(F.col("s")).alias("own"), "all_words")
-    novelty = F.try_divide(F.size(F.array_except("own", "all_words")), F.size("own"))
-    out = out.select("doc_id", "sent_idx", "n", "own", novelty.alias("novelty"))
-    src = pairs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("src_idx", "s")).select("doc_id", "src_idx", content_words(F.col("s")).alias("src"))
-    hits = out.select("doc_id", "sent_idx", F.size("own").alias("k"), F.explode("own").alias("w")).join(src.select("doc_id", "src_idx", F.size("src").alias("m"), F.explode("src").alias("w")), ["doc_id", "w"])
-    hits = hits.groupBy("doc_id", "sent_idx", "src_idx", "k", "m").agg(F.count("*").alias("c"))
-    best = hits.groupBy("doc_id", "sent_idx").agg(F.max(2.0 * F.col("c") / (F.col("k") + F.col("m"))).alias("best"))
-    rows = out.join(best, ["doc_id", "sent_idx"], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
-    free = (F.col("n") < 4) | (F.size("own") == 0)
-    good = free | (F.col("best") >= 0.4) | (F.col("novelty") < 0.3)
-    bad = ~free & (F.col("best") < 0.15) & (F.col("novelty") > 0.5) & (F.col("n") > 8)
-    return rows.select("doc_id", "sent_idx", "best", "novelty", good.alias("grounded"), bad.alias("hallucinated"))
+    words = docs(spark, sf_dir).select("doc_id", verify.content_words(F.col("text")).alias("words"))
+    return verify.paired(words, words.withColumn("doc_id", F.col("doc_id") - 1)).select("doc_id", F.round(verify.coverage(F.col("words"), F.col("out_words")), 6).alias("coverage"))
 
 
 _GROUND = f"""{_PAIRS}, o AS (SELECT doc_id, CAST(unnest(generate_series(0, len(ss) - 1)) AS INTEGER) AS sent_idx, unnest(ss) AS s, aw FROM (SELECT doc_id, {D.sentences('other')} AS ss, {_content('text')} AS aw FROM p)),
@@ -549,18 +528,59 @@ _BAD = "(NOT free AND best < 0.15::DOUBLE AND novelty > 0.5::DOUBLE AND n > 8)"
 
 @query(f"WITH {_GROUND} SELECT doc_id, sent_idx, round(best, 6) AS best, round(novelty, 6) AS novelty, {_GOOD} AS grounded, {_BAD} AS hallucinated FROM g")
 def grounding_lexical(spark, sf_dir):
-    return grounding(text_pairs(spark, sf_dir)).withColumns({"best": F.round("best", 6), "novelty": F.round("novelty", 6)})
+    return verify.grounding(*pair_profiles(spark, sf_dir)).withColumns({"best": F.round("best", 6), "novelty": F.round("novelty", 6)})
+
+
+def _stem(w: str) -> str:
+    rules = " ".join(f"WHEN suffix({w}, '{e}') AND length({w}) >= {len(e) + 4} THEN left({w}, length({w}) - {len(e)})" for e in verify.ENDINGS)
+    return f"CASE WHEN length({w}) < 4 THEN NULL {rules} ELSE {w} END"
+
+
+def _stems(xs: str) -> str:
+    return f"list_distinct(list_filter(list_transform({xs}, lambda st_: {_stem('st_')}), lambda sn_: sn_ IS NOT NULL))"
+
+
+def _match(e: str, known: str) -> str:
+    return f"(length({e}) >= 4 AND len(list_filter({known}, lambda k_: starts_with(k_, {_stem(e)}) OR starts_with({_stem(e)}, k_))) > 0)"
+
+
+def _ents(x: str) -> str:
+    return f"list_filter(list_distinct(list_transform(regexp_extract_all({x}, '{verify.ENTITY}', 1), lambda e_: lower(e_))), lambda e_: length(e_) > 1)"
+
+
+def _years_of(x: str) -> str:
+    return f"list_distinct(list_filter({D.word_tokens(x)}, lambda w: regexp_full_match(w, '1[89][0-9]{{2}}|20[0-2][0-9]')))"
+
+
+def _cites(x: str) -> str:
+    return rf"list_distinct(regexp_extract_all({x}, '\([^)]*(?:19|20)[0-9]{{2}}[^)]*\)'))"
+
+
+_ENTITY = f"""{_PAIRS}, x AS (SELECT doc_id, {_ents('text')} AS own, {_ents('other')} AS theirs, {_content('text')} AS ws, {_years_of('text')} AS ys, {_years_of('other')} AS oys, {_cites('text')} AS cs, {_cites('other')} AS ocs FROM p),
+  y AS (SELECT *, {_stems('own')} AS own_stems, {_stems('theirs')} AS their_stems, {_stems('ws')} AS all_stems FROM x),
+  z AS (SELECT *, list_filter(own, lambda e: list_contains(theirs, e) OR {_match('e', 'their_stems')}) AS covered, CASE WHEN len(own) = 0 THEN all_stems ELSE own_stems END AS known FROM y),
+  ent AS (SELECT doc_id, CASE WHEN len(own) = 0 THEN 1.0 ELSE len(covered)::DOUBLE / len(own) END AS ent_coverage, list_sort(list_filter(own, lambda e: NOT list_contains(covered, e))) AS missing,
+    list_sort(list_concat(list_concat(list_filter(theirs, lambda e: NOT list_contains(own, e) AND NOT {_match('e', 'known')}), list_transform(list_filter(oys, lambda v: NOT list_contains(ys, v)), lambda v: 'year:' || v)),
+      CASE WHEN len(own) = 0 THEN [] ELSE list_transform(list_filter(ocs, lambda v: NOT list_contains(cs, v)), lambda v: 'citation:' || left(v, 30)) END)) AS fabricated FROM z)"""
+
+
+@query(f"WITH {_ENTITY} SELECT doc_id, round(ent_coverage, 6) AS ent_coverage, array_to_string(missing, '|') AS missing, array_to_string(fabricated, '|') AS fabricated FROM ent")
+def entity_fabrication(spark, sf_dir):
+    """Entities of a document that the next one lacks, and entities, years and citations that only the next one has."""
+    found = verify.entity_check(verify.paired(*pair_profiles(spark, sf_dir)))
+    return found.select("doc_id", F.round("ent_coverage", 6).alias("ent_coverage"), F.array_join("missing", "|").alias("missing"), F.array_join("fabricated", "|").alias("fabricated"))
 
 
-@query(f"""WITH {_GROUND}, v AS (SELECT doc_id, count(*) FILTER ({_GOOD})::DOUBLE / count(*) AS grounded, count(*) FILTER ({_BAD}) AS bad FROM g GROUP BY doc_id), c AS (SELECT doc_id, {_COVER} AS cover FROM p),
-  s AS (SELECT doc_id, grounded, cover, bad, greatest(0, 0.4::DOUBLE * grounded + 0.3::DOUBLE * cover + 0.3::DOUBLE * 1.0 - (least(0.5::DOUBLE, 0.15::DOUBLE * bad) + least(0.3::DOUBLE, 0.1::DOUBLE * 0))) AS score FROM v JOIN c USING (doc_id))
-SELECT doc_id, round(grounded, 6) AS grounded, round(cover, 6) AS content, CAST(bad AS BIGINT) AS hallucinated, round(score, 6) AS score, score >= 0.7::DOUBLE AS valid FROM s""")
+@query(f"""WITH {_GROUND}, v AS (SELECT doc_id, count(*) FILTER ({_GOOD})::DOUBLE / count(*) AS grounded, count(*) FILTER ({_BAD}) AS bad FROM g GROUP BY doc_id), c AS (SELECT doc_id, {_COVER} AS cover FROM p), {_ENTITY.removeprefix(_PAIRS + ', ')},
+  s AS (SELECT doc_id, grounded, cover, ent_coverage, bad, len(fabricated) AS made, greatest(0, 0.4::DOUBLE * grounded + 0.3::DOUBLE * cover + 0.3::DOUBLE * ent_coverage - (least(0.5::DOUBLE, 0.15::DOUBLE * bad) + least(0.3::DOUBLE, 0.1::DOUBLE * len(fabricated)))) AS score FROM v JOIN c USING (doc_id) JOIN ent USING (doc_id))
+SELECT doc_id, round(grounded, 6) AS grounded, round(cover, 6) AS content, round(ent_coverage, 6) AS entities, CAST(bad AS BIGINT) AS hallucinated, CAST(made AS BIGINT) AS fabricated, round(score, 6) AS score, score >= 0.7::DOUBLE AS valid FROM s""")
 def verification_score(spark, sf_dir):
-    p = text_pairs(spark, sf_dir)
-    g = grounding(p).groupBy("doc_id").agg((F.count_if("grounded") / F.count("*")).alias("grounded"), F.count_if("hallucinated").alias("hallucinated"))
-    s = g.join(p.select("doc_id", coverage(F.col("text"), F.col("other")).alias("content")), "doc_id")
-    s = s.withColumn("score", scores.overall_score(F.col("grounded"), F.col("content"), F.lit(1.0), F.col("hallucinated"), F.lit(0)))
-    return s.select("doc_id", F.round("grounded", 6).alias("grounded"), F.round("content", 6).alias("content"), "hallucinated", F.round("score", 6).alias("score"), (F.col("score") >= 0.7).alias("valid"))
+    source, output = pair_profiles(spark, sf_dir)
+    g = verify.grounding(source, output).groupBy("doc_id").agg((F.count_if("grounded") / F.count("*")).alias("grounded"), F.count_if("hallucinated").alias("hallucinated"))
+    e = verify.entity_check(verify.paired(source, output)).select("doc_id", verify.coverage(F.col("words"), F.col("out_words")).alias("content"), "ent_coverage", F.size("fabricated").cast("long").alias("fabricated"))
+    s = g.join(e, "doc_id")
+    s = s.withColumn("score", scores.overall_score(F.col("grounded"), F.col("content"), F.col("ent_coverage"), F.col("hallucinated"), F.col("fabricated")))
+    return s.select("doc_id", F.round("grounded", 6).alias("grounded"), F.round("content", 6).alias("content"), F.round("ent_coverage", 6).alias("entities"), "hallucinated", "fabricated", F.round("score", 6).alias("score"), (F.col("score") >= 0.7).alias("valid"))
 
 
 _YEARS = "list_filter(regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '1[89][0-9]{2}|20[0-2][0-9]'))"

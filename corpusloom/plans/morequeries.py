@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import providers
 from corpusloom.functions import text as T
-from corpusloom.operators import folds, scores
+from corpusloom.operators import folds, scores, verify
 
 from . import duck as D
-from .corpusqueries import _RHYTHM, PERSPECTIVES, centroids, cosine, table
+from .corpusqueries import _RHYTHM, PERSPECTIVES, _stem, centroids, cosine, table
 from .textqueries import docs, paras
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -95,23 +95,10 @@ def persona_match(spark, sf_dir):
     return docs(spark, sf_dir).select("source").distinct().select("source", author_match(F.col("source"), PERSONAS).alias("persona"))
 
 
-def entity_stem(word: Column) -> Column:
-    """Without the longest of ten endings that leaves four letters."""
-    out = word
-    for e in ("s", "y", "al", "an", "ed", "er", "es", "ic", "ing", "ism"):
-        out = F.when((F.endswith(word, F.lit(e))) & (F.char_length(word) >= len(e) + 4), F.left(word, F.char_length(word) - len(e))).otherwise(out)
-    return out
-
-
-_STEM = "w"
-for _e in ("s", "y", "al", "an", "ed", "er", "es", "ic", "ing", "ism"):
-    _STEM = f"CASE WHEN suffix(w, '{_e}') AND length(w) >= {len(_e) + 4} THEN left(w, length(w) - {len(_e)}) ELSE {_STEM} END"
-
-
-@query(f"SELECT stem, CAST(count(*) AS BIGINT) AS n FROM (SELECT {_STEM} AS stem FROM (SELECT unnest({D.word_tokens('text')}) AS w FROM documents)) WHERE length(stem) >= 9 GROUP BY stem HAVING count(*) >= 3")
+@query(f"SELECT stem, CAST(count(*) AS BIGINT) AS n FROM (SELECT {_stem('w')} AS stem FROM (SELECT unnest({D.word_tokens('text')}) AS w FROM documents)) WHERE length(stem) >= 9 GROUP BY stem HAVING count(*) >= 3")
 def entity_stems(spark, sf_dir):
     """Stems of nine letters or more that occur three times."""
-    words = docs(spark, sf_dir).select(F.explode(T.word_tokens(F.col("text"))).alias("w")).select(T.let(F.col("w"), entity_stem).alias("stem"))
+    words = docs(spark, sf_dir).select(F.explode(T.word_tokens(F.col("text"))).alias("w")).select(verify.entity_stem(F.col("w")).alias("stem"))
     return words.where(F.char_length("stem") >= 9).groupBy("stem").agg(F.count("*").alias("n")).where("n >= 3")
 
 
