@@ -107,6 +107,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix:
     return mix((h[ends] - h[starts]) * _power(len(data) + 1)[1][starts] + (ends - starts).astype(U))
 
 
+def window_hashes(data: np.ndarray, width: int, prefix: np.ndarray) -> np.ndarray:
+    """`span_hashes` of every span of `width` bytes, by their starts, without an index of places."""
+    n = len(data) - width + 1
+    h = prefix[width:] - prefix[:n]
+    h *= _power(len(data) + 1)[1][:n]
+    h += U(width)
+    for i in range(0, n, 1 << 17):
+        h[i : i + (1 << 17)] = mix(h[i : i + (1 << 17)])
+    return h
+
+
 def gather_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The bytes of the spans, one after another."""
     n = ends - starts

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import buffers, gather_spans, pieces, prefix_hashes, span_hashes
+from .bytetext import buffers, gather_spans, pieces, prefix_hashes, span_hashes, window_hashes
 from .exchange import buckets_of, squeezed, unsqueezed
 from .shared import stored, table, text_of
 
@@ -40,7 +40,7 @@ PERIOD = 31
 #: Bytes of the strings whose least hash routes a suffix.
 ROUTE = 28
 #: Bytes of text in a chunk; text of runs in a block, whose places fit into 20 bits.
-CHUNK_BYTES, BLOCK_BITS = 4 << 20, 20
+CHUNK_BYTES, BLOCK_BITS = 2 << 20, 20
 #: Tie groups are split by their first member so many times before all members are compared by residues.
 ROUNDS = 4
 U = np.uint64
@@ -99,7 +99,7 @@ class Chunk:
         if not (sizes >= length).any():
             return
         prefix = prefix_hashes(data)
-        h = span_hashes(data, np.arange(n - route + 1), np.arange(route, n + 1), prefix)
+        h = window_hashes(data, route, prefix)
         least = _least(h, width)
         edge = np.zeros(n + 2, np.int8)
         whole = sizes >= length
