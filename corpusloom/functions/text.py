@@ -111,6 +111,17 @@ def remove_citations(text: Column) -> Column:
     return F.regexp_replace(given(text), r"\[\^\d+\]", "")
 
 
+def citations(text: Column) -> Column:
+    """Structs (marker, pos) of `[^1]` footnotes, in order; pos counts characters from 0."""
+    rule = r"\[\^\d+\]"
+
+    def placed(parts: Column, marks: Column) -> Column:
+        before = lambda xs, k: F.aggregate(F.slice(xs, 1, k), F.lit(0), lambda a, x: a + F.char_length(x))
+        return F.transform(marks, lambda m, k: F.struct(m.alias("marker"), (before(parts, k + 1) + before(marks, k)).alias("pos")))
+
+    return placed(F.split(given(text), rule), F.regexp_extract_all(given(text), F.lit(f"({rule})"), 1))
+
+
 def word_tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores, of any script."""
     return F.regexp_extract_all(F.lower(given(text)), F.lit(r"([\p{L}\p{N}_]+)"), 1)

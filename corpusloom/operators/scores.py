@@ -210,3 +210,9 @@ def generation_budgets(n_words: Column) -> dict[str, Column]:
         "generated": F.greatest(F.lit(100), F.floor(n_words * 2 * 1.3)).cast("long"),
         "neutral": F.least(n_words * 2, F.lit(512)).cast("long"),
     }
+
+
+def softmax(logits: Column, k: int) -> Column:
+    """The probability of the k-th of the classes, from 1, that logits have."""
+    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double")))
+    return F.exp(F.element_at(logits, k).cast("double")) / total

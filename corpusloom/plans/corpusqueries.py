@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import providers
 from corpusloom.functions import text as T
-from corpusloom.operators import folds, gates, scores, verify
+from corpusloom.operators import folds, gates, scores, training, verify
 
 from . import duck as D
 from .textqueries import _CATEGORY, docs, paras, score_columns
@@ -33,9 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- chunkers ----------------------------------------------------------------------------------------------------------
 
 
-def _chunk_sql(target: int, ends: str, keep: float, overlap: int, rest: float) -> str:
+def _chunk_sql(target: int, ends: str, keep: float, overlap: int, rest: float, source: str = "documents") -> str:
     """Jumps over prefix sums; before a chunk ends it has fewer than `target` words, which bounds the join."""
-    return f"""WITH RECURSIVE d AS (SELECT doc_id, {D.sentences('text')} AS ss FROM documents),
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {D.sentences('text')} AS ss FROM {source}),
   l AS (SELECT doc_id, CAST(unnest(generate_series(0, len(ss) - 1)) AS BIGINT) AS k, unnest(list_transform(ss, lambda s_: {D.n_words('s_')})) AS w, len(ss) AS n FROM d),
   s AS (SELECT *, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - w AS BIGINT) AS p, CAST(sum(w) OVER (PARTITION BY doc_id) AS BIGINT) AS total FROM l),
   e AS (SELECT a.doc_id, a.k, a.n, a.p, a.total, coalesce(min(CASE WHEN {ends} THEN b.k WHEN b.p + b.w - a.p >= {target} THEN b.k + 1 END), a.n) AS e
@@ -132,29 +135,36 @@ def cluster_sizes(spark, sf_dir):
     return n.agg(F.count("*").alias("n_clusters"), F.min("count").alias("least"), F.max("count").alias("most"), F.round(F.avg("count"), 6).alias("mean"))
 
 
-def select_diverse(rows: list[tuple], budget: int, least: int = 2) -> list:
-    """Ids of (id, cluster, tokens, quality): the best `least` of each cluster while they fit, clusters as first seen; then by
-    quality until the budget is met, 5 % over it at most, no cluster above twice its fair share (ten at least)."""
-    by: dict = {}
-    for r in rows:
-        by.setdefault(r[1], []).append(r)
-    ranked = {c: sorted(rs, key=lambda r: -r[3]) for c, rs in by.items()}
-    taken, total, n = [], 0, dict.fromkeys(by, 0)
-    for c, rs in ranked.items():
-        for r in rs[:least]:
-            if total + r[2] <= budget:
-                taken.append(r[0])
-                total += r[2]
-                n[c] += 1
-    most = max(10, len(rows) // max(1, len(by)) * 2)
-    for r in sorted((r for rs in ranked.values() for r in rs[least:]), key=lambda r: -r[3]):
-        if total >= budget:
+def budgeted(rows: list[tuple], spent: int, limit: float, until: float = float("inf"), room: dict | None = None) -> tuple[list, int]:
+    """Ids of (id, cluster, tokens) taken in order while less than `until` is spent: those that keep within the limit, and have
+    room in their cluster; and what is spent then."""
+    ids = []
+    for key, cluster, tokens in rows:
+        if spent >= until:
             break
-        if n[r[1]] < most and total + r[2] <= budget * 1.05:
-            taken.append(r[0])
-            total += r[2]
-            n[r[1]] += 1
-    return taken
+        if spent + tokens <= limit and (room is None or room[cluster] > 0):
+            ids.append(key)
+            spent += tokens
+            if room is not None:
+                room[cluster] -= 1
+    return ids, spent
+
+
+def select_diverse(rows: list[tuple], budget: int, least: int = 2) -> list:
+    """Ids of (id, cluster, tokens, quality), in order: first the best `least` of each cluster that fit the budget, clusters as first
+    seen; then the best of the rest until it is met, 5 % over it at most, no cluster above twice its fair share (ten at least)."""
+    place = {c: k for k, c in enumerate(dict.fromkeys(r[1] for r in rows))}
+    rank = Counter()
+    seeds, rest = [], []
+    for key, cluster, tokens, quality in sorted(rows, key=lambda r: -r[3]):  # equal ones stay in order
+        (seeds if rank[cluster] < least else rest).append((key, cluster, tokens))
+        rank[cluster] += 1
+    seeds.sort(key=lambda r: place[r[1]])
+    first, spent = budgeted(seeds, 0, budget)
+    cap = max(10, len(rows) // max(1, len(place)) * 2)
+    room = Counter({c: cap for c in place})
+    room.subtract(cluster for key, cluster, _ in seeds if key in set(first))
+    return first + budgeted(rest, spent, budget * 1.05, budget, room)[0]
 
 
 @query()
@@ -682,8 +692,16 @@ def _rewritten(name: str, f, doc: str):
     query()(run)
 
 
-_rewritten("perturb_light", lambda t: folds.perturbed(t), "About 8 % of the words changed.")
-_rewritten("perturb_heavy", lambda t: folds.perturbed(t, 0.15, "heavy", True), "About 15 % of the words changed.")
+def _perturbed(name: str, heavy: bool, doc: str):
+    def run(spark, sf_dir):
+        return docs(spark, sf_dir).select("doc_id", folds.keyed_udf(lambda t, k: folds.perturbed(t, k, heavy))("text", F.col("doc_id").cast("string")).alias("text"))
+
+    run.__name__, run.__doc__ = name, doc
+    query()(run)
+
+
+_perturbed("perturb_light", False, "About 8 % of the words changed, and some adjectives dropped.")
+_perturbed("perturb_heavy", True, "About 15 % of the words changed.")
 _rewritten("entity_mask", lambda t: folds.masked_names(t)[0], "Names replaced by numbered marks.")
 _rewritten("monotone_flatten", folds.flattened, "Texts as short, even sentences.")
 _rewritten("sentence_splitter", lambda t: folds.split_long(t)[0], "Long sentences cut at conjunctions.")
@@ -691,11 +709,11 @@ _rewritten("sentence_splitter", lambda t: folds.split_long(t)[0], "Long sentence
 
 @query()
 def input_variants(spark, sf_dir):
-    """The inputs of a training example: as it is, and from ten words on perturbed lightly and flattened."""
-    d = docs(spark, sf_dir).select("doc_id", "text", T.count_words(F.col("text")).alias("n"))
-    more = F.array(F.struct(F.lit("light").alias("kind"), folds.text_udf(lambda t: folds.perturbed(t))("text").alias("text")), F.struct(F.lit("flat").alias("kind"), folds.text_udf(folds.flattened)("text").alias("text")))
-    own = F.array(F.struct(F.lit("standard").alias("kind"), F.col("text").alias("text")))
-    return d.select("doc_id", F.inline(F.when(F.col("n") >= 10, F.concat(own, more)).otherwise(own)))
+    """The inputs of a training example: as it is, and, if they have ten words, without modifiers and with concrete nouns abstracted."""
+    d = docs(spark, sf_dir).select("doc_id", "text", providers.provided("annotate", "rules", F.col("text")).alias("t"))
+    kind = lambda name, text: F.struct(F.lit(name).alias("kind"), text.alias("text"))
+    more = F.array(kind("info_dropout", training.without_modifiers(F.col("t"))), kind("abstract", training.abstracted(F.col("t"))))
+    return d.select("doc_id", F.inline(F.concat(F.array(kind("standard", F.col("text"))), F.filter(more, lambda v: T.count_words(v["text"]) >= 10))))
 
 
 @query("""WITH l AS (SELECT doc_id, CAST(unnest(generate_series(0, len(ls) - 1)) AS BIGINT) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split('[1] ' || replace(text, chr(10), chr(10) || '[2] '), chr(10)) AS ls FROM documents)),

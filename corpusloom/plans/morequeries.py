@@ -10,7 +10,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import folds, scores, verify
 
 from . import duck as D
-from .corpusqueries import _RHYTHM, PERSPECTIVES, _stem, centroids, cosine, table
+from .corpusqueries import _RHYTHM, _stem, centroids, cosine, table
 from .textqueries import docs, paras
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -46,18 +46,6 @@ def document_stats(spark, sf_dir):
     return paras(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.sum(T.count_words(F.col("text"))).alias("n_words"))
 
 
-_KINDS = D.listed(("original", "robustness", *PERSPECTIVES))
-
-
-@query(f"""WITH v AS (SELECT doc_id, unnest({_KINDS}) AS variation_type FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, 'original' FROM documents WHERE doc_id % 3 = 0)
-SELECT variation_type, CAST(count(*) AS BIGINT) AS n, CAST(count(*) * 100 // sum(count(*)) OVER () AS BIGINT) AS percent FROM v GROUP BY variation_type""")
-def variation_counts(spark, sf_dir):
-    """Rows of each variation and their whole percentage, a third of the documents without variations."""
-    kinds = F.when(F.col("doc_id") % 3 > 0, F.array(*map(F.lit, ("original", "robustness", *PERSPECTIVES)))).otherwise(F.array(F.lit("original")))
-    counts = docs(spark, sf_dir).select(F.explode(kinds).alias("variation_type")).groupBy("variation_type").agg(F.count("*").alias("n"))
-    return counts.withColumn("all", F.sum("n").over(Window.partitionBy())).select("variation_type", "n", F.expr("n * 100 div all").alias("percent"))  # a row a kind
-
-
 @query("""WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('hold:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)
 SELECT doc_id, CASE WHEN r <= greatest(1, n * 9 // 10) THEN 'train' ELSE 'test' END AS split FROM r""")
 def split_by_source(spark, sf_dir):
@@ -110,14 +98,6 @@ def fenced_json(spark, sf_dir):
     return rows.select("doc_id", "j.lang", "j.n_chars")
 
 
-@query(f"""WITH c AS (SELECT conv_id, turn, CASE WHEN len({D.words('text')}) <= 180 THEN 'unchanged' ELSE 'cut' END AS kind, {D.n_words('text')} AS n FROM conversations)
-SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS n_words FROM c GROUP BY kind""")
-def rechunk_dispatch(spark, sf_dir):
-    """Messages that stay whole (up to 1.2 times the target) and those that are cut."""
-    rows = table(spark, sf_dir, "conversations").select(T.count_words(F.col("text")).alias("n"))
-    return rows.groupBy(F.when(F.col("n") <= 180, "unchanged").otherwise("cut").alias("kind")).agg(F.count("*").alias("n"), F.sum("n").alias("n_words"))
-
-
 @query(f"""{_RHYTHM}, v AS (SELECT doc_id, para_idx, list_transform(ls, lambda n: CASE WHEN n BETWEEN 1 AND 4 THEN 'FRAGMENT' WHEN n BETWEEN 5 AND 10 THEN 'SHORT' WHEN n BETWEEN 11 AND 20 THEN 'MEDIUM' WHEN n BETWEEN 21 AND 35 THEN 'LONG' ELSE 'VERY_LONG' END) AS cs,
   ({D.std_pop('ls')}) * ({D.std_pop('ls')}) AS var FROM r)
 SELECT doc_id, para_idx, 'Rhythm: ' || array_to_string(cs[1:6], ' → ') || CASE WHEN var > 100 THEN ' (high variance)' WHEN var > 50 THEN ' (moderate variance)' ELSE '' END AS guidance FROM v""")

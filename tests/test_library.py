@@ -120,9 +120,75 @@ def test_rewrites():
     assert n == 1 and text.count(".") == 2 and folds.split_long("Short one.", spread=0) == ("Short one.", 0)
     assert folds.split_long(many, spread=0) == (text, n)
     assert folds.applied("abcdef", [(0, 1, "X"), (2, 2, ""), (3, 2, "Y")]) == ("XbcYf", 2)
-    words = " ".join(f"word{i}" for i in range(4000))
-    light = sum(a != b for a, b in zip(words.split(), folds.perturbed(words).split()))
-    assert light > 0 and folds.perturbed(words) == folds.perturbed(words) and folds.perturbed("") == ""
+
+
+def test_perturbation():
+    words = " ".join(["walked", "the", "old", "stone,", "House.", "it"] * 2000)
+    for heavy, rate in ((False, 0.08), (True, 0.15)):
+        text = folds.perturbed(words, "a", heavy, drop_adjectives=False)
+        assert text == folds.perturbed(words, "a", heavy, drop_adjectives=False) != folds.perturbed(words, "b", heavy, drop_adjectives=False) and folds.perturbed("", "a", heavy) == ""
+        kept = text.split()
+        assert len(words.split()) * (1 - rate) < len(kept) < len(words.split())  # some articles are gone
+        assert {w for w in kept if len(w) <= 3} >= {"the", "old", "it"}
+    gone = folds.perturbed(words, "a").split().count("old") / 2000
+    assert 0.6 < gone < 0.75  # 30 % of adjectives go, and a few are changed
+
+    def scripted(**say):
+        return lambda seed, key, i, what: say.get(what, 0.99)
+
+    one = lambda w, heavy=False, **say: folds.perturbed(w, 1, heavy, draw=scripted(change=0.0, **say))
+    assert one("House,", kind=0.1, at=0.5) == "Home," and one("stone", kind=0.1, at=0.0) == "stone"
+    assert one("The", kind=0.5) == "" and one("this", kind=0.5) == "this" and one("this", True, kind=0.4) == ""
+    assert one("word", kind=0.9, at=0.0) == "wrod" and one("word", kind=0.9, at=0.99) == "wodr" and one("abc", kind=0.9, at=0.0) == "abc"
+    assert one("abc", True, kind=0.8, at=0.5) == "abbc" and one("ab", True, kind=0.8, at=0.5) == "ab"
+    assert one("Abc", True, kind=0.95, at=0.2) == "abc" and one("abc", True, kind=0.95, at=0.7) == "ABC" and one("abcde", True, kind=0.95, at=0.7) == "abcde"
+    assert one("old", adjective=0.2) == "" and one("old", True, adjective=0.2, kind=0.4) == "old"
+    assert folds.perturbed("word", 1, draw=scripted(change=0.08)) == "word"
+
+
+def test_selection_against_the_rule():
+    import random
+
+    from corpusloom.plans.corpusqueries import select_diverse
+
+    r = random.Random(4)
+    for _ in range(200):
+        rows = [(i, r.randrange(6), r.randrange(1, 900), r.random()) for i in range(r.randrange(1, 60))]
+        budget = r.randrange(1, 9000)
+        got, cluster, tokens = select_diverse(rows, budget), {x[0]: x[1] for x in rows}, {x[0]: x[2] for x in rows}
+        best = {c: sorted((x for x in rows if x[1] == c), key=lambda x: -x[3])[:2] for c in dict.fromkeys(x[1] for x in rows)}
+        want, spent = [], 0
+        for c in best:
+            for x in best[c]:
+                if spent + x[2] <= budget:
+                    want.append(x[0])
+                    spent += x[2]
+        assert got[: len(want)] == want
+        cap = max(10, len(rows) // len(best) * 2)
+        seeds = {x[0] for xs in best.values() for x in xs}
+        assert sum(tokens[i] for i in got) <= max(budget * 1.05, spent) and len(set(got)) == len(got) and not seeds & set(got[len(want) :])
+        assert all(sum(cluster[i] == c for i in got) <= cap for c in best)
+        left = [x for x in sorted(rows, key=lambda x: -x[3]) if x[0] not in seeds and x[0] not in got]
+        total = sum(tokens[i] for i in got)
+        if total < budget:  # nothing that still fits was passed over
+            assert all(total + x[2] > budget * 1.05 or sum(cluster[i] == x[1] for i in got) >= cap for x in left)
+
+
+def test_incomplete_sentences(spark):
+    from corpusloom.operators import rendering, training, verify
+
+    say = {"He went to the": "open_end", "He stopped —": "dash", "A house by lake.": "no_verb", "He walked far away": "no_stop", "He walked home.": "", "": "", "Walked off": "", "It was fine.": ""}
+    rows = spark.createDataFrame([(k, v) for k, v in say.items()], "s string, want string").select("s", "want", training.incomplete(F.col("s")).alias("got")).collect()
+    assert [(r.s, r.got) for r in rows] == [(r.s, r.want) for r in rows]
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(training.tidied(F.lit("He walked. He walked. He ran off."))) == "He walked. He ran off."
+    assert one(training.tidied(F.lit("He walked home. He went to the"))) == "He walked home."
+    assert one(training.tidied(F.lit("Up to the"))) is None
+    assert [tuple(x) for x in one(rendering.frames(F.lit("[A]\nx\n---\ny\n\n[B_C]\nz")))] == [("A", 0, "x"), ("A", 1, "y"), ("B_C", 0, "z")]
+    assert one(rendering.adapter_spec(F.lit("a/b:0.5"))["path"]) == "a/b" and one(rendering.adapter_spec(F.lit("c:x"))["scale"]) == 1.0
+    assert one(verify.entity_stem(F.lit("marxists"))) == "marx" and one(verify.entity_stem(F.lit("his"))) is None
+    assert one(verify.matches_any(F.lit("germanic"), F.array(F.lit("german")))) and not one(verify.matches_any(F.lit("rome"), F.array(F.lit("paris"))))
+    assert one(verify.repair_accepted(F.lit("w " * 11 + "Rome"), F.array(F.lit("rome"), F.lit("oslo")))) and not one(verify.repair_accepted(F.lit("Rome"), F.array(F.lit("rome"))))
 
 
 def test_phrases():
