@@ -865,3 +865,50 @@ def test_near_duplicate_misses_at_every_threshold():
     other = np.concatenate([small, 100 + np.arange(31), 2 * 10**6 + np.arange(169)]).astype(np.uint64)
     pair = [np.sort(small), np.sort(other)]
     assert linked(pair, 80) == [(0, 1)] and common_of(80) <= 33
+
+
+RESULTS = {
+    "op1": "content n_bytes n_tokens over_limit hot_tokens tokenizer",
+    "op2": "held_out n_known train_tokens base_score score bits_per_byte chunk bucket",
+    "op3": "n_words n_hit n_items items_sha256 contaminated longest_match items found own_0",
+    "op4": "n_bytes n_removed n_spans kept_sha256 kept chunk blob",
+    "op6": "n_assign n_access n_hex base_sha256 spans n_layers n_unopened",
+    "op7": "expected_grade tail_probability kept g own_0 grade",
+    "op8": "n_shingles component_id kept node sketch n asked_id kept_id",
+    "op9": "size source_size target taken positions digest key",
+    "op10": "edited_sha256 fingerprint edited_fingerprint near_edited near_next chunk",
+}
+
+
+@pytest.mark.parametrize("op", sorted(RESULTS))
+def test_large_ids_and_clashing_names(spark, op, tmp_path):
+    """Ids near both ends of 64 bits, and extra columns named like results and intermediates, change nothing but the ids."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import contextmix, curriculum, decontam, fingerprint, neardup, ordinal, secrets, suffixdedup, tokencount
+
+    texts = ["one two three four five six seven eight nine ten eleven " * 3, "a" * 300, "token=abcdef12 and more words of a text", "one two three four five six seven eight nine ten eleven " * 3, "", None]
+    small = [(k, t, f"s{k % 2}", "en", 1) for k, t in enumerate(texts)]
+    shift = lambda k: (-(1 << 63), -5, 1 << 53, (1 << 53) + 1, (1 << 63) - 2, (1 << 63) - 1)[k]
+    schema = "doc_id long, text string, source string, lang string, n_chars long"
+    plain = spark.createDataFrame(small, schema)
+    large = spark.createDataFrame([(shift(r[0]), *r[1:]) for r in small], schema).select("*", *(F.lit("x").alias(c) for c in RESULTS[op].split()))
+    bench = spark.createDataFrame([(1, texts[0])], "item_id long, text string")
+    labels = lambda f: spark.createDataFrame([(f(k), k % 2, 0) for k in range(5)], "doc_id long, quality int, toxic int")
+
+    def run(docs, f):
+        return {
+            "op1": lambda: tokencount.count_tokens(docs, str(public_tokenizers.path("word_bpe_49k.json")), f"file://{tmp_path}/{f(0)}").select("doc_id", "n_tokens"),
+            "op2": lambda: contextmix.scored(docs).select("doc_id", "n_tokens"),
+            "op3": lambda: decontam.matched(docs, bench, ["doc_id"]).select("doc_id", "n_hit", "longest_match"),
+            "op4": lambda: suffixdedup.without_repeats(docs, chunk_bytes=200).select("doc_id", "n_removed", "kept_sha256"),
+            "op6": lambda: secrets.secret_spans(docs).select("doc_id", "spans"),
+            "op7": lambda: ordinal.graded(docs, ordinal.fitted(docs, labels(f)), ["doc_id"]).select("doc_id", F.round("tail_probability", 6)),
+            "op8": lambda: neardup.near_duplicates(docs).select("doc_id", "n_shingles", "kept"),
+            "op9": lambda: curriculum.mixed(docs).select("doc_id", "size", "source_size"),
+            "op10": lambda: fingerprint.fingerprints(docs, chunk_bytes=200).select("doc_id", "edited_sha256", "near_next"),
+        }[op]()
+
+    want = sorted((shift(r[0]), *r[1:]) for r in run(plain, lambda k: k).collect())
+    assert sorted(tuple(r) for r in run(large, shift).collect()) == want and len(want) == 6

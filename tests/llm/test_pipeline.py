@@ -1,5 +1,7 @@
 """The pipeline and its queries, on whole small tables."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -39,7 +41,7 @@ def test_stages_equal_brute_force(spark):
     import corpus_pipeline as cp
     from test_operators import brute_components, brute_windows
 
-    from corpusloom.llm.secrets import base_spans
+    from corpusloom.llm.secrets import redacted, scan
     from corpusloom.llm.shared import stored, table
 
     stages = dict(cp.STAGES)
@@ -50,12 +52,35 @@ def test_stages_equal_brute_force(spark):
     items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
     few = [x for x in items if any(w in t.lower() for w in [" ".join(x[1].lower().split()[:4])] for t in left.values())]  # items whose first words occur at all
     hit = {r[0] for r in brute_windows(list(left.items()), few) if r[5]}
+    clean = {i for i in left if i not in hit}
+    kept = {}
     for name in ("near_copies", "decontamination", "secrets"):
         docs = stored(stages[name](spark, docs, SF), name)
-    got = {r.doc_id: r.text for r in docs.collect()}
-    assert set(got) <= set(left) and hit & set(got) == set()
-    clean = [i for i, t in left.items() if i in got and not base_spans(t)]
-    assert clean and all(got[i] == left[i] for i in clean)
+        kept[name] = {r.doc_id: r.text for r in docs.collect()}
+    assert kept["near_copies"] == left
+    assert set(kept["decontamination"]) <= clean and set(kept["secrets"]) == set(kept["decontamination"])
+    rest = clean - set(kept["decontamination"])  # whose items begin otherwise: each of them has a window of some item
+    grams = {tuple(w[k : k + 10]) for _, t in items for w in [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())] for k in range(max(1, len(w) - 9))}
+    words = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) for i, t in left.items()}
+    dirty = {i for i, w in words.items() if any(tuple(w[k : k + 10]) in grams for k in range(len(w) - 9))}
+    assert rest == dirty - hit and hit <= dirty
+    for i, t in kept["secrets"].items():
+        base, more, *_ = scan(left[i])
+        assert t == (redacted(left[i], [*base, *more]) if base or more else left[i])
+
+
+@pytest.mark.parametrize("name", ["quality", "near_copies", "decontamination", "secrets", "mixture"])
+def test_stages_of_clashing_names(spark, name):
+    """Extra columns named like what a stage makes are passed on, and change nothing."""
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+
+    extra = "kept contaminated found g own_0 n_words spans node size target taken positions expected_grade".split()
+    plain = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 150")
+    docs = plain.select("*", *(F.lit("x").alias(c) for c in extra))
+    out, want = dict(cp.STAGES)[name](spark, docs, SF), dict(cp.STAGES)[name](spark, plain, SF)
+    assert out.columns == (docs.columns if name != "mixture" else want.columns)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in want.collect())
 
 
 def test_stages_of_odd_tables(spark):
