@@ -341,13 +341,50 @@ _KNN = """SELECT q.vec_id AS query_id, b.vec_id, round(list_distance(q.embedding
 FROM embeddings q JOIN embeddings b ON q.label = b.label AND q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0"""
 
 
-def nearest(rows: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """The n nearest rows of the same label for each query, by squared distance, ids breaking ties."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), "label")
-    apart = F.aggregate(F.zip_with("embedding", "qv", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
-    pairs = rows.join(q, "label").where("query_id <> vec_id").select("query_id", "vec_id", "label", apart.alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id"))
-    return pairs.withColumn("r", rank).where(F.col("r") <= n)
+def query_blocks(queries: DataFrame, block_bytes: int):
+    """Queries (id, label, vector) in blocks of bounded size, streamed to the driver one partition at a time."""
+    held, size = [], 0
+    for r in queries.select("vec_id", "label", "embedding").toLocalIterator():
+        held.append(r)
+        size += 8 * len(r.embedding)
+        if size >= block_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def nearest(rows: DataFrame, queries: DataFrame, n: int, block_bytes: int = 16 << 20) -> DataFrame:
+    """The n nearest rows of the same label for each query, by squared distance to nine places, ids breaking ties.
+
+    A block of queries is broadcast, and a scan of the rows keeps the best n of a query in each batch, so what is exchanged
+    is n rows a query and batch, however many rows a label has. More queries cost more scans."""
+    context, schema, found = rows.sparkSession.sparkContext, "query_id long, vec_id long, label int, distance double", None
+    best = F.struct(F.round("distance", 9).alias("d"), "vec_id", "label", "distance")
+    for block in query_blocks(queries, block_bytes):
+        ids, labels = np.array([r.vec_id for r in block]), np.array([r.label for r in block])
+        held = context.broadcast((ids, labels, np.array([r.embedding for r in block], np.float64)))
+
+        def run(batches, held=held):
+            ids, labels, vectors = held.value
+            for batch in batches:
+                own, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+                v = np.array(batch.column(2).to_pylist(), np.float64)
+                for label in np.unique(kind):
+                    at, q = np.flatnonzero(kind == label), np.flatnonzero(labels == label)
+                    for k in q:
+                        d = ((v[at] - vectors[k]) ** 2).sum(axis=1)
+                        d[own[at] == ids[k]] = np.inf
+                        near = np.lexsort((own[at], np.round(d, 9)))[:n]
+                        near = near[np.isfinite(d[near])]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), ids[k])), pa.array(own[at][near]), pa.array(np.full(len(near), label, np.int32)), pa.array(d[near])], ["query_id", "vec_id", "label", "distance"])
+
+        part = rows.select("vec_id", F.col("label").cast("int").alias("label"), "embedding").mapInArrow(run, schema)
+        found = part if found is None else found.union(part)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], f"{schema}, r int")
+    top = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(best)), 1, n).alias("top"))  # n rows of each batch
+    return top.select("query_id", F.posexplode("top").alias("r", "b")).select("query_id", "b.vec_id", "b.label", "b.distance", (F.col("r") + 1).alias("r"))
 
 
 @query(f"SELECT query_id, vec_id, distance FROM ({_KNN}) WHERE r <= 5")
