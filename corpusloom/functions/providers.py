@@ -95,3 +95,82 @@ def hashing(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 @register("generate", "echo", "string")
 def echo(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     yield from batches
+
+
+class Busy(Exception):
+    """A provider that can't answer now: a rate limit or a timeout."""
+
+
+def patient(call: Callable[[str], str], most: int = 5, first: float = 2.0, limit: float = 60.0, wait: Callable[[float], None] | None = None) -> Callable[[str], str | None]:
+    """The call, tried again while it is `Busy`, `most` times in all, with pauses that double from `first` seconds up to
+    `limit`; None if it stays so. Other errors aren't retried."""
+    import time
+
+    def run(text: str) -> str | None:
+        pause = first
+        for k in range(most):
+            try:
+                return call(text)
+            except Busy:
+                if k + 1 < most:
+                    (wait or time.sleep)(pause)
+                    pause = min(limit, 2 * pause)
+        return None
+
+    return run
+
+
+def client(make: Callable[[], Callable[[str], str | None]]) -> Provider:
+    """A provider of a call on one text; `make` opens it once a task. Null texts stay null."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        call = make()
+        for texts in batches:
+            yield pa.array([None if t is None else call(t) for t in texts.to_pylist()], pa.string())
+
+    return run
+
+
+#: Which provider writes and which judges; both the echo by default.
+ROLES = {"writer": "echo", "critic": "echo"}
+
+
+def chat(system: str, history: list[tuple[str, str]], user: Column, role: str = "writer") -> Column:
+    """The answer of a role's provider to a conversation: a system line, earlier (role, text) turns, and the user's text."""
+    from pyspark.sql import functions as F
+
+    turns = [F.lit(f"{who}: {said}") for who, said in [("system", system), *history]]
+    return provided("generate", ROLES[role], F.concat_ws("\n", *turns, F.concat(F.lit("user: "), user)))
+
+
+def verified(verify: Callable[[str, str], float], original: Column, output: Column) -> Column:
+    """A function of original and output texts, as a column of scores; null where either is."""
+
+    @arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else float(verify(x, y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+
+    return run(original, output)
+
+
+def overlap_logits(premise: str, claim: str) -> list[float]:
+    """Logits of contradiction, neutral and entailment by shared words: an offline stand-in for a cross-encoder."""
+    own, theirs = set(re.findall(r"\w+", premise.lower())), set(re.findall(r"\w+", claim.lower()))
+    share = len(own & theirs) / len(theirs) if theirs else 1.0
+    return [0.0, 2 * (1 - share), 4 * share]
+
+
+def is_base_model(name: str) -> bool:
+    """Whether a model's name is that of a base model, which isn't one that chats."""
+    low = name.lower()
+    return "base" in low or not any(x in low for x in ("instruct", "chat", "-it"))
+
+
+#: How a generator runs unless its adapter says otherwise.
+SETTINGS = {"temperature": 0.7, "top_p": 0.9, "max_tokens": 512, "repetition_penalty": 1.1}
+
+
+def settings(adapter: dict | None) -> dict:
+    """The settings of an adapter's record; what it lacks, or has of another type, is the default."""
+    said = adapter if isinstance(adapter, dict) else {}
+    return {k: type(v)(said[k]) if isinstance(said.get(k), (int, float)) and not isinstance(said.get(k), bool) else v for k, v in SETTINGS.items()}

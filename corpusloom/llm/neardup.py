@@ -177,12 +177,12 @@ def components(edges: DataFrame) -> DataFrame:
     Each round halves the depth of chains, at least; only minima and single edges are exchanged, so a hub costs no list.
     """
 
-    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
+    def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         if not large:
             both = both.where("v < u")
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("degree"))
-        moved = met(both, least, "u", F.col("degree") > 2 * n // 1000)
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        moved = both.join(least, "u")  # pairs of numbers; a hub that outgrows a task is split by adaptive execution
         if large:
             return moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         return moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
@@ -191,8 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     was = sign(e)
     while was[0]:
-        e = stored(star(e, True, was[0]), "edges")
-        e = stored(star(e, False, e.count()), "edges")
+        e = stored(star(star(e, True), False), "edges")
         now = sign(e)
         if now == was:
             break
@@ -255,11 +254,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, kep
             outside = named.where("root <> main").select("v", "node", part.alias("part"), F.explode(every).alias("at"))
             inside = named.select("v", "node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("own").alias("at"))
             held = outside.union(inside).select(F.concat_ws(":", "v", "part", "at").alias("list"), "node").distinct()
-            roots = components(links.union(forest(stored(held, "members"))))
+            more = stored(forest(stored(held, "members")), "links")
+            roots = roots if more.isEmpty() else components(links.union(more))
 
-    ids = classes.select("node", "least_id", "copies").join(roots, "node", "left")
-    least = ids.where("root is not null").groupBy("root").agg(F.min("least_id").alias("root_id"), F.count("*").alias("size"))
-    ids = met(ids.where("root is not null"), least, "root", F.col("size") > n_rows // 1000).select("node", "copies", F.coalesce("root_id", "least_id").alias("component")).union(ids.where("root is null").select("node", "copies", "least_id"))
+    least = roots.join(classes.select("node", "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("root_id"))
+    linked_ = roots.join(least, "root").select("node", "root_id")
+    ids = stored(classes.select("node", "least_id", "copies").join(linked_, "node", "left").select("node", "copies", F.coalesce("root_id", "least_id").alias("component")), "named")
     found = met(rows.where("node is not null").select("doc_id", "n", "node"), ids, "node", F.col("copies") > n_rows // 1000).select("doc_id", F.col("n").alias("n_shingles"), "component")
     found = found.union(rows.where("node is null").select("doc_id", "n", "doc_id"))
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull()).alias("kept"))

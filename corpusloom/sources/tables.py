@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators import rendering
+
 
 def text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """source_file, text: a row for each file."""
@@ -48,6 +50,56 @@ def write_text(paragraphs: DataFrame, path: str, by: str, order: str = "para_idx
     paragraphs.groupBy(by).agg(whole.alias("value")).select(by, "value").write.mode("overwrite").partitionBy(by).text(path)
 
 
+def prompts(spark: SparkSession, path: str) -> DataFrame:
+    """name, template of the .txt files of a folder; `rendering.filled` fills them."""
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+    return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt\z", "").alias("name"), F.col("value").alias("template"))
+
+
+def personas(spark: SparkSession, path: str) -> DataFrame:
+    """name, section, idx, frame of the persona files of a folder."""
+    return prompts(spark, path).select("name", F.inline(rendering.frames(F.col("template"))))
+
+
+#: Paragraphs of a built-in sample, on everyday matters.
+SAMPLES = (
+    "The baker opens at five. By six the street smells of bread, and by seven the first loaves are gone.",
+    "A bicycle has two wheels and one good idea. Everything else on it keeps the idea from falling over.",
+    "When the river froze, the ferry stopped. People walked across instead, slowly, with their hands out.",
+    "She kept a list of every bird she saw. It had four hundred names on it, and one question mark.",
+    "Rain fell on the roof all night. In the morning the bucket under the leak was full, and the cat was dry.",
+)
+
+
+def samples(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(SAMPLES)), "para_idx int, text string")
+
+
+def write_selection(rows: DataFrame, path: str, score: str = "quality_score") -> None:
+    """Selected paragraphs as JSON records, scores rounded to three places, half to even."""
+    rows.withColumn(score, F.bround(F.col(score).cast("decimal(30,15)"), 3).cast("double")).write.mode("overwrite").json(path)
+
+
+def replaced(spark: SparkSession, rows: DataFrame, path: str, backup: str | None = None, kind: str = "json") -> None:
+    """Writes rows in the place of what is at the path: to a new folder first, which then takes the old one's name. The old
+    one stays under `backup`, if one is named. What fails before the end leaves the old one."""
+    jvm = spark.sparkContext._jvm
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    rows.write.format(kind).save(new)
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = backup or f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), at(old)):
+        raise OSError(f"{path} can't be moved to {old}")
+    if not fs.rename(at(new), at(path)):
+        if had:
+            fs.rename(at(old), at(path))
+        raise OSError(f"{new} can't be moved to {path}")
+    if had and backup is None:
+        fs.delete(at(old), True)
+
+
 def write_json(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).json(path)
 

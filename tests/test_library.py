@@ -318,3 +318,75 @@ def test_blend_takes_every_label(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
     got = blend_corpus(spark, f"file://{tmp_path}").groupBy("label").count().collect()
     assert {x.label: x["count"] for x in got} == {0: 30} | {k: 10 for k in range(1, 7)}
+
+
+def test_files_of_prompts_and_replacement(spark, tmp_path):
+    from corpusloom.sources import tables
+
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/style.txt").write_text("You are {author}. Write.")
+    (tmp_path / "p/who.txt").write_text("[NARRATIVE]\none\n---\ntwo\n[CONCEPTUAL]\nthree")
+    (tmp_path / "p/other.md").write_text("no prompt")
+    assert sorted(r.name for r in tables.prompts(spark, f"{tmp_path}/p").collect()) == ["style", "who"]
+    assert sorted((r.section, r.idx, r.frame) for r in tables.personas(spark, f"{tmp_path}/p").collect()) == [("CONCEPTUAL", 0, "three"), ("NARRATIVE", 0, "one"), ("NARRATIVE", 1, "two")]
+    (tmp_path / "s.json").write_text('{"metadata": {"n": "2"}, "paragraphs": [{"text": "a", "quality_score": 0.5, "cluster_id": 1, "tokens": 3}, {"text": "b"}]}')
+    assert sorted((r.text, r.tokens) for r in tables.selected_paragraphs(spark, f"{tmp_path}/s.json").collect()) == [("a", 3), ("b", None)]
+    tables.write_selection(spark.createDataFrame([("a", 0.0625), ("b", 0.1235), ("c", None)], "text string, quality_score double"), f"{tmp_path}/out")
+    assert sorted((r.text, r.quality_score) for r in spark.read.schema("text string, quality_score double").json(f"{tmp_path}/out").collect()) == [("a", 0.062), ("b", 0.124), ("c", None)]
+    rows = lambda x: spark.createDataFrame([(x,)], "x string")
+    for value, backup in (("one", None), ("two", f"{tmp_path}/kept"), ("three", None)):
+        tables.replaced(spark, rows(value), f"{tmp_path}/r", backup)
+        assert [r.x for r in spark.read.json(f"{tmp_path}/r").collect()] == [value]
+    assert [r.x for r in spark.read.json(f"{tmp_path}/kept").collect()] == ["one"] and not [p for p in tmp_path.iterdir() if ".old" in p.name or ".new" in p.name]
+    assert tables.samples(spark).count() == 5
+
+
+def test_patience_roles_and_settings(spark):
+    waits, left = [], [4]
+
+    def call(text):
+        left[0] -= 1
+        if left[0] > 0:
+            raise providers.Busy
+        return text.upper()
+
+    assert providers.patient(call, wait=waits.append)("x") == "X" and waits == [2.0, 4.0, 8.0]
+    left[0], waits[:] = 99, []
+    assert providers.patient(call, most=7, wait=waits.append)("x") is None and waits == [2.0, 4.0, 8.0, 16.0, 32.0, 60.0]
+
+    def broken(text):
+        raise KeyError(text)
+
+    with pytest.raises(KeyError):
+        providers.patient(broken)("x")
+    providers.register("generate", "upper", "string")(providers.client(lambda: str.upper))
+    rows = spark.createDataFrame([("a", "b b"), (None, "c")], "x string, y string")
+    assert sorted((r.u or "") for r in rows.select(providers.provided("generate", "upper", F.col("x")).alias("u")).collect()) == ["", "A"]
+    assert [r.s for r in rows.select(providers.verified(lambda a, b: len(b) - len(a), F.col("x"), F.col("y")).alias("s")).collect()] == [2.0, None]
+    assert rows.select(providers.chat("sys", [("user", "q"), ("assistant", "r")], F.col("y")).alias("c")).first().c == "system: sys\nuser: q\nassistant: r\nuser: b b"
+    logits = providers.overlap_logits("the cat sat", "cat sat")
+    assert logits[2] > max(logits[:2]) and providers.overlap_logits("the cat", "dogs run far")[1] > providers.overlap_logits("the cat", "dogs run far")[2]
+    assert providers.is_base_model("Qwen-14B-Base") and not providers.is_base_model("Qwen-7B-Instruct")
+    assert providers.settings(None) == providers.SETTINGS and providers.settings({"temperature": 1, "top_p": "x"}) == {**providers.SETTINGS, "temperature": 1.0}
+
+
+def test_streams_of_documents(spark, tmp_path):
+    from corpusloom.streaming import flows
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text('{"doc_id": 1, "para_idx": 0, "text": "word word"}\n{"doc_id": 2, "para_idx": 0, "text": "other text"}')
+    stream = lambda: spark.readStream.schema("doc_id long, para_idx int, text string").json(f"file://{tmp_path}/in")
+
+    def run():
+        flows.partial_outputs(stream(), f"file://{tmp_path}/out", f"file://{tmp_path}/c1").awaitTermination()
+        flows.appended(stream(), f"file://{tmp_path}/use", f"file://{tmp_path}/c2", flows.running_overuse).awaitTermination()
+        return {(r.doc_id, r.para_idx): r.overused for r in spark.read.schema("doc_id long, para_idx long, overused string").json(f"file://{tmp_path}/use").collect()}
+
+    progress = flows.Progress()
+    spark.streams.addListener(progress)
+    assert run() == {(1, 0): "", (2, 0): ""}
+    (tmp_path / "in/2.json").write_text('{"doc_id": 1, "para_idx": 1, "text": "a word more"}')
+    assert run()[1, 1] == "word"
+    text = {r.doc_id: r.value.rstrip("\n") for r in spark.read.text(f"file://{tmp_path}/out/documents", wholetext=True).collect()}
+    assert text == {1: "word word\n\na word more", 2: "other text"}
+    spark.streams.removeListener(progress)
