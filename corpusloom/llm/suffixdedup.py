@@ -342,8 +342,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 chunk = Chunk(blob.as_py(), length, route)
-                for bucket, runs in chunk.sent(n):
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), pa.array([chunk.blob(runs)], pa.binary())], ["bucket", "chunk", "blob"])
+                rows = [(bucket, chunk.blob(runs)) for bucket, runs in chunk.sent(n)]
+                del chunk
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["bucket", "chunk", "blob"])
 
     def sort(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("chunk").to_pylist(), group.column("blob").to_pylist()))

@@ -18,37 +18,37 @@ def _bare(word: Column) -> Column:
 
 
 def _most_frequent(ws: Column) -> Column:
-    """The count of the most frequent word longer than three characters: the longest run of the sorted words."""
-    ranked = F.array_sort(F.filter(F.transform(ws, _bare), lambda w: F.char_length(w) > 3))
+    """The count of the most frequent word longer than three characters: the longest run of the sorted words. 0 where no word can be
+    there more than five times, which is what the gates ask."""
+    bare = F.filter(F.transform(F.filter(ws, lambda w: F.char_length(w) > 3), _bare), lambda w: F.char_length(w) > 3)
     start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(a: Column, w: Column) -> Column:
         run = F.when(a["last"] == w, a["run"] + 1).otherwise(1)
         return F.struct(w.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
 
-    return F.aggregate(ranked, start, step, lambda a: a["best"])
-
-
-def measured(paras: DataFrame, allowed: str) -> DataFrame:
-    """What the gates look at, once a paragraph. allowed: characters that aren't special, as the inside of a class."""
-    text = F.col("text")
-    ws = T.words(text)
-    n_special = F.char_length(F.regexp_replace(text, f"[{allowed}]", ""))
-    bits = F.split(T.strip(text), "[.!?]+")
-    return paras.withColumns({
-        "n_words": F.size(ws).cast("long"),
-        "broken": F.regexp_replace(text, "[—–‘’“”…]", "").rlike(r"[^\x00-\x7F]{3,}"),
-        "special_ratio": n_special / F.greatest(F.char_length(text), F.lit(1)),
-        "n_parts": F.size(bits),
-        "n_complete": F.size(F.filter(bits, lambda s: F.size(T.words(s)) >= 3)),
-        "n_fragments": F.size(F.filter(bits, lambda s: (F.size(T.words(s)) >= 1) & (F.size(T.words(s)) < 3))),
-        "max_freq": _most_frequent(ws),
+    return T.let(bare, lambda b: F.when(F.size(b) - F.size(F.array_distinct(b)) >= 5, F.aggregate(F.array_sort(b), start, step, lambda a: a["best"])).otherwise(0))
+
+
+def measured(paras: DataFrame, allowed: str, min_words: int) -> DataFrame:
+    """What the gates look at, once a paragraph; of one with too few words, only how many. allowed: characters that aren't special,
+    as the inside of a class."""
+    text, long = F.col("text"), F.col("n_words") >= min_words
+    rows = paras.withColumn("ws", T.words(text)).withColumn("n_words", F.size("ws").cast("long"))
+    rows = rows.withColumn("bits", F.when(long, F.transform(F.split(T.strip(text), "[.!?]+"), lambda s: F.size(T.words(s)))))
+    return rows.withColumns({
+        "broken": long & F.regexp_replace(text, "[—–‘’“”…]", "").rlike(r"[^\x00-\x7F]{3,}"),
+        "special_ratio": F.when(long, F.char_length(F.regexp_replace(text, f"[{allowed}]", "")) / F.greatest(F.char_length(text), F.lit(1))),
+        "n_parts": F.size("bits"),
+        "n_complete": F.size(F.filter("bits", lambda n: n >= 3)),
+        "n_fragments": F.size(F.filter("bits", lambda n: (n >= 1) & (n < 3))),
+        "max_freq": F.when(long, _most_frequent(F.col("ws"))),
     })
 
 
 def load_gate(paras: DataFrame, min_words: int = 30) -> DataFrame:
     """Adds n_words and reason: too_short, encoding_artifacts, special_chars, incomplete, repetitive or ok."""
-    m = measured(paras, r"""a-zA-Z0-9\s.,!?;:'"()\-—–""")
+    m = measured(paras, r"""a-zA-Z0-9\s.,!?;:'"()\-—–""", min_words)
     reason = (
         F.when(F.col("n_words") < min_words, "too_short")
         .when(F.col("broken"), "encoding_artifacts")
@@ -62,7 +62,7 @@ def load_gate(paras: DataFrame, min_words: int = 30) -> DataFrame:
 
 def curate_gate(paras: DataFrame, min_words: int = 40) -> DataFrame:
     """Adds n_words, code (too_short, encoding, special_chars, few_sentences, fragments, repetition or ok) and detail."""
-    m = measured(paras, r"""a-zA-Z0-9\s.,!?;:'"()\-""")
+    m = measured(paras, r"""a-zA-Z0-9\s.,!?;:'"()\-""", min_words)
     code = (
         F.when(F.col("n_words") < min_words, "too_short")
         .when(F.col("broken"), "encoding")
@@ -126,8 +126,7 @@ def lexical_bleed(neutral: Column, styled: Column) -> Column:
     common = F.array(*map(F.lit, COMMON_WORDS))
     distinct = lambda t: F.array_distinct(T.words(F.lower(t)))
     own = F.array_except(distinct(styled), common)
-    shared = F.size(F.array_intersect(own, distinct(neutral)))
-    return F.when(F.size(own) == 0, 0.0).otherwise(F.try_divide(shared, F.size(own)))
+    return T.let(own, lambda o: F.when(F.size(o) == 0, 0.0).otherwise(F.try_divide(F.size(F.array_intersect(o, distinct(neutral))), F.size(o))))
 
 
 def topic_variation_ok(original: Column, varied: Column) -> Column:
