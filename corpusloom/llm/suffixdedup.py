@@ -4,7 +4,8 @@ A suffix counts by its first `length` bytes. Equal ones have the same least samp
 that they hold, so suffixes are dealt out by it: neighbours in a text mostly share it and travel as one run, the bytes of
 all of them at once. Hashes only route; what is equal is decided by the bytes.
 
-1. A chunk of documents cuts its suffixes into runs. Of runs with the same bytes the first one is sent.
+1. A chunk of documents cuts its suffixes into runs, and asks which of their hashes other chunks have. Runs without an equal
+   hash anywhere stay; of others with the same bytes the first one is sent.
 2. A bucket has the text of all runs with hashes in its range, and takes them block by block. In a block, suffixes are
    ranked by their first bytes. Longer ties are resolved with a difference cover D modulo v = `period`: for any two places
    there is an offset below v at which both fall on the cover, so two suffixes with equal ends of v - 1 bytes are equal if
@@ -12,8 +13,8 @@ all of them at once. Hashes only route; what is equal is decided by the bytes.
    places, and no more than a block is held. Of equal suffixes the first stays; a bit a suffix goes back.
 3. Each chunk cuts the bytes that later suffixes cover.
 
-A run is some 37 suffixes in 136 bytes, so about 3.7 times the text moves, compressed. Rows are chunks times buckets, or as
-many as runs if those are fewer; chunks and blocks should grow with the executors' memory.
+A run is some 37 suffixes in 136 bytes, so about 3.7 times the text that repeats moves, compressed, and the text once. Rows are
+chunks times buckets, or as many as runs if those are fewer; chunks and blocks should grow with the executors' memory.
 
 Defined cases: a null text is the empty one; documents are ordered by id, null ids last, those with the same id or none by a
 digest of their texts, then by their place in the stored chunks, so that of repeated rows one stays; a document shorter than
@@ -32,15 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import buffers, gather_spans, pieces, prefix_hashes, span_hashes, window_hashes
-from .exchange import buckets_of, squeezed, unsqueezed
-from .shared import stored, table, text_of
+from .exchange import ASKED, TOLD, answered, asked, buckets_of, flags, squeezed, unsqueezed
+from .shared import table, text_of
 
 LENGTH = 100
 PERIOD = 31
 #: Bytes of the strings whose least hash routes a suffix.
 ROUTE = 28
-#: Bytes of text in a chunk; text of runs in a block, whose places fit into 20 bits.
-CHUNK_BYTES, BLOCK_BITS = 2 << 20, 20
+#: Bytes of text in a chunk; text of runs in a block, whose places fit into 18 bits.
+CHUNK_BYTES, BLOCK_BITS = 2 << 20, 18
 #: Tie groups are split by their first member so many times before all members are compared by residues.
 ROUNDS = 4
 U = np.uint64
@@ -140,9 +141,19 @@ class Chunk:
                 ok = np.add.reduceat(same.astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]])) == size
                 self.of[m[ok]] = r[ok]
 
-    def sent(self, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Buckets, and the runs that go there."""
-        own = np.flatnonzero(self.of == np.arange(len(self.of)))
+    def keys(self) -> np.ndarray:
+        return np.unique(self.key)
+
+    def elsewhere(self, told: dict[tuple[int, int], bytes], n_buckets: int) -> np.ndarray:
+        """Runs whose hash another chunk has too, or another run of this one, or one of their own suffixes again. Others have no equal."""
+        keys, of = np.unique(self.key, return_inverse=True)
+        _, other = flags(told, 0, keys, n_buckets)
+        own = self.of == np.arange(len(self.of))
+        return self.multi | (other | (np.bincount(of, weights=own, minlength=len(keys)) > 1))[of]
+
+    def sent(self, n_buckets: int, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Buckets, and the runs that go there, of those that are wanted."""
+        own = np.flatnonzero((self.of == np.arange(len(self.of))) & (True if wanted is None else wanted))
         own = own[np.argsort(self.key[own], kind="stable")]
         of = buckets_of(self.key[own], n_buckets)
         at = np.flatnonzero(np.diff(of, prepend=-1)) if len(of) else np.zeros(0, np.int64)
@@ -153,11 +164,11 @@ class Chunk:
         text = gather_spans(self.data, self.starts[runs], self.ends[runs] + self.length - 1)
         return squeezed((self.key[runs] & U(0xFFFFFFFF)).astype("<u4"), (self.ends - self.starts)[runs].astype("<u4"), self.multi[runs], self.null[doc], self.ids[doc], self.tie[doc], self.starts[runs] - self.at[doc], text)
 
-    def gone(self, told: dict[int, bytes], n_buckets: int) -> np.ndarray:
+    def gone(self, told: dict[int, bytes], n_buckets: int, wanted: np.ndarray | None = None) -> np.ndarray:
         """The bytes that later suffixes cover."""
         n = len(self.data)
         later = np.zeros(n + 1, bool)
-        for bucket, runs in self.sent(n_buckets):
+        for bucket, runs in self.sent(n_buckets, wanted):
             size = (self.ends - self.starts)[runs]
             place = gather_spans(np.arange(n), self.starts[runs], self.ends[runs])
             later[place] = np.unpackbits(np.frombuffer(told[bucket], np.uint8), count=int(size.sum())).astype(bool)
@@ -277,6 +288,8 @@ def sorted_bucket(parts: list[tuple[int, bytes]], length: int, cover: Cover) ->
     key, multi, null, ids, tie, start = (np.concatenate([p[k] for p in parts]) for k in (1, 3, 4, 5, 6, 7))
     chunk = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
     text = np.concatenate([p[8] for p in parts])
+    counts = [len(p[1]) for p in parts]
+    del parts
     begin = np.concatenate([[0], np.cumsum(size + length - 1)])
     where = np.concatenate([[0], np.cumsum(size)])
     later = np.zeros(where[-1], bool)
@@ -295,17 +308,18 @@ def sorted_bucket(parts: list[tuple[int, bytes]], length: int, cover: Cover) ->
         block = gather_spans(text, begin[runs], begin[runs] + size[runs] + length - 1)
         to = np.concatenate([[0], np.cumsum(size[runs] + length - 1)])[:-1]
         places = gather_spans(np.arange(len(block)), to, to + size[runs])
-        later[gather_spans(np.arange(len(later)), where[runs], where[runs + 1])] = later_of(block, places, length, cover)
+        for r, part in zip(runs.tolist(), np.split(later_of(block, places, length, cover), np.cumsum(size[runs])[:-1])):
+            later[where[r] : where[r + 1]] = part
         i = j
-    cut = np.concatenate([[0], np.cumsum([len(p[1]) for p in parts])])
+    cut = np.concatenate([[0], np.cumsum(counts)])
     return [np.packbits(later[where[a] : where[b]]).tobytes() for a, b in zip(cut, cut[1:])]
 
 
 # -- the corpus --------------------------------------------------------------------------------------------------------
 
 
-def stored_chunks(docs: DataFrame, chunk_bytes: int, id_column: str, text_column: str) -> DataFrame:
-    """(chunk, blob): documents by some megabytes, in their order; a chunk keeps its number however often it is read."""
+def dealt_chunks(docs: DataFrame, chunk_bytes: int, id_column: str, text_column: str) -> DataFrame:
+    """(chunk, blob): documents by some megabytes, in their order. A chunk's number follows from its place in the scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -322,8 +336,7 @@ def stored_chunks(docs: DataFrame, chunk_bytes: int, id_column: str, text_column
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([squeezed(null[order], ids[order], tie[order], at, data)], pa.binary())], ["chunk", "blob"])
                 number += 1
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(docs, text_column).alias("text"))
-    return stored(rows.mapInArrow(run, "chunk long, blob binary"), "repeat_chunks")
+    return docs.select(F.col(id_column).cast("long").alias("id"), text_of(docs, text_column).alias("text")).mapInArrow(run, "chunk long, blob binary")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -335,25 +348,29 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     if not 6 <= period <= length - 4:
         raise ValueError("a cover sample, and the ends that are compared, have 5 bytes at least")
     n_bytes = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
-    n = max(1, n_bytes // chunk_bytes)
-    chunks = stored_chunks(docs, chunk_bytes, id_column, text_column)
+    n = max(1, n_bytes // (2 * chunk_bytes))
+    chunks = dealt_chunks(docs, chunk_bytes, id_column, text_column).groupBy("chunk")  # exchanged once, and used three times
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                chunk = Chunk(blob.as_py(), length, route)
-                rows = [(bucket, chunk.blob(runs)) for bucket, runs in chunk.sent(n)]
-                del chunk
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["bucket", "chunk", "blob"])
+    def say(told: pa.Table) -> dict[tuple[int, int], bytes]:
+        return dict(zip(zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist()), told.column("blob").to_pylist()))
+
+    def ask(key: tuple, group: pa.Table) -> pa.Table:
+        return asked(key[0].as_py(), Chunk(group.column("blob")[0].as_py(), length, route).keys(), n, 4)
+
+    def send(key: tuple, group: pa.Table, told: pa.Table) -> pa.Table:
+        chunk, number = Chunk(group.column("blob")[0].as_py(), length, route), key[0].as_py()
+        rows = [(bucket, chunk.blob(runs)) for bucket, runs in chunk.sent(n, chunk.elsewhere(say(told), n))]
+        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "chunk": pa.array([number] * len(rows), pa.int64()), "blob": pa.array([b for _, b in rows], pa.binary())})
 
     def sort(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("chunk").to_pylist(), group.column("blob").to_pylist()))
         bits = sorted_bucket(rows, length, Cover(period))
-        return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int64()), "bucket": group.column("bucket"), "blob": pa.array(bits, pa.binary())})
+        return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int64()), "kind": pa.array([1] * len(rows), pa.int32()), "bucket": group.column("bucket"), "blob": pa.array(bits, pa.binary())})
 
     def cut(group: pa.Table, told: pa.Table) -> pa.Table:
         c = Chunk(group.column("blob")[0].as_py(), length, route)
-        gone = c.gone(dict(zip(told.column("bucket").to_pylist(), told.column("blob").to_pylist())), n)
+        said = say(told)
+        gone = c.gone({bucket: blob for (kind, bucket), blob in said.items() if kind == 1}, n, c.elsewhere(said, n))
         total = np.concatenate([[0], np.cumsum(gone)])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -366,9 +383,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
         ids = [None if x else i for x, i in zip(c.null.tolist(), c.ids.tolist())]
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(np.diff(c.at), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(spans[c.at[1:]] - spans[c.at[:-1]], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept": pa.array(kept if keep_text else [None] * len(kept), pa.binary())})
 
-    runs = chunks.mapInArrow(send, "bucket int, chunk long, blob binary")
-    told = runs.groupBy("bucket").applyInArrow(sort, "chunk long, bucket int, blob binary")
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cut, RESULT)
+    known = answered(chunks.applyInArrow(ask, ASKED), 0, 4)
+    runs = chunks.cogroup(known.groupBy("chunk")).applyInArrow(send, "bucket int, chunk long, blob binary")
+    bits = runs.groupBy("bucket").applyInArrow(sort, TOLD)
+    return chunks.cogroup(known.union(bits).groupBy("chunk")).applyInArrow(cut, RESULT)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
