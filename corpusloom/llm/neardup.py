@@ -7,11 +7,9 @@
    Sets that fit into their sketches have a t that follows from their size alone; for larger ones t is the
    largest number that a pair at the threshold misses at most once in 10^8 (`common_of`), and estimates below the share
    t / 64 are what such a pair doesn't have either.
-3. A list's members are compared in one task: sketches give the overlap and an estimate of the Jaccard similarity of the
-   sets, and what passes is held against the full sets. Of the links found, a task returns a spanning forest, so rows grow
-   with members, not with pairs. A longer list is dealt into blocks, each compared within itself and with some `PIVOTS` members
-   that all blocks have. That joins a family of copies in time that grows with its members; members that are not in the
-   list's largest component then are compared with all others, block by block, so no link is lost.
+3. A list's members are compared in one task, or, if there are more than 2 `BLOCK` or their sets hold over 2 `HASHES`, in pairs
+   of blocks: sketches give the overlap and an estimate of the Jaccard similarity of the sets, and what passes is held
+   against the full sets. Of the links found, a task returns a spanning forest, so rows grow with members, not with pairs.
 4. Forests join up to components by alternating star contraction.
 
 Defined cases: null and word-free texts have the empty set and are linked with nothing; a text of fewer than five words is
@@ -34,8 +32,8 @@ from .bytetext import LOWER, NOT_SPACE, buffers, mix, pieces, span_hashes, words
 from .shared import stored, table
 
 SHINGLE, KEPT, BLOCK = 5, 64, 1024
-#: Members of a long list that all its blocks have; hashes of full sets that a block should hold.
-PIVOTS, HASHES = 32, 1 << 22
+#: Hashes of full sets that a block should hold.
+HASHES = 1 << 22
 #: Of pairs at the threshold, the share that may be missed.
 MISS = 1e-8
 U = np.uint64
@@ -221,13 +219,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, kep
     entries = entries.select("node", "v", "df", blocks.alias("blocks"), rank.alias("rank"), (k - t + 1 - lone).alias("most")).where("rank <= most").drop("rank", "most")
     entries = stored(entries, "entries")
 
-    # lists with the same members are one; long ones are compared by blocks that share pivots
+    # lists with the same members are one; long ones are compared block by block
     short = entries.where("blocks <= 2").groupBy("v").agg(F.array_sort(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
     short = short.select("nodes").distinct().select(F.md5(F.concat_ws(",", F.transform("nodes", F.hex))).alias("list"), F.explode("nodes").alias("node"))
-    long = entries.where("blocks > 2").withColumn("own", F.pmod(F.xxhash64("node", "v"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pivot = F.pmod(F.xxhash64("v", "node"), F.ceil(F.col("df") / PIVOTS)) == 0
-    dealt = long.select("v", "node", F.explode(F.when(pivot, every).otherwise(F.array("own"))).alias("at")).select(F.concat_ws(":", "v", "at").alias("list"), "node")
+    own = F.pmod(F.xxhash64("node", "v"), F.col("blocks")).cast("int")
+    long = entries.where("blocks > 2").select("node", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("own <> other")
+    long = long.select(F.concat_ws(":", "v", F.least("own", "other"), F.greatest("own", "other")).alias("list"), "node")
+    members = stored(short.union(long), "members")
 
     def compare(group: pa.Table) -> pa.Table:
         nodes = group.column("node").to_pylist()
@@ -235,27 +233,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, kep
         pairs = linked(found, percent, kept, common)
         return pa.table({"a": pa.array([nodes[i] for i, _ in pairs], pa.binary()), "b": pa.array([nodes[j] for _, j in pairs], pa.binary())})
 
-    def forest(members: DataFrame) -> DataFrame:
-        asked = members.select("node").distinct().join(classes.select("node", "least_id"), "node")
-        ids = asked.select(F.col("least_id").alias("asked_id")).distinct()
-        there = docs.select(F.col(id_column).cast("long").alias("doc_id"), "text").join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("asked_id")), "left_semi")
-        sets = full_sets(there, "doc_id", size).join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.first("whole").alias("whole"))
-        return members.join(sets, "node").select("list", "node", "whole").groupBy("list").applyInArrow(compare, "a binary, b binary")
-
-    links = stored(forest(stored(short.union(dealt), "members")), "links")
-    roots = components(links)
-    if not long.isEmpty():  # what no block joined to most of its list is held against the whole of it
-        named = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        most = named.groupBy("v", "root", "df").agg(F.count("*").alias("m")).groupBy("v", "df").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.sum("m") - F.max("m")).alias("others")).where("others > 0")
-        named = stored(met(named.drop("df"), most, "v", F.col("df") > n_entries // 1000), "long_lists")
-        if not named.isEmpty():
-            parts = F.ceil(F.col("others") / block).cast("int")
-            part = F.pmod(F.xxhash64("v", "node"), parts).cast("int")
-            outside = named.where("root <> main").select("v", "node", part.alias("part"), F.explode(every).alias("at"))
-            inside = named.select("v", "node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("own").alias("at"))
-            held = outside.union(inside).select(F.concat_ws(":", "v", "part", "at").alias("list"), "node").distinct()
-            more = stored(forest(stored(held, "members")), "links")
-            roots = roots if more.isEmpty() else components(links.union(more))
+    asked = members.select("node").distinct().join(classes.select("node", "least_id"), "node")
+    wanted = asked.select(F.col("least_id").alias("asked_id")).distinct()
+    there = docs.select(F.col(id_column).cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("asked_id")), "left_semi")
+    sets = full_sets(there, "doc_id", size).join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.first("whole").alias("whole"))
+    forest = members.join(sets, "node").select("list", "node", "whole").groupBy("list").applyInArrow(compare, "a binary, b binary")
+    roots = components(forest)
 
     least = roots.join(classes.select("node", "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("root_id"))
     linked_ = roots.join(least, "root").select("node", "root_id")

@@ -200,12 +200,13 @@ def test_context_mixing_is_a_distribution():
     spelled = Spelled(data, at)
     count_bits(tables, spelled, np.ones(len(words), np.int64))
     for _ in range(20):
-        mixer.learn(tables, spelled, np.ones(len(words), np.int64))
+        mixer.learn(tables.looked_up(spelled), spelled, np.ones(len(words), np.int64))
     first = np.arange(256, dtype=np.uint8)  # one byte and nothing else: its bits' probabilities sum to one
     one = Spelled(np.zeros(0, np.uint8), np.zeros(257, np.int64))
     one.flat = first
-    assert abs((10 ** mixer.score(tables, one, 256)).sum() - 1) < 1e-9
-    known, unknown = mixer.score(tables, Spelled(*[np.frombuffer(b"abxy", np.uint8), np.array([0, 2, 4])]), 2)
+    assert abs((10 ** mixer.score(tables.looked_up(one), one, 256)).sum() - 1) < 1e-9
+    both = Spelled(*[np.frombuffer(b"abxy", np.uint8), np.array([0, 2, 4])])
+    known, unknown = mixer.score(tables.looked_up(both), both, 2)
     assert known > unknown + 2 and CLOSE == 0x20
 
 
@@ -371,7 +372,7 @@ def test_suffix_buckets_decide_by_bytes(monkeypatch):
 
     for trial in range(40):
         monkeypatch.setattr(sd, "ROUNDS", r.choice([0, 1, 4]))
-        monkeypatch.setattr(sd, "BLOCK_BITS", r.choice([20, 11, 16]))
+        monkeypatch.setattr(sd, "BLOCK_BITS", r.choice([18, 11, 16]))
         weak = lambda f: (lambda *a: f(*a) & np.uint64(3 << 60 | 1)) if trial % 3 == 0 else f  # noqa: B023, E731
         monkeypatch.setattr(sd, "window_hashes", weak(plain))
         monkeypatch.setattr(sd, "span_hashes", weak(spans))
@@ -618,12 +619,12 @@ def brute_components(rows, percent):
     return sorted(((d, len(s), c := d if not s else least.get(find(i)), d == c) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=repr)
 
 
-@pytest.mark.parametrize(("block", "pivots"), [(512, 32), (4, 1)])
-def test_near_duplicates(spark, odd, none, block, pivots, monkeypatch):
+@pytest.mark.parametrize(("block", "hashes"), [(512, 1 << 22), (4, 1 << 22), (512, 700)])
+def test_near_duplicates(spark, odd, none, block, hashes, monkeypatch):
     from corpusloom.llm import neardup
     from corpusloom.llm.neardup import near_duplicates, one_of_each
 
-    monkeypatch.setattr(neardup, "PIVOTS", pivots)
+    monkeypatch.setattr(neardup, "HASHES", hashes)
 
     r = random.Random(11)
     rows = [tuple(x) for x in odd.select("doc_id", "text").collect()]
@@ -780,7 +781,7 @@ def test_context_counts_stay_exact_on_large_vocabularies(spark):
     assert whole(known)[:, -1].tolist() == [alike[bytes(w)] for w in known]
     assert not whole(unknown).any()
     docs = spark.createDataFrame([(i, " ".join(f"w{i * 7 + k} q{k % 5}" for k in range(40))) for i in range(60)], "doc_id long, text string")
-    lexicon = cm.counted(cm.packs(docs, "doc_id", "text", 2000), 7)
+    lexicon = cm.counted(cm.packs(docs, "doc_id", "text", 2000, 7), 7)
     rows, ends = cm.informed(lexicon, 5, 3)
     merged = [(cm._merged(bytes(x.blob))[:3], x.answers) for x in rows.collect()]
     spelled = lambda at, text: cm.Spelled(np.asarray(text), at)
