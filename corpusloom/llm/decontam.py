@@ -31,7 +31,7 @@ from .shared import table
 
 WINDOW = 10
 #: Bytes of benchmark text in one block, and of training text in one shard; a longer item or document is one by itself.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 2 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 1 << 20
 #: Pairs of documents and items that are held at a time before repeated ones are merged.
 PAIRS = 1 << 20
 
