@@ -10,7 +10,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import folds, gates, rendering, scores, training, verify
 
 from . import duck as D
-from .corpusqueries import _COVER, _ENTITY, _PAIRS, _U, ORACLE_SQL as _CORPUS_SQL, _chunk_sql, _content, _stem, blend_step, cosine, pair_profiles, table, text_pairs
+from .corpusqueries import _COVER, _ENTITY, _PAIRS, _U, ORACLE_SQL as _CORPUS_SQL, _chunk_sql, _content, _stem, blend_step, dot, pair_profiles, table, text_pairs
 from .textqueries import _MOVE, ORACLE_SQL as _TEXT_SQL, docs, paras, score_columns
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -184,7 +184,9 @@ def semantic_similarity(spark, sf_dir):
     """Cosine of each vector and the one with the next id, 0 without a vector."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     p = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
-    return p.select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 5).alias("similarity"))
+    a, b = F.col("embedding"), F.col("other")
+    norms = T.let(F.struct(dot(a, a).alias("a"), dot(b, b).alias("b")), lambda n: F.when((n["a"] == 0) | (n["b"] == 0), 0.0).otherwise(dot(a, b) / F.sqrt(n["a"] * n["b"])))
+    return p.select("vec_id", F.round(norms, 5).alias("similarity"))
 
 
 @query("SELECT vec_id, round(exp(embedding[3]::DOUBLE) / (exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE) + exp(embedding[3]::DOUBLE)), 6) AS entailment FROM embeddings")

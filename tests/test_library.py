@@ -390,3 +390,18 @@ def test_streams_of_documents(spark, tmp_path):
     text = {r.doc_id: r.value.rstrip("\n") for r in spark.read.text(f"file://{tmp_path}/out/documents", wholetext=True).collect()}
     assert text == {1: "word word\n\na word more", 2: "other text"}
     spark.streams.removeListener(progress)
+
+
+def test_similarity_of_short_vectors(spark, tmp_path):
+    """The cosine has no term that keeps it from 1, which short vectors showed, and others where a digit was rounded."""
+    import duckdb
+
+    from corpusloom.plans import trainqueries
+
+    vectors = [(0, [1e-5, 0.0]), (1, [1e-5, 0.0]), (2, [0.0, 0.0]), (3, [-1e-6, 2e-6]), (4, [1e-6, -2e-6]), (5, None), (6, [0.0, 0.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.similarity for r in trainqueries.semantic_similarity(spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert got == dict(c.sql(trainqueries.ORACLE_SQL["semantic_similarity"]).fetchall())
+    assert got[0] == 1 and got[3] == -1 and got[1] == got[2] == got[5] == 0
