@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
@@ -27,11 +28,27 @@ def register(kind: str, name: str, returns: str) -> Callable[[Provider], Provide
     return keep
 
 
+#: Bytes of text that a provider gets at a time.
+PART = 1 << 18
+
+
+def parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of an array of texts by their bytes; a larger text is one of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PART, "right")))
+        yield texts.slice(i, j - i)
+        i = j
+
+
 def provided(kind: str, name: str, text: Column) -> Column:
+    """What a provider says of each text. It gets some texts at a time, `PART` bytes of them or a single one, since what it makes
+    of them can be far larger."""
     f, returns = _REGISTRY[kind, name]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from f(batches)
+        yield from f(part for texts in batches for part in parts(texts))
 
     return arrow_udf(run, returns)(text)
 
@@ -46,31 +63,55 @@ CLOSED = {w: p for p, ws in {
 _SUFFIXES = (("ly", "ADV"), ("ing", "VERB"), ("ed", "VERB"), ("ous", "ADJ"), ("ful", "ADJ"), ("ive", "ADJ"), ("able", "ADJ"), ("al", "ADJ"), ("ic", "ADJ"))
 
 
-def tagged(text: str) -> list[dict]:
-    """Tokens with a coarse part of speech: closed classes by list, numbers, capitalised words inside a sentence, endings."""
-    out, start = [], True
-    for m in re.finditer(r"\w+(?:'\w+)?|[^\w\s]", text):
-        w, low = m[0], m[0].lower()
-        if not w[0].isalnum() and w[0] != "_":
-            pos = "PUNCT"
-        elif low in CLOSED:
-            pos = CLOSED[low]
-        elif w.isdigit():
-            pos = "NUM"
-        elif w[0].isupper() and not start:
-            pos = "PROPN"
-        else:
-            pos = next((p for e, p in _SUFFIXES if low.endswith(e) and len(low) > len(e) + 2), "NOUN")
-        out.append({"text": w, "pos": pos, "is_stop": low in CLOSED, "is_punct": pos == "PUNCT", "idx": m.start()})
-        start = w in ".!?"
-    return out
+_TOKEN = re.compile(r"\w+(?:'\w+)?|[^\w\s]")
+_CLASSES = sorted({"PUNCT", "NUM", "PROPN", "NOUN", *CLOSED.values(), *(p for _, p in _SUFFIXES)})
+
+
+def _classes(w: str) -> tuple[str, str]:
+    """A token's part of speech at the start of a sentence, and inside one: closed classes by list, numbers, capitalised words
+    inside a sentence, endings."""
+    low = w.lower()
+    if not w[0].isalnum() and w[0] != "_":
+        pos = "PUNCT"
+    elif low in CLOSED:
+        pos = CLOSED[low]
+    elif w.isdigit():
+        pos = "NUM"
+    else:
+        pos = next((p for e, p in _SUFFIXES if low.endswith(e) and len(low) > len(e) + 2), "NOUN")
+        return pos, "PROPN" if w[0].isupper() else pos
+    return pos, pos
+
+
+class _Lexicon(dict):
+    """Tokens by number, and what is known of each."""
+
+    def __init__(self) -> None:
+        self.facts: list[tuple[int, int, bool, bool]] = []
+
+    def __missing__(self, w: str) -> int:
+        self[w] = k = len(self.facts)
+        first, inside = _classes(w)
+        self.facts.append((_CLASSES.index(first), _CLASSES.index(inside), w.lower() in CLOSED, w in ".!?"))
+        return k
 
 
 @register("annotate", "rules", TOKENS)
 def rules(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("pos", pa.string()), ("is_stop", pa.bool_()), ("is_punct", pa.bool_()), ("idx", pa.int32())]))
+    """Tokens with a coarse part of speech; each distinct one of an array is looked at once."""
     for texts in batches:
-        yield pa.array([tagged(t or "") for t in texts.to_pylist()], kind)
+        lexicon, of, idx, ends = _Lexicon(), [], [], [0]
+        for t in texts.to_pylist():
+            found = list(_TOKEN.finditer(t)) if t else ()
+            of += [lexicon[m[0]] for m in found]
+            idx += [m.start() for m in found]
+            ends.append(len(of))
+        k, facts = np.array(of, np.int64), np.array(lexicon.facts, np.int64).reshape(-1, 4)[of]
+        starts = np.concatenate([[True], facts[:-1, 3] > 0])[: len(k)]
+        starts[[i for i in ends if i < len(k)]] = True
+        pos = np.where(starts, facts[:, 0], facts[:, 1])
+        fields = [pa.array(list(lexicon), pa.string()).take(pa.array(k)), pa.array(_CLASSES, pa.string()).take(pa.array(pos)), pa.array(facts[:, 2] > 0), pa.array(facts[:, 1] == _CLASSES.index("PUNCT")), pa.array(idx, pa.int32())]
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["text", "pos", "is_stop", "is_punct", "idx"]))
 
 
 def hashed_vector(text: str, size: int = 64) -> np.ndarray:

@@ -405,3 +405,23 @@ def test_similarity_of_short_vectors(spark, tmp_path):
     c.sql(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     assert got == dict(c.sql(trainqueries.ORACLE_SQL["semantic_similarity"]).fetchall())
     assert got[0] == 1 and got[3] == -1 and got[1] == got[2] == got[5] == 0
+
+
+def test_providers_get_some_texts_at_a_time(spark):
+    """What a provider makes of a batch is far larger than its texts; it gets parts of bounded size, and large texts alone."""
+    import pyarrow as pa
+
+    sizes = []
+
+    def run(batches):
+        for texts in batches:
+            sizes.append((len(texts), sum(len(t or "") for t in texts.to_pylist())))
+            yield texts
+
+    texts = ["a" * 1000, None, "", "é" * 400] * 1000 + ["b" * 1_000_000, "c"]
+    out = pa.concat_arrays(list(run(providers.parts(pa.array(texts)))))
+    assert out.to_pylist() == texts and len(sizes) > 5
+    assert all(n == 1 or size <= providers.PART for n, size in sizes)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    said = df.select("i", "t", F.size(providers.provided("annotate", "rules", F.col("t"))).alias("n")).collect()
+    assert all(r.n == (1 if r.t else 0) for r in said) and len(said) == len(texts)
