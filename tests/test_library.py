@@ -425,3 +425,14 @@ def test_providers_get_some_texts_at_a_time(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
     said = df.select("i", "t", F.size(providers.provided("annotate", "rules", F.col("t"))).alias("n")).collect()
     assert all(r.n == (1 if r.t else 0) for r in said) and len(said) == len(texts)
+
+
+def test_many_citations(value):
+    """Places of marks were summed anew for each mark."""
+    import time
+
+    n, began = 12000, time.time()
+    (marks,) = value(T.citations, "é[^1]. [^23] " * n)
+    assert len(marks) == 2 * n and [tuple(m) for m in marks[:2]] == [("[^1]", 1), ("[^23]", 7)] and marks[-1]["pos"] == 13 * n - 6
+    assert value(T.citations, "a[^1]", None, "", "[^x] [^2") == [[("[^1]", 1)], [], [], []]
+    assert time.time() - began < 20
