@@ -81,22 +81,31 @@ OPEN_ENDED = tuple(sorted(w for w, pos in CLOSED.items() if pos in ("DET", "ADP"
 AUXILIARIES = tuple(sorted(w for w, pos in CLOSED.items() if pos == "AUX"))
 
 
-def _is_verb(word: Column, first: Column) -> Column:
-    """As the rules annotator tags: an auxiliary, or a word in -ing or -ed that isn't a name."""
-    low = F.lower(word)
-    ending = (F.endswith(low, F.lit("ing")) & (F.char_length(low) > 5)) | (F.endswith(low, F.lit("ed")) & (F.char_length(low) > 4))
-    return low.isin(*AUXILIARIES) | (ending & ~low.isin(*CLOSED) & ~(word.rlike(r"^\p{Lu}") & ~first))
+#: A verb among words joined by blanks, as the rules annotator tags: an auxiliary, or a word in -ing or -ed that isn't a name.
+_ENDED = "|".join(w for w in CLOSED if w.endswith("ing") and len(w) > 5 or w.endswith("ed") and len(w) > 4)
+_VERB = rf"(?<![^ ])(?:(?i:{'|'.join(AUXILIARIES)})|(?:(?<!.)|(?!\p{{Lu}}))(?!(?i:{_ENDED})(?![^ ]))[^ ]{{3,}}(?i:ing|ed))(?![^ ])"
 
 
 def incomplete(sentence: Column) -> Column:
     """Why a sentence is incomplete, by the rules annotator's tags: `dash`, `open_end`, `no_verb` (four words and more), `no_stop` (more than three), or the empty string."""
-    s = T.strip(T.given(sentence))
-    ws = F.regexp_extract_all(s, F.lit(_WORD), 1)
-    last = F.lower(F.try_element_at(ws, F.lit(-1)))
-    verbs = F.exists(F.transform(ws, lambda w, i: _is_verb(w, i == 0)), lambda v: v)
-    stopped = s.rlike(r"""[.!?;:"'“”‘’]\z""")
-    rule = F.when(F.size(ws) == 0, "").when(s.rlike("[—-]\\z"), "dash").when(last.isin(*OPEN_ENDED), "open_end").when((F.size(ws) >= 4) & ~verbs, "no_verb").when(~stopped & (F.size(ws) > 3), "no_stop")
-    return rule.otherwise("")
+
+    def rule(s: Column, ws: Column) -> Column:
+        last = F.lower(F.try_element_at(ws, F.lit(-1)))
+        verbs = F.replace(F.array_join(ws, " "), F.lit("İ"), F.lit("I\u0307")).rlike(_VERB)  # as long as in lower case
+        stopped = s.rlike(r"""[.!?;:"'“”‘’]\z""")
+        found = F.when(F.size(ws) == 0, "").when(s.rlike("[—-]\\z"), "dash").when(last.isin(*OPEN_ENDED), "open_end")
+        return found.when(F.size(ws) >= 4, F.when(~verbs, "no_verb").when(~stopped, "no_stop")).otherwise("")
+
+    read = lambda s: T.let(F.regexp_extract_all(s, F.lit(_WORD), 1), lambda ws: F.coalesce(rule(s, ws), F.lit("")))
+    return T.let(T.strip(T.given(sentence)), read)
+
+
+def _once(ss: Column) -> Column:
+    """Sentences without those that came before in any case: sorted, each is compared with the one before it."""
+    keyed = F.array_sort(F.transform(ss, lambda s, i: F.struct(F.lower(s).alias("low"), i.alias("i"), s.alias("s"))))
+    first = lambda x, i, xs: (i == 0) | (F.get(xs, i - 1)["low"] != x["low"])
+    kept = T.let(keyed, lambda xs: F.filter(xs, lambda x, i: first(x, i, xs)))
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"], x["s"]))), lambda x: x["s"])
 
 
 def tidied(text: Column) -> Column:
@@ -104,12 +113,16 @@ def tidied(text: Column) -> Column:
     nothing can be kept."""
 
     def by_sentences(ss: Column) -> Column:
-        bad = F.size(ss) > 0
-        why = incomplete(F.try_element_at(ss, F.lit(-1)))
-        whole = F.filter(ss, lambda s: incomplete(s) == "")
-        cut = F.when(bad & ~why.isin("", "no_stop"), F.when(F.size(whole) > 0, whole).when(T.count_words(text) > 10, F.array(F.concat(text, F.lit("."))))).otherwise(ss)
-        once = F.filter(cut, lambda s, i: ~F.exists(F.slice(cut, 1, i), lambda t: F.lower(t) == F.lower(s)))
-        return F.when(F.size(once) < F.size(cut), F.array_join(once, " ")).when(bad & ~why.isin("", "no_stop"), F.array_join(cut, " ")).when(cut.isNotNull(), text)
+        return T.let(F.when(F.size(ss) > 0, incomplete(F.element_at(ss, -1))).otherwise(""), lambda why: by_end(ss, ~why.isin("", "no_stop")))
+
+    def by_end(ss: Column, bad: Column) -> Column:
+        stopped = F.when(T.count_words(text) > 10, F.array(F.concat(text, F.lit("."))))
+        whole = T.let(F.when(bad, F.filter(ss, lambda s: incomplete(s) == "")).otherwise(ss), lambda w: F.when(~bad | (F.size(w) > 0), w).otherwise(stopped))
+        return T.let(whole, lambda cut: by_cut(cut, bad))
+
+    def by_cut(cut: Column, bad: Column) -> Column:
+        distinct = F.size(F.array_distinct(F.transform(cut, F.lower)))
+        return F.when(distinct < F.size(cut), F.array_join(_once(cut), " ")).when(bad, F.array_join(cut, " ")).when(cut.isNotNull(), text)
 
     return T.let(T.sentences(text), by_sentences)
 

@@ -436,3 +436,18 @@ def test_many_citations(value):
     assert len(marks) == 2 * n and [tuple(m) for m in marks[:2]] == [("[^1]", 1), ("[^23]", 7)] and marks[-1]["pos"] == 13 * n - 6
     assert value(T.citations, "a[^1]", None, "", "[^x] [^2") == [[("[^1]", 1)], [], [], []]
     assert time.time() - began < 20
+
+
+def test_repeated_sentences_of_long_paragraphs(value):
+    """Sentences were compared with all before them, and the rules asked again for each."""
+    import time
+
+    from corpusloom.operators import training
+
+    n, began = 4000, time.time()
+    many = " ".join(f"He walked {i}. He WALKED {i}." for i in range(n))
+    (once, cut) = value(training.tidied, many, many + " Up to the")
+    assert once == cut == " ".join(f"He walked {i}." for i in range(n))
+    assert time.time() - began < 60
+    why = value(training.incomplete, "One two three Walking.", "Walking one two three.", "During one two three.", "one two three İxed.", "one two three xed.", "one two IS three.", "it's one two three'd ised-off.", "One two thre-walked four.", None)
+    assert why == ["no_verb", "", "no_verb", "no_verb", "no_verb", "", "no_verb", "", ""]
