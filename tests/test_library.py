@@ -451,3 +451,36 @@ def test_repeated_sentences_of_long_paragraphs(value):
     assert time.time() - began < 60
     why = value(training.incomplete, "One two three Walking.", "Walking one two three.", "During one two three.", "one two three İxed.", "one two three xed.", "one two IS three.", "it's one two three'd ised-off.", "One two thre-walked four.", None)
     assert why == ["no_verb", "", "no_verb", "no_verb", "no_verb", "", "no_verb", "", ""]
+
+
+def test_least_digests():
+    import hashlib
+
+    from corpusloom.functions import digests
+
+    r = random.Random(2)
+    heads = [b"rhythm:%d:" % r.choice([r.randrange(10), r.randrange(10**9), -r.randrange(1 << 63)]) for _ in range(40)]
+    for tails in ([b"%d:%d" % (r.randrange(10**7), r.randrange(30)) for _ in range(300)] + [b"7:7"] * 2, [b"%d:%d" % (-r.randrange(1 << 63), r.randrange(10**8)) for _ in range(40)], [b"1:0"]):
+        assert digests.least(heads, tails) == [min((hashlib.md5(h + t).digest(), k) for k, t in enumerate(tails))[1] for h in heads]
+
+
+def test_pairs_of_documents_and_rhythms_are_no_rows(spark, tmp_path, monkeypatch):
+    """All documents of an author are in one group here, whose pairs with paragraphs were sorted as rows; also dealt into blocks."""
+    import duckdb
+
+    from corpusloom.operators import rendering
+    from corpusloom.plans import renderqueries
+
+    r = random.Random(5)
+    text = lambda: "\n\n".join(" ".join("w " * r.randrange(1, 30) + "end." for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 6)))
+    docs = [((-1) ** (i % 2) * i * 100, text(), r.choice(["a", "a", "b", None])) for i in range(600)] + [(7, None, "a"), (None, "One. Two.", "a"), (107, "One. Two.", "a"), (10**18 + 7, "Only one.", "a")]
+    docs += [(5, docs[0][1], "a"), (5, docs[2][1], "b"), (3, "No stop", "c")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(c.sql(renderqueries.ORACLE_SQL["rhythm_retrieval"]).fetchall())
+    for block in (rendering.BLOCK, 5000):
+        monkeypatch.setattr(rendering, "BLOCK", block)
+        df = renderqueries.rhythm_retrieval(spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect())) == want
+    assert "min_by" not in df._jdf.queryExecution().toString()
