@@ -21,29 +21,33 @@ from corpusloom.llm.decontam import decontaminated
 from corpusloom.llm.neardup import one_of_each
 from corpusloom.llm.ordinal import good_documents
 from corpusloom.llm.secrets import without_secrets
-from corpusloom.llm.shared import stored, table
+from corpusloom.llm.shared import FILE_DOCUMENTS, gathered, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _few_files(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    return gathered(kept, docs.count() // FILE_DOCUMENTS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are graded good by a model of the ratings in `labels`."""
-    return good_documents(docs, table(spark, sf_dir, "labels"))
+    return _few_files(good_documents(docs, table(spark, sf_dir, "labels")), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more of their five-word shingles."""
-    return one_of_each(docs, percent=80)
+    return _few_files(one_of_each(docs, percent=80), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten words in a row of a `benchmark` item."""
-    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return _few_files(decontaminated(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets in their texts are replaced."""
-    return without_secrets(docs)
+    return _few_files(without_secrets(docs), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

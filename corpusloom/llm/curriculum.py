@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stored, table, text_of
+from .shared import FILE_DOCUMENTS, gathered, stored, table, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Digest buckets of a source: its rows are ordered within a bucket, and buckets by their sums. A task holds one bucket.
@@ -32,7 +32,7 @@ def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
     """
     total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    own = stored(total.select("source", "source_size", ((rank - 1) % 3 + 1).cast("long").alias("weight")), "source_weights")
+    own = stored(gathered(total.select("source", "source_size", ((rank - 1) % 3 + 1).cast("long").alias("weight")), 1), "source_weights")
     exact = lambda c: F.col(c).cast("decimal(38,0)")
     rest, weights, n = own.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0)), F.count("*")).first()
     total_size, capped = rest, 0
@@ -68,7 +68,8 @@ def mixed(docs: DataFrame, slopes: tuple[float, float, float] = (-0.5, 0.0, 0.5)
     """
     size = F.regexp_count(text_of(docs), F.lit(WORD)).cast("long")
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))))
-    rows = stored(docs.select(F.col(id_column).alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), digest.alias("digest")), "mix_sizes")
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), digest.alias("digest"))
+    rows = stored(gathered(rows, docs.count() // FILE_DOCUMENTS), "mix_sizes")
     targets = source_targets(rows, max_repeats)
     used = {r[0]: r[1] for r in targets.groupBy("weight").agg(F.sum(F.floor("target").cast("long"))).collect()}  # three sums
     total, bend = float(sum(used.values())), float(sum(slopes[k - 1] * n for k, n in sorted(used.items())))

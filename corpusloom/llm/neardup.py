@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, NOT_SPACE, buffers, mix, pieces, span_hashes, words
-from .shared import stored, table
+from .shared import FILE_DOCUMENTS, FILE_ROWS, gathered, stored, table
 
 SHINGLE, KEPT, BLOCK = 5, 64, 1024
 #: Hashes of full sets that a block should hold.
@@ -169,8 +169,9 @@ def met(rows: DataFrame, facts: DataFrame, key: str, heavy, how: str = "inner")
     return rows.join(hot, key).unionByName(rest)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of (a, b): alternating large and small stars until nothing changes.
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
+    """(node, root) of every node of (a, b): alternating large and small stars until nothing changes. files: most files that
+    a round is stored in.
 
     Each round halves the depth of chains, at least; only minima and single edges are exchanged, so a hub costs no list.
     """
@@ -186,10 +187,11 @@ def components(edges: DataFrame) -> DataFrame:
         return moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
     sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    few = lambda e: e if files is None else gathered(e, files)
+    e = stored(few(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), "edges")
     was = sign(e)
     while was[0]:
-        e = stored(star(star(e, True), False), "edges")
+        e = stored(few(star(star(e, True), False)), "edges")
         now = sign(e)
         if now == was:
             break
@@ -200,9 +202,10 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, kept: int = KEPT, common: int | None = None, block: int = BLOCK, id_column: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document. Links are pairs with 100 |A and B| >= percent |A or B|."""
     common = common_of(percent, kept) if common is None else common
-    rows = stored(sketched(docs, id_column, size, kept), "sketches")
-    n_rows = rows.count()
-    classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    n_rows = docs.count()
+    small, many = n_rows // FILE_DOCUMENTS, -(-n_rows * kept // (4 * FILE_ROWS))  # files of sketches, and of list entries, a quarter of what is retained
+    rows = stored(gathered(sketched(docs, id_column, size, kept), small), "sketches")
+    classes = stored(gathered(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), small), "classes")
 
     # the rarest retained hashes of each class that any other class retains too
     entries = classes.select("node", "n", F.explode("sketch").alias("v"))
@@ -217,7 +220,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, kep
     rank = F.row_number().over(mine.orderBy("df", "v"))
     blocks = F.ceil(F.greatest(F.col("df") / block, F.col("hashes") / HASHES)).cast("int")
     entries = entries.select("node", "v", "df", blocks.alias("blocks"), rank.alias("rank"), (k - t + 1 - lone).alias("most")).where("rank <= most").drop("rank", "most")
-    entries = stored(entries, "entries")
+    entries = stored(gathered(entries, many), "entries")
 
     # lists with the same members are one; long ones are compared block by block
     short = entries.where("blocks <= 2").groupBy("v").agg(F.array_sort(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
@@ -225,7 +228,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, kep
     own = F.pmod(F.xxhash64("node", "v"), F.col("blocks")).cast("int")
     long = entries.where("blocks > 2").select("node", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("own <> other")
     long = long.select(F.concat_ws(":", "v", F.least("own", "other"), F.greatest("own", "other")).alias("list"), "node")
-    members = stored(short.union(long), "members")
+    members = stored(gathered(short.union(long), many), "members")
 
     def compare(group: pa.Table) -> pa.Table:
         nodes = group.column("node").to_pylist()
@@ -238,11 +241,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, kep
     there = docs.select(F.col(id_column).cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("asked_id")), "left_semi")
     sets = full_sets(there, "doc_id", size).join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.first("whole").alias("whole"))
     forest = members.join(sets, "node").select("list", "node", "whole").groupBy("list").applyInArrow(compare, "a binary, b binary")
-    roots = components(forest)
+    roots = components(forest, many)
 
     least = roots.join(classes.select("node", "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("root_id"))
     linked_ = roots.join(least, "root").select("node", "root_id")
-    ids = stored(classes.select("node", "least_id", "copies").join(linked_, "node", "left").select("node", "copies", F.coalesce("root_id", "least_id").alias("component")), "named")
+    ids = stored(gathered(classes.select("node", "least_id", "copies").join(linked_, "node", "left").select("node", "copies", F.coalesce("root_id", "least_id").alias("component")), small), "named")
     found = met(rows.where("node is not null").select("doc_id", "n", "node"), ids, "node", F.col("copies") > n_rows // 1000).select("doc_id", F.col("n").alias("n_shingles"), "component")
     found = found.union(rows.where("node is null").select("doc_id", "n", "doc_id"))
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull()).alias("kept"))

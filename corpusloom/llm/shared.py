@@ -34,6 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Documents, and rows of a few numbers, that a stored file should hold.
+FILE_DOCUMENTS, FILE_ROWS = 2048, 50_000
+
+
+def gathered(df: DataFrame, n: int) -> DataFrame:
+    """The frame in n partitions at most, or as many as there are cores if that is more. For each file that is written, Hadoop's local
+    file system starts several processes, which at first are copies of the executor; small tables needn't be in hundreds of files."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism, n))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

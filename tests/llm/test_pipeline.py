@@ -115,3 +115,30 @@ def test_registry(spark):
     from corpusloom.llm import registry
 
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES if n != "pipeline") == list(range(1, 11))
+
+
+def test_small_tables_are_in_few_files(spark, tmp_path):
+    """However many partitions there are: each file that an executor writes starts processes beside it."""
+    import glob
+
+    import corpus_pipeline as cp
+    from corpusloom.llm.neardup import near_duplicates
+    from corpusloom.llm.shared import shared_dir, table
+
+    cores, hot = spark.sparkContext.defaultParallelism, {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in hot}
+    files = lambda: set(glob.glob(shared_dir(spark).removeprefix("file://") + "/*/part-*.parquet"))
+    try:
+        for k, v in hot.items():
+            spark.conf.set(k, v)
+        docs, before = table(spark, SF, "documents").repartition(23), files()
+        near_duplicates(docs, percent=80).count()
+        folders = [f.rsplit("/", 2)[1] for f in files() - before]
+        assert {x.split("-")[0] for x in folders} >= {"sketches", "classes", "entries", "members", "edges", "named"}
+        assert max(folders.count(x) for x in folders) <= cores
+        for name, stage in cp.STAGES[:-1]:
+            stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+            assert len(glob.glob(f"{tmp_path}/{name}/part-*.parquet")) <= cores, name
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
