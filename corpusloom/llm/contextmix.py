@@ -2,19 +2,23 @@
 
 A text is coded token by token, each as a few bits and a choice. The first bit says whether the token is the one that followed
 the last two words when the text had them before, or the last one; the second, whether the text had it at all before; the
-third, whether training had it. A token that the text had is chosen by how often, one that training had by its count there;
-an unknown one is spelled as its bytes and a closing byte, and each byte as eight bits.
+third, whether training had it. Which word it is, is told by bits too: of one that the text had, the bits of its number by first
+appearance; of one that training had, those bits of its bytes at which training words with the same beginning part; of an unknown
+one, all bits of its bytes and of a closing byte. Bits that only one word could have aren't coded.
 
 The first three bits are coded in the order of the text. Several predictors give each one's odds: what training counted in
 hashed contexts (the length of the matching context and how often it just held; the outcomes of the last tokens and the last
 word's length; the place in the text), and what this text did so far. They meet in the logistic domain under weights that
 a gate picks (the bit, and the matching context), and a table refines the mixed prediction. Weights, table and counts start as
 training left them, and are adapted after each bit; every `SEGMENT` tokens they start anew, so that long texts are coded in parallel.
+So are the bits of a number (`Recall`): tokens and distinct words of the text so far on either side, the side last taken, and what
+the segment did at this height, under weights of each height.
 
 For a spelled bit, five predictors look up how often 0 and 1 followed their contexts in the training words: the last one, two,
 three or five bytes, and the whole word so far, under weights by how many of the longer contexts are known and the bit's
 place; these are adapted batch after batch over training words, each predicted as if it hadn't been counted, and then
-stay, since a spelling is scored once for the corpus.
+stay, since a word is scored once for the corpus. Words that training had have weights of their own (`Forks`), which start at the
+whole word so far, that is at plain frequency.
 
 Words are counted over the whole corpus: chunks of documents are stored as their distinct words and the sequence of them;
 each chunk sends its distinct words with their counts to buckets by hash, and a bucket merges equal words of all chunks.
@@ -196,9 +200,10 @@ class Mixer:
         mid = 1 / (1 + np.exp(-np.linspace(-8, 8, BINS)))
         self.refine = np.tile(np.stack([1 - mid, mid], axis=1), (LEVELS, 1, 1)) if refine is None else refine
 
-    def predict(self, x: list[np.ndarray], level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of bytes' bits: the gate, the mixed prediction, the refined one, and the cell of the refining table. x: odds by predictor."""
-        gate = level * 8 + np.arange(8)
+    def predict(self, x: list[np.ndarray], level: np.ndarray, place: np.ndarray = np.arange(8)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of bytes' bits: the gate, the mixed prediction, the refined one, and the cell of the refining table. x: odds by predictor;
+        place: of each bit in its byte."""
+        gate = level * 8 + place
         s = np.zeros(gate.shape, np.float32)
         for o in range(ORDERS):
             s += self.weights[:, o].astype(np.float32)[gate] * x[o]
@@ -218,14 +223,17 @@ class Mixer:
 
     def adapt(self, x: np.ndarray, known: np.ndarray, of: np.ndarray, bit: np.ndarray, weight: np.ndarray, rate: float = 0.15) -> None:
         """x, known: `odds` of pairs; of: which pair each predictor has at each byte; weight: of each byte."""
-        x, level = [x[k] for k in of], sum(known[k].astype(np.int64) for k in of[2:])
-        gate, p, _, bin_ = self.predict(x, level)
+        self.step([x[k] for k in of], sum(known[k].astype(np.int64) for k in of[2:]), np.arange(8), bit, np.repeat(weight, 8).reshape(-1, 8), rate)
+
+    def step(self, x: list[np.ndarray], level: np.ndarray, place: np.ndarray, bit: np.ndarray, weight: np.ndarray, rate: float = 0.15) -> None:
+        """x: odds by predictor; weight: of each bit."""
+        gate, p, _, bin_ = self.predict(x, level, place)
         up, down = np.zeros_like(self.weights), np.ones_like(self.weights)
-        err, bend, flat = weight[:, None] * (bit - p), weight[:, None] * p * (1 - p), gate.ravel()
+        err, bend, flat = weight * (bit - p), weight * p * (1 - p), gate.ravel()
         for o in range(ORDERS):
             up[:, o] += np.bincount(flat, weights=(err * x[o]).ravel(), minlength=len(up))
             down[:, o] += np.bincount(flat, weights=(bend * x[o] * x[o]).ravel(), minlength=len(up))
-        self.refine += np.bincount(((level * BINS + bin_) * 2 + bit).ravel(), weights=np.repeat(weight, 8), minlength=self.refine.size).reshape(self.refine.shape)
+        self.refine += np.bincount(((level * BINS + bin_) * 2 + bit).ravel(), weights=weight.ravel(), minlength=self.refine.size).reshape(self.refine.shape)
         self.weights += rate * up / down
 
     def score(self, looked_up: tuple, spelled: Spelled, n_words: int) -> np.ndarray:
@@ -239,6 +247,30 @@ class Mixer:
         return np.log10(np.where(bit, q, 1 - q)).sum(axis=1)
 
 
+class Forks:
+    """The bits of known words at which training words with the same beginning part. Whoever knows that a word is one of training's
+    needs no others, so their probabilities sum to 1 over training's words."""
+
+    def __init__(self, words_: Spelled, of: np.ndarray, found: np.ndarray, x: np.ndarray, known: np.ndarray, places: np.ndarray):
+        """of, found, x, known: of `looked_up` and `odds`; places: the words' bytes."""
+        of = of[:, places]
+        parts = (found[1:] != found[:-1]).T[of[-1]]
+        byte, self.place = np.nonzero(parts)
+        self.word, self.bit = words_.word[places][byte], (words_.flat[places][byte] >> (7 - self.place).astype(np.uint8) & 1).astype(bool)
+        at = [o[byte].astype(np.int64) * 8 + self.place for o in of]
+        self.x, self.level = [x.ravel()[k] for k in at], sum(known.ravel()[k].astype(np.int64) for k in at[2:])
+
+    def logs(self, mixer: Mixer, n_words: int) -> np.ndarray:
+        """log10 of the probability of each word, which has its bits here, among training's."""
+        _, _, q, _ = mixer.predict(self.x, self.level, self.place)
+        return np.bincount(self.word, weights=np.log10(np.where(self.bit, q, 1 - q)), minlength=n_words)
+
+
+def chooser() -> Mixer:
+    """At first the whole word so far decides, which amounts to the words' frequencies."""
+    return Mixer(np.tile([0.0, 0.0, 0.0, 0.0, 1.0], (LEVELS * 8, 1)))
+
+
 # -- bits of the running text ------------------------------------------------------------------------------------------
 
 #: Tokens after which adaptation starts anew; slots of a table of hashed contexts; contexts of a bit besides what the text did.
@@ -249,15 +281,16 @@ RATE, REFINED, CELLS = 0.02, 0.02, 17
 _MIDDLES = np.linspace(-8, 8, CELLS)
 
 
-def _before(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the last one before it with the same key (-1: none), and how many there are."""
+def _before(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place the last one before it with the same key (-1: none), how many there are, and the first with the key."""
     order = np.argsort(key, kind="stable")
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, bool)
-    last, n = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    last, n, first = (np.empty(len(key), np.int64) for _ in range(3))
     last[order] = np.where(new, -1, np.concatenate([[-1], order[:-1]])) if len(key) else order
     i = np.arange(len(key))
-    n[order] = i - np.maximum.accumulate(np.where(new, i, 0)) if len(key) else order
-    return last, n
+    begin = np.maximum.accumulate(np.where(new, i, 0)) if len(key) else order
+    n[order], first[order] = i - begin, order[begin]
+    return last, n, first
 
 
 class Course:
@@ -278,7 +311,13 @@ class Course:
         del inside
         self.place = (np.arange(total) - self.first[:-1][self.text]).astype(np.int32)
         own = self.text * np.int64(m) + word
-        self.had = _before(own)[1].astype(np.int32)
+        _, had, one = _before(own)
+        self.had = had.astype(np.int32)
+        # distinct words of the text before each token, and the word's number among them
+        new = np.cumsum(had == 0, dtype=np.int32)
+        self.types = new - (had == 0) - (new[self.first[:-1]] - 1)[self.text]
+        self.number = self.types[one]
+        del had, one, new
         # the tokens that followed the last word, and the last two, when the text had them before; places without such words have keys of their own
         own = np.where(self.place > 0, np.roll(own, 1), -1 - np.arange(total))
         after_one = _before(own)[0].astype(np.int32)
@@ -346,36 +385,113 @@ class Flow:
             at, lane = begin[:a] + t, rows[:a]
             level, total = course.level[at], np.zeros(a)
             for f in (FOLLOWS, AGAIN, KNOWN):
-                do, bit = coded[f][at], bits[f][at]
-                x = np.empty((a, 4), np.float32)
+                do = np.flatnonzero(coded[f][at])
+                if not len(do):
+                    continue
+                on, here, g = at[do], lane[do], level[do]
+                bit = bits[f][on]
+                x = np.empty((len(do), 4), np.float32)
                 for k in range(SEEN):
-                    x[:, k] = self.known if f == KNOWN else self.odds[f, k][course.contexts[k][at]]
-                x[:, 3] = np.log(own[f, 1, :a] / own[f, 0, :a])
-                gate = w[f, level, lane]
-                s = np.clip((gate * x).sum(axis=1), -8, 8)
+                    x[:, k] = self.known if f == KNOWN else self.odds[f, k][course.contexts[k][on]]
+                x[:, 3] = np.log(own[f, 1, here] / own[f, 0, here])
+                gate = w[f, g, here]
+                s = np.clip(np.einsum("ij,ij->i", gate, x), -8, 8)
                 p = 1 / (1 + np.exp(-s))
                 cell = (s + 8) * ((CELLS - 1) / 16)
                 low = np.minimum(cell.astype(np.int64), CELLS - 2)
                 part = cell - low
-                left, right = refine[f, lane, low], refine[f, lane, low + 1]
+                left, right = refine[f, here, low], refine[f, here, low + 1]
                 q = np.clip((p + left * (1 - part) + right * part) / 2, 1e-5, 1 - 1e-5)
-                total += np.where(do, np.log10(np.where(bit, q, 1 - q)), 0)
-                w[f, level, lane] = gate + (RATE * do * (bit - p)).astype(np.float32)[:, None] * x
-                refine[f, lane, low] = left + (REFINED * do * (1 - part) * (bit - left)).astype(np.float32)
-                refine[f, lane, low + 1] = right + (REFINED * do * part * (bit - right)).astype(np.float32)
-                own[f, 1, :a] += do & bit
-                own[f, 0, :a] += do & ~bit
+                total[do] += np.log10(np.where(bit, q, 1 - q))
+                w[f, g, here] = gate + (RATE * (bit - p)).astype(np.float32)[:, None] * x
+                refine[f, here, low] = left + (REFINED * (1 - part) * (bit - left)).astype(np.float32)
+                refine[f, here, low + 1] = right + (REFINED * part * (bit - right)).astype(np.float32)
+                own[f, bit.astype(np.int64), here] += 1
             out[at] = total
         return out
 
 
-def text_scores(course: Course, flow: Flow, counts: np.ndarray, spelled: np.ndarray, total: int) -> np.ndarray:
-    """log10 of each text's probability. counts, spelled: of the distinct words, and of the end in the last place."""
-    count, spell = counts[np.minimum(course.word, len(counts) - 1)], spelled[np.minimum(course.word, len(spelled) - 1)]
-    known = count > 0
-    choice = np.where(known, np.log10(np.maximum(count, 1) / max(total, 1)), spell)
-    choice = np.where(course.bits[AGAIN], np.log10(np.maximum(course.had, 1) / np.maximum(course.place, 1)), choice)
-    token = flow.logs(course, known) + np.where(course.bits[FOLLOWS], 0, choice)
+class Recall:
+    """Bits that tell which of its words a text repeats: those of the word's number, by first appearance, from the highest, at which
+    earlier tokens of the text part. So the probabilities of all words that the text had sum to 1, whatever comes later."""
+
+    #: Predictors: tokens of either side so far; distinct words of either side; the side last taken; what the segment did at this height.
+    WEIGHTS = (1.1, 0.0, 0.2, 0.1)
+
+    def __init__(self, course: Course):
+        types = course.types[course.end]
+        heights = np.array([max(0, k - 1).bit_length() for k in range(int(types.max(initial=0)) + 1)])[types]
+        texts = np.argsort(-heights, kind="stable")  # those with more words first, so that each round is of the first ones
+        begin, end = course.first[:-1][texts], course.end[texts]
+        token = gather_spans(np.arange(len(course.word), dtype=np.int32), begin, end)
+        begins, size = np.zeros(len(token) + 1, bool), np.concatenate([[0], np.cumsum(end - begin)])
+        begins[size] = True
+        until = size[np.searchsorted(-heights[texts], -np.arange(1, heights.max(initial=0) + 1), "right")]
+        what = course.number[token] << 1 | (course.bits[AGAIN] & ~course.bits[FOLLOWS])[token]  # and whether it is to be told
+        rows = [[np.zeros(0, np.int32)] for _ in range(6)]
+        # a group is the tokens of a text with the same high bits, in their order; each round parts all groups by the next bit
+        for h, n in reversed(list(enumerate(until.tolist()))):
+            v, i = what[:n], np.arange(n, dtype=np.int32)
+            side = v >> (h + 1) & 1
+            heads = np.flatnonzero(begins[:n]).astype(np.int32)
+            sizes = np.diff(np.append(heads, n))
+            before = np.cumsum(side, dtype=np.int32) - side
+            ones = before - np.repeat(before[heads], sizes)
+            zeros = i - np.repeat(heads, sizes) - ones
+            pick = np.flatnonzero((v & 1).astype(bool) & (ones > 0) & (zeros > 0))
+            for kept, x in zip(rows, (token[pick], np.full(len(pick), h, np.int32), ones[pick], zeros[pick], side[pick - 1], side[pick])):
+                kept.append(x)
+            if h == 0:
+                break
+            split = heads + sizes.astype(np.int32) - np.add.reduceat(side, heads)
+            to = np.where(side == 1, np.repeat(split, sizes) + ones, i - ones)
+            for x in (token, what):
+                moved = np.empty(n, np.int32)
+                moved[to] = x[:n]
+                x[:n] = moved
+            begins[split] = True
+        self.token, self.height, self.ones, self.zeros, self.last, self.side = (np.concatenate(x) for x in rows)
+        self.course = course
+
+    def logs(self) -> np.ndarray:
+        """log10 of the choice of each token among the words that the text had; 0 for others. Weights are adapted after each bit, and start anew
+        every `SEGMENT` tokens."""
+        course, token, h = self.course, self.token, self.height
+        mid = ((course.number[token] >> (h + 1)) * 2 + 1) << h
+        right = np.minimum(course.types[token] - mid, 1 << h)
+        most = int(max(self.ones.max(initial=0), self.zeros.max(initial=0), right.max(initial=0), (1 << h).max(initial=0)))
+        x, log = np.empty((len(token), 4), np.float32), np.log(np.arange(most + 1) + 0.4).astype(np.float32)
+        x[:, 0] = log[self.ones] - log[self.zeros]
+        x[:, 1] = log[right] - log[1 << h]
+        x[:, 2] = 2 * self.last - 1
+        parts = -(-np.diff(course.first) // SEGMENT)
+        lane = (np.cumsum(parts) - parts)[course.text[token]] + course.place[token] // SEGMENT
+        step = (course.place[token] % SEGMENT).astype(np.int16)
+        order = np.argsort(step, kind="stable")
+        cuts = np.searchsorted(step[order], np.arange(SEGMENT + 1))
+        n_heights = int(h.max(initial=0)) + 1
+        x, cell, bit = x[order], (lane * n_heights + h)[order], self.side[order]
+        w = np.tile(np.array(self.WEIGHTS, np.float32), (int(parts.sum()) * n_heights, 1))
+        own, out = np.full((len(w), 2), 0.4, np.float32), np.zeros(len(order))
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):  # a token has one bit at a height, so each cell is there once
+            if a == b:
+                continue
+            at, y, z = cell[a:b], x[a:b], bit[a:b]
+            seen = own[at]
+            y[:, 3] = np.log(seen[:, 1] / seen[:, 0])
+            weights = w[at]
+            p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", weights, y), -8, 8)))
+            out[a:b] = np.where(z == 1, p, 1 - p)
+            w[at] = weights + (np.float32(RATE) * (z - p)).astype(np.float32)[:, None] * y
+            own[at, z] += 1
+        return np.bincount(token[order], weights=np.log10(out), minlength=len(course.word))
+
+
+def text_scores(course: Course, flow: Flow, counts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """log10 of each text's probability. counts, chosen: of the distinct words, and of the end in the last place; chosen: log10 of the choice
+    among training's words, or of the spelling of a word that training hasn't."""
+    known, choice = counts[np.minimum(course.word, len(counts) - 1)] > 0, chosen[np.minimum(course.word, len(chosen) - 1)]
+    token = flow.logs(course, known) + np.where(course.bits[FOLLOWS] | course.bits[AGAIN], 0, choice) + Recall(course).logs()
     return np.bincount(course.text, weights=token, minlength=len(course.first) - 1)
 
 
@@ -542,36 +658,46 @@ def _answers(at: np.ndarray, counts: np.ndarray, text: np.ndarray, blobs: list[b
     return Answers(Bucket(at, text).pairs, _found(blobs))
 
 
-def learned(rows: DataFrame) -> Mixer:
-    """Weights adapted over all training words, bucket by bucket, and averaged by the tokens that each saw; refinements added up.
-    Sums are of whole numbers, so they don't depend on which task has which bucket; they are a row a weight."""
-    start = Mixer()
+def learned(rows: DataFrame) -> tuple[Mixer, Mixer]:
+    """Weights of spellings and of choices, adapted over all training words, bucket by bucket, and averaged by the tokens that each saw;
+    refinements added up. A choice is learned from words that training has without their one, too. Sums are of whole numbers, so
+    they don't depend on which task has which bucket; they are a row a weight."""
+    starts = (Mixer(), chooser())
+    n = starts[0].weights.size
+    size = 1 + n + starts[0].refine.size
 
     def adapt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [0] * (1 + start.weights.size + start.refine.size)
+        total = [0] * (2 * size)
         for batch in batches:
             for blob, say in zip(batch.column(0), batch.column(1)):
                 at, counts, text, *_ = _merged(blob.as_py())
-                words_, mixer, seen = Bucket(at, text), Mixer(), 0
-                x, known = odds(words_.pairs, _found(say.as_py()), True)
+                words_, mixers, found = Bucket(at, text), (Mixer(), chooser()), _found(say.as_py())
+                x, known = odds(words_.pairs, found, True)
                 bits = words_.spelled.bits()
-                for round_ in range(min(SETTLED, max(1, SETTLED * BATCH // max(1, int((counts > 0).sum()))))):  # weights settle over some batches; words of few are gone over again
-                    for k, places in words_.batches(np.flatnonzero(counts), BATCH):
-                        mixer.adapt(x, known, words_.of[:, places], bits[places], counts[words_.spelled.word[places]].astype(np.float64))
-                        seen += int(counts[k].sum()) if round_ == 0 else 0
-                    if not seen:
-                        break
-                own = [seen, *(int(v) for v in np.rint(mixer.weights * 2**20).ravel()), *np.rint(mixer.refine - start.refine).ravel().astype(np.int64).tolist()]
-                total = [x + (y * seen if 0 < j <= start.weights.size else y) for j, (x, y) in enumerate(zip(total, own))]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total))), pa.array([str(x) for x in total])], ["slot", "n"])
-
-    found = rows.select("blob", "answers").mapInArrow(adapt, "slot long, n string").groupBy("slot").agg(F.sum(F.col("n").cast("decimal(38,0)"))).collect()
-    total = {slot: int(n) for slot, n in found}
-    if not total.get(0):
-        return start
-    n = start.weights.size
-    weights = np.array([total[1 + j] / total[0] / 2**20 for j in range(n)]).reshape(start.weights.shape)
-    return Mixer(weights, start.refine + np.array([total[1 + n + j] for j in range(start.refine.size)], float).reshape(start.refine.shape))
+                for part, (mixer, start, least) in enumerate(zip(mixers, starts, (1, 2))):
+                    pick, seen = np.flatnonzero(counts >= least), 0
+                    for round_ in range(min(SETTLED, max(1, SETTLED * BATCH // max(1, len(pick))))):  # weights settle over some batches; words of few are gone over again
+                        for k, places in words_.batches(pick, BATCH):
+                            if part:
+                                forks = Forks(words_.spelled, words_.of, found, x, known, places)
+                                mixer.step(forks.x, forks.level, forks.place, forks.bit, counts[forks.word].astype(np.float64))
+                            else:
+                                mixer.adapt(x, known, words_.of[:, places], bits[places], counts[words_.spelled.word[places]].astype(np.float64))
+                            seen += int(counts[k].sum()) if round_ == 0 else 0
+                        if not seen:
+                            break
+                    own = [seen, *(int(v) * seen for v in np.rint(mixer.weights * 2**20).ravel()), *np.rint(mixer.refine - start.refine).ravel().astype(np.int64).tolist()]
+                    total[part * size : (part + 1) * size] = [x_ + y for x_, y in zip(total[part * size :], own)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total))), pa.array([str(v) for v in total])], ["slot", "n"])
+
+    sums = rows.select("blob", "answers").mapInArrow(adapt, "slot long, n string").groupBy("slot").agg(F.sum(F.col("n").cast("decimal(38,0)"))).collect()
+    total, out = {slot: int(v) for slot, v in sums}, []
+    for part, start in enumerate(starts):
+        own = [total.get(part * size + j, 0) for j in range(size)]
+        if own[0]:
+            start = Mixer(np.array([v / own[0] / 2**20 for v in own[1 : n + 1]]).reshape(start.weights.shape), start.refine + np.array(own[n + 1 :], float).reshape(start.refine.shape))
+        out.append(start)
+    return tuple(out)
 
 
 def scored(docs: DataFrame, chunk_bytes: int = CHUNK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -586,9 +712,10 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK, id_column: str = "doc_id",
     n_known, n_once, n_tokens = lexicon.agg(F.sum("n_known"), F.sum("n_once"), F.sum("n_tokens")).first()
     total, distinct = (n_tokens or 0) + n_ends, (n_known or 0) + (n_ends > 0)
     rows, ends = informed(lexicon, n_buckets, n_ends)
-    mixer = learned(rows)
-    end_score = float(mixer.score(ends.looked_up(_end()), _end(), 1)[0])
-    model = spark.sparkContext.broadcast(mixer)
+    mixers = learned(rows)
+    spelled, end = ends.looked_up(_end()), _end()
+    end_score = float(Forks(end, spelled[2], spelled[1], *odds(*spelled[:2], False), np.arange(1)).logs(mixers[1], 1)[0] if n_ends else mixers[0].score(spelled, end, 1)[0])
+    model = spark.sparkContext.broadcast(mixers)
     flow = spark.sparkContext.broadcast(Flow(coursed(chunks), (n_once or 0) / max(total, 1)))
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -596,11 +723,14 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK, id_column: str = "doc_id",
             for bucket, blob, say in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 at, counts, text, chunks_, cut, of = _merged(blob.as_py())
                 words_ = Bucket(at, text)
-                x, known = odds(words_.pairs, _found(say.as_py()), False)
-                bits, score = words_.spelled.bits(), np.zeros(len(counts), np.float32)
-                for k, places in words_.batches(np.arange(len(counts)), BATCH):
-                    logs = model.value.logs(x, known, words_.of[:, places], bits[places])
-                    score[k] = np.bincount(words_.spelled.word[places] - k[0], weights=logs, minlength=len(k))
+                found = _found(say.as_py())
+                x, known = odds(words_.pairs, found, False)
+                bits, score, (spelling, choice) = words_.spelled.bits(), np.zeros(len(counts), np.float32), model.value
+                for k, places in words_.batches(np.flatnonzero(counts), BATCH):
+                    score[k] = Forks(words_.spelled, words_.of, found, x, known, places).logs(choice, len(counts))[k]
+                for k, places in words_.batches(np.flatnonzero(counts == 0), BATCH):
+                    logs = spelling.logs(x, known, words_.of[:, places], bits[places])
+                    score[k] = np.bincount(words_.spelled.word[places], weights=logs, minlength=len(counts))[k]
                 blobs = [_squeeze(counts[of[i:j]].astype("<u4" if total < 1 << 32 else "<i8"), score[of[i:j]]) for i, j in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(chunks_, pa.int64()), pa.array([bucket] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "bucket", "blob"])
 
@@ -618,7 +748,7 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK, id_column: str = "doc_id",
         add = lambda x: np.bincount(text, weights=x[of], minlength=len(n))
         course = Course(of, first, lengths.astype(np.int64))
         course.word[course.end] = n_words
-        whole = text_scores(course, flow.value, count, score, total)
+        whole = text_scores(course, flow.value, count, score)
         bits = np.where(sizes > 0, -whole * np.log2(10) / np.maximum(sizes, 1), np.nan)
         return pa.table({
             "doc_id": pa.array([None if x else i for x, i in zip(null.tolist(), ids.tolist())], pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(n + 1, pa.int64()), "n_known": pa.array(add(count > 0).astype(np.int64) + (n_ends > 0), pa.int64()),

@@ -189,6 +189,73 @@ def test_running_bits_equal_a_slow_version():
             at += 1
 
 
+def test_repeated_words_are_told_by_mixed_bits():
+    import numpy as np
+
+    from corpusloom.llm import contextmix as cm
+
+    r = random.Random(9)
+    texts = [[r.randrange(40) for _ in range(n)] for n in (0, 1, 2, 30, 600, 5)]
+
+    def coded(texts):
+        course = cm.Course(np.array([w for t in texts for w in t]), np.cumsum([0, *map(len, texts)]), np.full(40, 5))
+        return course, cm.Recall(course).logs()
+
+    course, logs = coded(texts)
+    at = 0
+    for t in texts:
+        number, past = {}, []
+        for i, w in enumerate(t):
+            if i % cm.SEGMENT == 0:
+                weights, own = {}, {}
+            total = 0.0
+            for h in range(8, -1, -1) if w in number and not course.bits[cm.FOLLOWS][at + i] else ():
+                high = number[w] >> (h + 1)
+                sides = [number[v] >> h & 1 for v in past if number[v] >> (h + 1) == high]
+                if 0 < sum(sides) < len(sides):
+                    right = min(len(number) - (high * 2 + 1 << h), 1 << h)
+                    o, ws, b = own.setdefault(h, [0.4, 0.4]), weights.setdefault(h, list(cm.Recall.WEIGHTS)), number[w] >> h & 1
+                    odds = lambda n1, n0: math.log((n1 + 0.4) / (n0 + 0.4))
+                    x = [odds(sum(sides), len(sides) - sum(sides)), odds(right, 1 << h), 2 * sides[-1] - 1, math.log(o[1] / o[0])]
+                    p = 1 / (1 + math.exp(-min(8, max(-8, sum(u * v for u, v in zip(ws, x))))))
+                    total += math.log10(p if b else 1 - p)
+                    weights[h] = [u + cm.RATE * (b - p) * v for u, v in zip(ws, x)]
+                    o[b] += 1
+            assert abs(total - logs[at + i]) < 1e-4, (at, i)
+            number.setdefault(w, len(number))
+            past.append(w)
+        at += len(t) + 1
+    assert (coded([texts[4][:300]])[1][:300] == coded([texts[4]])[1][:300]).all()  # whatever comes later
+
+
+def test_choices_among_training_words_are_a_distribution():
+    import numpy as np
+
+    from corpusloom.llm import contextmix as cm
+
+    words = [b"a", b"ab", b"abba", b"b", b"ba", "日本".encode(), b"zebra"]
+    counts = np.array([50, 3, 1, 20, 2, 1, 9])
+    spelled = cm.Spelled(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
+    tables, mixer = cm.empty_tables(), cm.chooser()
+    cm.count_bits(tables, spelled, counts)
+    cm.count_bits(tables, cm._end(), np.array([4]))
+
+    def sums():
+        out = []
+        for x in (spelled, cm._end()):
+            pairs, found, of = tables.looked_up(x)
+            out += cm.Forks(x, of, found, *cm.odds(pairs, found, False), np.arange(len(x.flat))).logs(mixer, x.word[-1] + 1).tolist()
+        return out
+
+    plain = sums()
+    assert abs(sum(10**v for v in plain) - 1) < 1e-9 and abs(10 ** plain[0] - 50 / 90) < 0.05  # at first, by frequency
+    pairs, found, of = tables.looked_up(spelled)
+    forks = cm.Forks(spelled, of, found, *cm.odds(pairs, found, True), np.arange(len(spelled.flat)))
+    for _ in range(10):
+        mixer.step(forks.x, forks.level, forks.place, forks.bit, counts[forks.word].astype(float))
+    assert abs(sum(10**v for v in sums()) - 1) < 1e-9 and sums() != plain
+
+
 def test_context_mixing_is_a_distribution():
     import numpy as np
 
