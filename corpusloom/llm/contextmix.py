@@ -251,15 +251,19 @@ class Forks:
     """The bits of known words at which training words with the same beginning part. Whoever knows that a word is one of training's
     needs no others, so their probabilities sum to 1 over training's words."""
 
-    def __init__(self, words_: Spelled, of: np.ndarray, found: np.ndarray, x: np.ndarray, known: np.ndarray, places: np.ndarray):
-        """of, found, x, known: of `looked_up` and `odds`; places: the words' bytes."""
+    def __init__(self, words_: Spelled, of: np.ndarray, parts: np.ndarray, x: np.ndarray, known: np.ndarray, places: np.ndarray):
+        """of, x, known: of `looked_up` and `odds`; parts: of `parting`; places: the words' bytes."""
         of = of[:, places]
-        parts = (found[1:] != found[:-1]).T[of[-1]]
-        byte, self.place = np.nonzero(parts)
+        byte, self.place = np.nonzero(parts[of[-1]])
         self.word, self.bit = words_.word[places][byte], (words_.flat[places][byte] >> (7 - self.place).astype(np.uint8) & 1).astype(bool)
         at = [o[byte].astype(np.int64) * 8 + self.place for o in of]
         self.x, self.level = [x.ravel()[k] for k in at], sum(known.ravel()[k].astype(np.int64) for k in at[2:])
 
+    @staticmethod
+    def parting(found: np.ndarray) -> np.ndarray:
+        """Of pairs, by their byte's bits: whether the context is followed by bytes with the other bit, too."""
+        return np.stack([found[j + 1] != found[j] for j in range(8)], axis=1)
+
     def logs(self, mixer: Mixer, n_words: int) -> np.ndarray:
         """log10 of the probability of each word, which has its bits here, among training's."""
         _, _, q, _ = mixer.predict(self.x, self.level, self.place)
@@ -285,7 +289,7 @@ def _before(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each place the last one before it with the same key (-1: none), how many there are, and the first with the key."""
     order = np.argsort(key, kind="stable")
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, bool)
-    last, n, first = (np.empty(len(key), np.int64) for _ in range(3))
+    last, n, first = (np.empty(len(key), np.int32) for _ in range(3))
     last[order] = np.where(new, -1, np.concatenate([[-1], order[:-1]])) if len(key) else order
     i = np.arange(len(key))
     begin = np.maximum.accumulate(np.where(new, i, 0)) if len(key) else order
@@ -312,7 +316,7 @@ class Course:
         self.place = (np.arange(total) - self.first[:-1][self.text]).astype(np.int32)
         own = self.text * np.int64(m) + word
         _, had, one = _before(own)
-        self.had = had.astype(np.int32)
+        self.had = had
         # distinct words of the text before each token, and the word's number among them
         new = np.cumsum(had == 0, dtype=np.int32)
         self.types = new - (had == 0) - (new[self.first[:-1]] - 1)[self.text]
@@ -320,10 +324,10 @@ class Course:
         del had, one, new
         # the tokens that followed the last word, and the last two, when the text had them before; places without such words have keys of their own
         own = np.where(self.place > 0, np.roll(own, 1), -1 - np.arange(total))
-        after_one = _before(own)[0].astype(np.int32)
+        after_one = _before(own)[0]
         own = np.unique(own, return_inverse=True)[1] * np.int64(m) + np.roll(word, 2)
         own = np.where(self.place > 1, own, -1 - np.arange(total))
-        after_two = _before(own)[0].astype(np.int32)
+        after_two = _before(own)[0]
         del own
         self.level = np.where(after_two >= 0, 2, np.where(after_one >= 0, 1, 0)).astype(np.int8)
         guess = np.where(after_two >= 0, word[after_two], np.where(after_one >= 0, word[after_one], -1))
@@ -418,11 +422,17 @@ class Recall:
     #: Predictors: tokens of either side so far; distinct words of either side; the side last taken; what the segment did at this height.
     WEIGHTS = (1.1, 0.0, 0.2, 0.1)
 
-    def __init__(self, course: Course):
-        types = course.types[course.end]
+    #: Tokens of texts that are taken at a time; a longer text is taken whole.
+    TOKENS = 1 << 18
+
+    def __init__(self, course: Course, begin: int = 0, stop: int | None = None):
+        """begin, stop: of the texts."""
+        self.first = course.first[begin : (len(course.first) - 1 if stop is None else stop) + 1]
+        ends = self.first[1:] - 1
+        types, base = course.types[ends], begin
         heights = np.array([max(0, k - 1).bit_length() for k in range(int(types.max(initial=0)) + 1)])[types]
         texts = np.argsort(-heights, kind="stable")  # those with more words first, so that each round is of the first ones
-        begin, end = course.first[:-1][texts], course.end[texts]
+        begin, end = self.first[:-1][texts], ends[texts]
         token = gather_spans(np.arange(len(course.word), dtype=np.int32), begin, end)
         begins, size = np.zeros(len(token) + 1, bool), np.concatenate([[0], np.cumsum(end - begin)])
         begins[size] = True
@@ -451,10 +461,20 @@ class Recall:
                 x[:n] = moved
             begins[split] = True
         self.token, self.height, self.ones, self.zeros, self.last, self.side = (np.concatenate(x) for x in rows)
-        self.course = course
+        self.course, self.base = course, base
+
+    @classmethod
+    def all_logs(cls, course: Course) -> np.ndarray:
+        """`logs` of all texts."""
+        out, i, n = np.zeros(len(course.word)), 0, len(course.first) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(course.first, course.first[i] + cls.TOKENS, "right")) - 1)
+            out[course.first[i] : course.first[j]] = cls(course, i, j).logs()
+            i = j
+        return out
 
     def logs(self) -> np.ndarray:
-        """log10 of the choice of each token among the words that the text had; 0 for others. Weights are adapted after each bit, and start anew
+        """log10 of the choice of each of the texts' tokens among the words that the text had; 0 for others. Weights are adapted after each bit, and start anew
         every `SEGMENT` tokens."""
         course, token, h = self.course, self.token, self.height
         mid = ((course.number[token] >> (h + 1)) * 2 + 1) << h
@@ -464,8 +484,8 @@ class Recall:
         x[:, 0] = log[self.ones] - log[self.zeros]
         x[:, 1] = log[right] - log[1 << h]
         x[:, 2] = 2 * self.last - 1
-        parts = -(-np.diff(course.first) // SEGMENT)
-        lane = (np.cumsum(parts) - parts)[course.text[token]] + course.place[token] // SEGMENT
+        parts = -(-np.diff(self.first) // SEGMENT)
+        lane = (np.cumsum(parts) - parts)[course.text[token] - self.base] + course.place[token] // SEGMENT
         step = (course.place[token] % SEGMENT).astype(np.int16)
         order = np.argsort(step, kind="stable")
         cuts = np.searchsorted(step[order], np.arange(SEGMENT + 1))
@@ -484,14 +504,14 @@ class Recall:
             out[a:b] = np.where(z == 1, p, 1 - p)
             w[at] = weights + (np.float32(RATE) * (z - p)).astype(np.float32)[:, None] * y
             own[at, z] += 1
-        return np.bincount(token[order], weights=np.log10(out), minlength=len(course.word))
+        return np.bincount(token[order] - self.first[0], weights=np.log10(out), minlength=int(self.first[-1] - self.first[0]))
 
 
 def text_scores(course: Course, flow: Flow, counts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """log10 of each text's probability. counts, chosen: of the distinct words, and of the end in the last place; chosen: log10 of the choice
     among training's words, or of the spelling of a word that training hasn't."""
     known, choice = counts[np.minimum(course.word, len(counts) - 1)] > 0, chosen[np.minimum(course.word, len(chosen) - 1)]
-    token = flow.logs(course, known) + np.where(course.bits[FOLLOWS] | course.bits[AGAIN], 0, choice) + Recall(course).logs()
+    token = flow.logs(course, known) + np.where(course.bits[FOLLOWS] | course.bits[AGAIN], 0, choice) + Recall.all_logs(course)
     return np.bincount(course.text, weights=token, minlength=len(course.first) - 1)
 
 
@@ -673,13 +693,14 @@ def learned(rows: DataFrame) -> tuple[Mixer, Mixer]:
                 at, counts, text, *_ = _merged(blob.as_py())
                 words_, mixers, found = Bucket(at, text), (Mixer(), chooser()), _found(say.as_py())
                 x, known = odds(words_.pairs, found, True)
-                bits = words_.spelled.bits()
+                bits, parts = words_.spelled.bits(), Forks.parting(found)
+                del found
                 for part, (mixer, start, least) in enumerate(zip(mixers, starts, (1, 2))):
                     pick, seen = np.flatnonzero(counts >= least), 0
                     for round_ in range(min(SETTLED, max(1, SETTLED * BATCH // max(1, len(pick))))):  # weights settle over some batches; words of few are gone over again
                         for k, places in words_.batches(pick, BATCH):
                             if part:
-                                forks = Forks(words_.spelled, words_.of, found, x, known, places)
+                                forks = Forks(words_.spelled, words_.of, parts, x, known, places)
                                 mixer.step(forks.x, forks.level, forks.place, forks.bit, counts[forks.word].astype(np.float64))
                             else:
                                 mixer.adapt(x, known, words_.of[:, places], bits[places], counts[words_.spelled.word[places]].astype(np.float64))
@@ -688,6 +709,7 @@ def learned(rows: DataFrame) -> tuple[Mixer, Mixer]:
                             break
                     own = [seen, *(int(v) * seen for v in np.rint(mixer.weights * 2**20).ravel()), *np.rint(mixer.refine - start.refine).ravel().astype(np.int64).tolist()]
                     total[part * size : (part + 1) * size] = [x_ + y for x_, y in zip(total[part * size :], own)]
+                del words_, x, known, bits, parts  # else they are there beside those of the next bucket
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total))), pa.array([str(v) for v in total])], ["slot", "n"])
 
     sums = rows.select("blob", "answers").mapInArrow(adapt, "slot long, n string").groupBy("slot").agg(F.sum(F.col("n").cast("decimal(38,0)"))).collect()
@@ -714,7 +736,7 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK, id_column: str = "doc_id",
     rows, ends = informed(lexicon, n_buckets, n_ends)
     mixers = learned(rows)
     spelled, end = ends.looked_up(_end()), _end()
-    end_score = float(Forks(end, spelled[2], spelled[1], *odds(*spelled[:2], False), np.arange(1)).logs(mixers[1], 1)[0] if n_ends else mixers[0].score(spelled, end, 1)[0])
+    end_score = float(Forks(end, spelled[2], Forks.parting(spelled[1]), *odds(*spelled[:2], False), np.arange(1)).logs(mixers[1], 1)[0] if n_ends else mixers[0].score(spelled, end, 1)[0])
     model = spark.sparkContext.broadcast(mixers)
     flow = spark.sparkContext.broadcast(Flow(coursed(chunks), (n_once or 0) / max(total, 1)))
 
@@ -725,12 +747,15 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK, id_column: str = "doc_id",
                 words_ = Bucket(at, text)
                 found = _found(say.as_py())
                 x, known = odds(words_.pairs, found, False)
+                parts = Forks.parting(found)
+                del found
                 bits, score, (spelling, choice) = words_.spelled.bits(), np.zeros(len(counts), np.float32), model.value
                 for k, places in words_.batches(np.flatnonzero(counts), BATCH):
-                    score[k] = Forks(words_.spelled, words_.of, found, x, known, places).logs(choice, len(counts))[k]
+                    score[k] = Forks(words_.spelled, words_.of, parts, x, known, places).logs(choice, len(counts))[k]
                 for k, places in words_.batches(np.flatnonzero(counts == 0), BATCH):
                     logs = spelling.logs(x, known, words_.of[:, places], bits[places])
                     score[k] = np.bincount(words_.spelled.word[places], weights=logs, minlength=len(counts))[k]
+                del words_, x, known, bits, parts
                 blobs = [_squeeze(counts[of[i:j]].astype("<u4" if total < 1 << 32 else "<i8"), score[of[i:j]]) for i, j in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(chunks_, pa.int64()), pa.array([bucket] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "bucket", "blob"])
 

@@ -189,7 +189,7 @@ def test_running_bits_equal_a_slow_version():
             at += 1
 
 
-def test_repeated_words_are_told_by_mixed_bits():
+def test_repeated_words_are_told_by_mixed_bits(monkeypatch):
     import numpy as np
 
     from corpusloom.llm import contextmix as cm
@@ -226,6 +226,8 @@ def test_repeated_words_are_told_by_mixed_bits():
             past.append(w)
         at += len(t) + 1
     assert (coded([texts[4][:300]])[1][:300] == coded([texts[4]])[1][:300]).all()  # whatever comes later
+    monkeypatch.setattr(cm.Recall, "TOKENS", 20)
+    assert (cm.Recall.all_logs(course) == logs).all()
 
 
 def test_choices_among_training_words_are_a_distribution():
@@ -244,13 +246,13 @@ def test_choices_among_training_words_are_a_distribution():
         out = []
         for x in (spelled, cm._end()):
             pairs, found, of = tables.looked_up(x)
-            out += cm.Forks(x, of, found, *cm.odds(pairs, found, False), np.arange(len(x.flat))).logs(mixer, x.word[-1] + 1).tolist()
+            out += cm.Forks(x, of, cm.Forks.parting(found), *cm.odds(pairs, found, False), np.arange(len(x.flat))).logs(mixer, x.word[-1] + 1).tolist()
         return out
 
     plain = sums()
     assert abs(sum(10**v for v in plain) - 1) < 1e-9 and abs(10 ** plain[0] - 50 / 90) < 0.05  # at first, by frequency
     pairs, found, of = tables.looked_up(spelled)
-    forks = cm.Forks(spelled, of, found, *cm.odds(pairs, found, True), np.arange(len(spelled.flat)))
+    forks = cm.Forks(spelled, of, cm.Forks.parting(found), *cm.odds(pairs, found, True), np.arange(len(spelled.flat)))
     for _ in range(10):
         mixer.step(forks.x, forks.level, forks.place, forks.bit, counts[forks.word].astype(float))
     assert abs(sum(10**v for v in sums()) - 1) < 1e-9 and sums() != plain
