@@ -38,6 +38,8 @@ OFTEN = 0.01
 TESTED = 3
 #: Bytes of text whose features are held at a time; a longer text is held whole.
 PIECE = 1 << 20
+#: Features that the fit counts at a time.
+BLOCK = 1 << 18
 U = np.uint64
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#$%&*|<>{}[]~^_=+@\\/"]] = True
@@ -108,18 +110,20 @@ class Ordinal:
         """texts, dims: features of the rated texts; grades from 0. With balance 1, grades weigh alike, however many have them;
         with 0, documents do."""
         n = len(grades)
-        seen = np.bincount(dims, minlength=DIMENSIONS).astype(float)
+        blocks = [slice(i, i + BLOCK) for i in range(0, len(dims), BLOCK)]  # numpy makes wider copies of what it counts
+        seen = sum((np.bincount(dims[b], minlength=DIMENSIONS) for b in blocks), np.zeros(DIMENSIONS, np.int64)).astype(float)
         telling = np.zeros(DIMENSIONS, bool)
         least = 2 * np.log(max(1, (seen >= TESTED).sum())) + 2  # of so many features, less than one passes by chance
         for cut in range(n_grades - 1):
             low = grades <= cut
             p = low.mean() if n else 0
-            k = np.bincount(dims, weights=low[texts], minlength=DIMENSIONS)
+            k = sum((np.bincount(dims[b], weights=low[texts[b]], minlength=DIMENSIONS) for b in blocks), np.zeros(DIMENSIONS))
             term = lambda o, e: o * np.log(np.where(o > 0, o, 1) / np.maximum(e, 1e-12))
             telling |= 2 * (term(k, seen * p) + term(seen - k, seen * (1 - p)) + term(low.sum() - k, (n - seen) * p) + term(n - seen - low.sum() + k, (n - seen) * (1 - p))) >= least
             telling &= seen >= TESTED
         used, keep = np.flatnonzero(telling), telling[dims]
-        texts, cols = texts[keep], np.searchsorted(used, dims[keep])
+        texts, cols = texts[keep].astype(np.int64), np.searchsorted(used, dims[keep])
+        del keep, dims
         have = np.bincount(grades, minlength=n_grades)
         own = (n / np.maximum(have, 1) / max(1, (have > 0).sum()))[grades] ** balance
         w = np.zeros(len(used))
@@ -168,13 +172,31 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column:
     rows = some.mapInArrow(run, "id long, grade int, dims array<int>").toArrow()
     if not rows.num_rows:
         return None
-    rows = rows.combine_chunks().sort_by([("id", "ascending"), ("grade", "ascending")])
-    grades = rows.column("grade").to_numpy()
-    lists = rows.column("dims").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    dims = lists.flatten().to_numpy().astype(np.int64)
-    texts = np.repeat(np.arange(len(grades)), lists.value_lengths().to_numpy())
-    return Ordinal.fit(texts, dims, grades, n_grades)
+    texts, dims, grades = by_text(rows)
+    del rows
+    model = Ordinal.fit(texts, dims, grades, n_grades)
+    del texts, dims
+    pa.default_memory_pool().release_unused()
+    return model
+
+
+def by_text(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of (id, grade, dims) rows, in order of ids and grades: texts' numbers, dimensions, and the texts' grades. They are
+    copied once, in 8 bytes a feature, as the driver holds them beside its JVM."""
+    ids, grades = rows.column("id").to_numpy(), rows.column("grade").to_numpy()
+    lists = [x for x in rows.column("dims").chunks if len(x)]
+    sizes = np.concatenate([x.value_lengths().to_numpy() for x in lists]).astype(np.int64)
+    order = np.lexsort((grades, ids))
+    to = np.empty(len(order), np.int64)
+    to[order] = np.cumsum(sizes[order]) - sizes[order]
+    dims, row = np.empty(sizes.sum(), np.int32), 0
+    for x in lists:
+        flat = x.flatten().to_numpy()
+        at = np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())])
+        for a, b in zip(at.tolist(), at[1:].tolist()):
+            dims[to[row] : to[row] + b - a] = flat[a:b]
+            row += 1
+    return np.repeat(np.arange(len(order), dtype=np.int32), sizes[order]), dims, grades[order]
 
 
 GRADED = ("expected_grade", "tail_probability", "kept")

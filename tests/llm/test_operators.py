@@ -665,6 +665,33 @@ def test_ordinal_regression_against_its_definition():
     assert s[0] < fit.cuts[0] < s[1] < fit.cuts[1] < s[2]
 
 
+def test_the_fit_copies_features_once(spark, monkeypatch):
+    """The driver holds them beside its JVM: 8 bytes a feature, and little more while it counts."""
+    import tracemalloc
+
+    import numpy as np
+
+    from corpusloom.llm.ordinal import Ordinal, fitted
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    given, fit = [], Ordinal.fit
+    monkeypatch.setattr(Ordinal, "fit", lambda texts, dims, *a: given.append((texts, dims)) or fit(texts, dims, *a))
+    fitted(docs, labels)
+    texts, dims = given[0]
+    assert len(texts) == len(dims) > 10_000 and (np.diff(texts) >= 0).all() and texts.nbytes + dims.nbytes <= 8 * len(dims)
+    r, n = np.random.default_rng(2), 3_000_000
+    texts, dims, grades = np.sort(r.integers(0, 5000, n)).astype(np.int32), r.integers(1000, 1 << 18, n).astype(np.int32), r.integers(0, 3, 5000)
+    dims[np.searchsorted(texts, np.flatnonzero(grades == 2))] = 7  # one that tells
+    tracemalloc.start()
+    try:
+        model = fit(texts, dims, grades, 3)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    fixed = 30 * 8 * (1 << 18)  # arrays of dimensions, and a block's
+    assert most - fixed <= 4 * n and model.weights[7] > 0
+
+
 def brute_components(rows, percent):
     sets = []
     for _, t in rows:
