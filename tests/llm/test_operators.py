@@ -61,6 +61,40 @@ def test_token_counts_equal_the_library(spark, odd, none, tmp_path):
     assert count_tokens(none, path, f"file://{tmp_path}/other").count() == 0
 
 
+def test_plain_words_count_by_their_pieces(monkeypatch, tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corpusloom.llm import tokencount as tc
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    library, r = Tokenizer.from_file(path), random.Random(11)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    visible = "".join(map(chr, range(0x21, 0x7F)))
+    plain = [visible, "''s", "it's", "IT'S", ".'s", "'LL'll", "they'd've", "a1b22C333", "x" * 3000, "__init__", "``", "<|x|>", "</w>", "w</w>", "<|endoftext"]
+    plain += ["".join(r.choice(visible + "'stremvlSTREMVL" * 3) for _ in range(r.randrange(1, 20))) for _ in range(2000)]
+    odd = ["<|endoftext|>", "a<|endoftext|>'s", "<|startoftext|>B", "<|ENDOFTEXT|>", "e\u0301t\u00e9", "a\u0301", "x\u00a0y", "\u212aelvin", "\u017f's", "I\u0307", "\u03a3\u03a3", "a\x1cb", "a\x7fb", "\x00", "a\u2028b", "\u200d", "9\u0663", "e\u200b's"]
+    counter = tc.Counter(path)
+    assert counter.counts([w.encode() for w in odd]) == [size(w) for w in odd]
+    encode = counter.encode
+    monkeypatch.setattr(counter, "encode", lambda texts: pytest.fail(f"{texts[:3]} went to the library whole"))
+    assert counter.counts([w.encode() for w in plain]) == [size(w) for w in plain]
+    counter.encode = encode
+    texts = [" \n".join(r.choice(plain + odd) for _ in range(50)) for _ in range(40)]
+    for most in (1_000_000, 10):  # and with memos that start anew
+        monkeypatch.setattr(tc, "MEMO_WORDS", most)
+        assert [n for t in texts for n in counter.counts([t.encode()])] == counter.counts([t.encode() for t in texts]) == [size(t) for t in texts]
+    spec = json.loads(open(path).read())
+    spec["normalizer"]["normalizers"].pop()  # another tokenizer, which tells capitals apart
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    other, library = tc.Counter(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert other.added is None and other.counts([w.encode() for w in plain]) == [size(w) for w in plain]
+    # a worker's tasks share what they have learned
+    assert tc.counter_of(path, b"1") is tc.counter_of(path, b"1") is not tc.counter_of(path, b"2")
+
+
 def test_token_counts_of_pieces(spark, odd, tmp_path):
     import public_tokenizers
     from sentencepiece import SentencePieceProcessor
