@@ -118,16 +118,21 @@ def window_hashes(data: np.ndarray, width: int, prefix: np.ndarray) -> np.ndarra
     return h
 
 
-def gather_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The bytes of the spans, one after another."""
+def span_places(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places in the spans, one span after another."""
     n = ends - starts
     total = int(n.sum())
     if total == 0:
-        return np.zeros(0, np.uint8)
+        return np.zeros(0, np.int64)
     step = np.ones(total, np.int64)
     keep = n > 0
     s, n = starts[keep], n[keep]
     head = np.concatenate([[0], np.cumsum(n)[:-1]])
     step[head] = s
     step[head[1:]] -= s[:-1] + n[:-1] - 1
-    return data[np.cumsum(step)]
+    return np.cumsum(step, out=step)
+
+
+def gather_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of the spans, one after another."""
+    return data[span_places(starts, ends)]

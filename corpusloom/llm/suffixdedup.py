@@ -4,7 +4,7 @@ A suffix counts by its first `length` bytes. Equal ones have the same least samp
 that they hold, so suffixes are dealt out by it: neighbours in a text mostly share it and travel as one run, the bytes of
 all of them at once. Hashes only route; what is equal is decided by the bytes.
 
-1. A chunk of documents cuts its suffixes into runs, and asks which of their hashes other chunks have. Runs without an equal
+1. A chunk of documents cuts its suffixes into runs, once, and asks which of their hashes other chunks have. Runs without an equal
    hash anywhere stay; of others with the same bytes the first one is sent.
 2. A bucket has the text of all runs with hashes in its range, and takes them block by block. In a block, suffixes are
    ranked by their first bytes. Longer ties are resolved with a difference cover D modulo v = `period`: for any two places
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import buffers, gather_spans, pieces, prefix_hashes, span_hashes, window_hashes
+from .bytetext import buffers, gather_spans, pieces, prefix_hashes, span_hashes, span_places, window_hashes
 from .exchange import ASKED, TOLD, answered, asked, buckets_of, flags, squeezed, unsqueezed
 from .shared import table, text_of
 
@@ -88,11 +88,15 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Chunk:
-    """The documents of a stored chunk in their order, and the runs of their suffixes."""
+    """The documents of a stored chunk in their order, and the runs of their suffixes: those of `runs`, which an equal chunk's `found`
+    gave, or else found anew."""
 
-    def __init__(self, blob: bytes, length: int, route: int = ROUTE):
+    def __init__(self, blob: bytes, length: int, route: int = ROUTE, runs: bytes | None = None):
         null, ids, tie, at, data = unsqueezed(blob, "?", "<i8", "<u4", "<i8", "u1")
         self.null, self.ids, self.tie, self.at, self.data, self.length = null, ids, tie, at, data, length
+        if runs is not None:
+            self.starts, self.ends, self.key, self.multi, self.of = Chunk.runs(runs)
+            return
         n, width = len(data), length - route + 1
         self.starts = self.ends = np.zeros(0, np.int64)
         self.key, self.multi, self.of = np.zeros(0, U), np.zeros(0, bool), np.zeros(0, np.int64)
@@ -141,8 +145,15 @@ class Chunk:
                 ok = np.add.reduceat(same.astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]])) == size
                 self.of[m[ok]] = r[ok]
 
-    def keys(self) -> np.ndarray:
-        return np.unique(self.key)
+    def found(self) -> bytes:
+        """The runs, by small numbers where there are any: distances of starts, lengths, and how far before a copy its first one is."""
+        return squeezed(np.diff(self.starts, prepend=0).astype("<u4"), (self.ends - self.starts).astype("<u4"), self.key, self.multi, (np.arange(len(self.of)) - self.of).astype("<u4"))
+
+    @staticmethod
+    def runs(found: bytes) -> tuple[np.ndarray, ...]:
+        gap, size, key, multi, back = unsqueezed(found, "<u4", "<u4", "<u8", "?", "<u4")
+        starts = np.cumsum(gap, dtype=np.int64)
+        return starts, starts + size, key, multi, np.arange(len(back)) - back
 
     def elsewhere(self, told: dict[tuple[int, int], bytes], n_buckets: int) -> np.ndarray:
         """Runs whose hash another chunk has too, or another run of this one, or one of their own suffixes again. Others have no equal."""
@@ -170,8 +181,7 @@ class Chunk:
         later = np.zeros(n + 1, bool)
         for bucket, runs in self.sent(n_buckets, wanted):
             size = (self.ends - self.starts)[runs]
-            place = gather_spans(np.arange(n), self.starts[runs], self.ends[runs])
-            later[place] = np.unpackbits(np.frombuffer(told[bucket], np.uint8), count=int(size.sum())).astype(bool)
+            later[span_places(self.starts[runs], self.ends[runs])] = np.unpackbits(np.frombuffer(told[bucket], np.uint8), count=int(size.sum())).astype(bool)
         copy = np.flatnonzero(self.of != np.arange(len(self.of)))
         edge = np.zeros(n + 1, np.int32)
         edge[:n] += later[:n]
@@ -307,7 +317,7 @@ def sorted_bucket(parts: list[tuple[int, bytes]], length: int, cover: Cover) ->
         runs = np.concatenate(groups[i:j])
         block = gather_spans(text, begin[runs], begin[runs] + size[runs] + length - 1)
         to = np.concatenate([[0], np.cumsum(size[runs] + length - 1)])[:-1]
-        places = gather_spans(np.arange(len(block)), to, to + size[runs])
+        places = span_places(to, to + size[runs])
         for r, part in zip(runs.tolist(), np.split(later_of(block, places, length, cover), np.cumsum(size[runs])[:-1])):
             later[where[r] : where[r + 1]] = part
         i = j
@@ -318,8 +328,8 @@ def sorted_bucket(parts: list[tuple[int, bytes]], length: int, cover: Cover) ->
 # -- the corpus --------------------------------------------------------------------------------------------------------
 
 
-def dealt_chunks(docs: DataFrame, chunk_bytes: int, id_column: str, text_column: str) -> DataFrame:
-    """(chunk, blob): documents by some megabytes, in their order. A chunk's number follows from its place in the scan."""
+def dealt_chunks(docs: DataFrame, chunk_bytes: int, length: int, route: int, id_column: str, text_column: str) -> DataFrame:
+    """(chunk, blob, runs): documents by some megabytes, in their order. A chunk's number follows from its place in the scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -333,10 +343,11 @@ def dealt_chunks(docs: DataFrame, chunk_bytes: int, id_column: str, text_column:
                 order = np.lexsort((tie, ids, null))
                 data = gather_spans(data, at[order], at[order + 1])
                 at = np.concatenate([[0], np.cumsum(np.diff(at)[order])])
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([squeezed(null[order], ids[order], tie[order], at, data)], pa.binary())], ["chunk", "blob"])
+                blob = squeezed(null[order], ids[order], tie[order], at, data)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary()), pa.array([Chunk(blob, length, route).found()], pa.binary())], ["chunk", "blob", "runs"])
                 number += 1
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), text_of(docs, text_column).alias("text")).mapInArrow(run, "chunk long, blob binary")
+    return docs.select(F.col(id_column).cast("long").alias("id"), text_of(docs, text_column).alias("text")).mapInArrow(run, "chunk long, blob binary, runs binary")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -349,16 +360,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
         raise ValueError("a cover sample, and the ends that are compared, have 5 bytes at least")
     n_bytes = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     n = max(1, n_bytes // (2 * chunk_bytes))
-    chunks = dealt_chunks(docs, chunk_bytes, id_column, text_column).groupBy("chunk")  # exchanged once, and used three times
+    chunks = dealt_chunks(docs, chunk_bytes, length, route, id_column, text_column).groupBy("chunk")  # exchanged once, and used three times
 
     def say(told: pa.Table) -> dict[tuple[int, int], bytes]:
         return dict(zip(zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist()), told.column("blob").to_pylist()))
 
+    def chunk_of(group: pa.Table) -> Chunk:
+        return Chunk(group.column("blob")[0].as_py(), length, route, group.column("runs")[0].as_py())
+
     def ask(key: tuple, group: pa.Table) -> pa.Table:
-        return asked(key[0].as_py(), Chunk(group.column("blob")[0].as_py(), length, route).keys(), n, 4)
+        return asked(key[0].as_py(), np.unique(Chunk.runs(group.column("runs")[0].as_py())[2]), n, 4)
 
     def send(key: tuple, group: pa.Table, told: pa.Table) -> pa.Table:
-        chunk, number = Chunk(group.column("blob")[0].as_py(), length, route), key[0].as_py()
+        chunk, number = chunk_of(group), key[0].as_py()
         rows = [(bucket, chunk.blob(runs)) for bucket, runs in chunk.sent(n, chunk.elsewhere(say(told), n))]
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "chunk": pa.array([number] * len(rows), pa.int64()), "blob": pa.array([b for _, b in rows], pa.binary())})
 
@@ -368,7 +382,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
         return pa.table({"chunk": pa.array([c for c, _ in rows], pa.int64()), "kind": pa.array([1] * len(rows), pa.int32()), "bucket": group.column("bucket"), "blob": pa.array(bits, pa.binary())})
 
     def cut(group: pa.Table, told: pa.Table) -> pa.Table:
-        c = Chunk(group.column("blob")[0].as_py(), length, route)
+        c = chunk_of(group)
         said = say(told)
         gone = c.gone({bucket: blob for (kind, bucket), blob in said.items() if kind == 1}, n, c.elsewhere(said, n))
         total = np.concatenate([[0], np.cumsum(gone)])

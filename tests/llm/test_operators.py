@@ -505,6 +505,28 @@ def test_suffix_buckets_decide_by_bytes(monkeypatch):
         assert got == b"".join(want), (trial, length, period, buckets, per)
 
 
+def test_suffix_runs_are_found_once_a_chunk(spark, odd, monkeypatch):
+    """What later steps need of a chunk's runs is stored with it; they hash no text again."""
+    import numpy as np
+
+    from corpusloom.llm import suffixdedup as sd
+    from corpusloom.llm.bytetext import gather_spans, span_places
+
+    rows = [(r.chunk, bytes(r.blob), bytes(r.runs)) for r in sd.dealt_chunks(odd, 30_000, 100, 28, "doc_id", "text").collect()]
+    plain = [sd.Chunk(blob, 100, 28) for _, blob, _ in rows]
+    for name in ("window_hashes", "span_hashes", "prefix_hashes"):
+        monkeypatch.setattr(sd, name, lambda *a: pytest.fail("hashed again"))
+    for want, (_, blob, runs) in zip(plain, rows):
+        got = sd.Chunk(blob, 100, 28, runs)
+        for k in ("null", "ids", "tie", "at", "data", "starts", "ends", "key", "multi", "of"):
+            assert np.array_equal(getattr(got, k), getattr(want, k)), k
+        assert got.found() == runs
+    assert sum((c.of != np.arange(len(c.of))).sum() for c in plain) and sum(c.multi.sum() for c in plain)
+    begin, end = np.array([5, 2, 2, 9]), np.array([7, 2, 5, 10])
+    assert span_places(begin, end).tolist() == [5, 6, 2, 3, 4, 9] and gather_spans(np.arange(10) * 2, begin, end).tolist() == [10, 12, 4, 6, 8, 18]
+    assert span_places(begin[:0], end[:0]).tolist() == []
+
+
 def test_difference_covers():
     from corpusloom.llm.suffixdedup import difference_cover
 
