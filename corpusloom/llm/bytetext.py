@@ -46,6 +46,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def ranked(keys: np.ndarray, low: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The places of 64-bit hashes in their order, equal ones as they stand, and the sorted hashes. Sorted are numbers that hold a key's
+    first bits, its `low` last ones and its place, which is several times faster than sorting places; the few keys that these don't tell
+    apart are put right after. low: last bits that aren't hashed."""
+    shift = max(1, len(keys) - 1).bit_length()
+    if low + shift > 40:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    head, last = U(low + shift), U((1 << (low + shift)) - 1)
+    packed = keys >> head << U(low)
+    if low:
+        packed |= keys & U((1 << low) - 1)
+    packed <<= U(shift)
+    packed |= np.arange(len(keys), dtype=U)
+    packed.sort()
+    order = (packed & U((1 << shift) - 1)).view(np.int64)
+    there = keys[order]
+    wrong = there[1:] < there[:-1]
+    if wrong.any():
+        first = np.unique(there[1:][wrong] >> head) << head
+        at = span_places(np.searchsorted(packed, first), np.searchsorted(packed, first | last, "right"))
+        own = order[at]
+        order[at] = own = own[np.lexsort((own, keys[own]))]
+        there[at] = keys[own]
+    return order, there
+
+
+def distinct(keys: np.ndarray, low: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ones of 64-bit hashes, sorted, the place of each one's first, and which one each is. low: of `ranked`."""
+    order, there = ranked(keys, low)
+    new = np.ones(len(keys), bool)
+    new[1:] = there[1:] != there[:-1]
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return there[new], order[new], of
+
+
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary Arrow column, and where each value starts (one more entry than values)."""
     if isinstance(column, pa.ChunkedArray):

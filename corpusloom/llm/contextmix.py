@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import LOWER, NOT_SPACE, buffers, gather_spans, mix, pieces, span_hashes, words
+from .bytetext import LOWER, NOT_SPACE, buffers, distinct, gather_spans, mix, pieces, ranked, span_hashes, words
 from .exchange import buckets_of
 from .shared import stored, table, text_of
 
@@ -97,7 +97,9 @@ class Spelled:
         begin = (at[:-1] + np.arange(len(n)))[self.word]
         i = np.arange(len(flat))
         place = i - begin
-        last = [np.where(place >= k, flat[np.maximum(i - k, 0)], 0).astype(U) for k in range(1, 6)]
+        last = [np.zeros(len(flat), U) for _ in range(5)]
+        for k, x in enumerate(last, 1):
+            x[k:] = flat[:-k] * (place[k:] >= k)
         two = last[0] | last[1] << U(8)
         three = two | last[2] << U(16)
         five = three | last[3] << U(24) | last[4] << U(32)
@@ -140,8 +142,8 @@ def on_path(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def merged_pairs(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted, distinct pairs and their counts together."""
-    order = np.argsort(pairs)
-    pairs, counts = pairs[order], counts[order]
+    order, pairs = ranked(pairs, 8)
+    counts = counts[order]
     at = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
     return pairs[at], np.add.reduceat(counts, at) if len(at) else counts
 
@@ -192,6 +194,12 @@ def count_bits(tables: Tables, spelled: Spelled, counts: np.ndarray) -> None:
     tables.add(*merged_pairs(spelled.pairs().reshape(-1), np.tile(counts[spelled.word].astype(np.int64), ORDERS)))
 
 
+def _level(known: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How many of the longer contexts are known, by bytes' bits. of: which pair each predictor has at each byte."""
+    known = known.view(np.int64).ravel()  # the eight bits of a byte at once
+    return sum(known.take(k) for k in of[2:]).view(np.int8).reshape(-1, 8)
+
+
 class Mixer:
     """weights: by gate; refine: counts of 0 and 1 by level and bin of the mixed prediction."""
 
@@ -200,21 +208,33 @@ class Mixer:
         mid = 1 / (1 + np.exp(-np.linspace(-8, 8, BINS)))
         self.refine = np.tile(np.stack([1 - mid, mid], axis=1), (LEVELS, 1, 1)) if refine is None else refine
 
-    def predict(self, x: list[np.ndarray], level: np.ndarray, place: np.ndarray = np.arange(8)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of bytes' bits: the gate, the mixed prediction, the refined one, and the cell of the refining table. x: odds by predictor;
-        place: of each bit in its byte."""
-        gate = level * 8 + place
+    def predict(self, x: list[np.ndarray], level: np.ndarray, place: np.ndarray = np.arange(8)) -> np.ndarray:
+        """Of bytes' bits: the refined prediction. x: odds by predictor; level: known contexts of the longer ones; place: of each bit in its byte."""
+        gate, p, low, part = self.mixed(x, level, place)
+        r = (self.refine[..., 1] / self.refine.sum(axis=-1)).ravel()
+        low += level * np.int64(BINS)
+        q = r.take(low) * (1 - part) + r.take(low + 1) * part
+        return np.clip((p + q) / 2, 1e-7, 1 - 1e-7)
+
+    def mixed(self, x: list[np.ndarray], level: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of bytes' bits: the gate, the mixed prediction, and the lower one of the cells of the refining table beside it and its distance from that."""
+        gate = level * np.int64(8)
+        gate += place
         s = np.zeros(gate.shape, np.float32)
-        for o in range(ORDERS):
-            s += self.weights[:, o].astype(np.float32)[gate] * x[o]
+        for weights, y in zip(self.weights.T.astype(np.float32), x):
+            own = weights.take(gate)
+            own *= y
+            s += own
         s = np.clip(s, -16, 16).astype(np.float64)
-        p = 1 / (1 + np.exp(-s))
-        place = np.clip((s + 8) * ((BINS - 1) / 16), 0, BINS - 1.001)
-        low = place.astype(np.int64)
-        part = place - low
-        r = (self.refine[..., 1] / self.refine.sum(axis=-1)).ravel()
-        q = r[level * BINS + low] * (1 - part) + r[level * BINS + low + 1] * part
-        return gate, p, np.clip((p + q) / 2, 1e-7, 1 - 1e-7), low + (part > 0.5)
+        p = np.exp(-s)
+        p += 1
+        np.divide(1, p, out=p)
+        s += 8
+        s *= (BINS - 1) / 16
+        s = np.clip(s, 0, BINS - 1.001, out=s)
+        low = s.astype(np.int64)
+        s -= low
+        return gate, p, low, s
 
     def learn(self, looked_up: tuple, spelled: Spelled, counts: np.ndarray, rate: float = 0.15) -> None:
         """One batch, each word weighing as often as it was counted."""
@@ -223,17 +243,27 @@ class Mixer:
 
     def adapt(self, x: np.ndarray, known: np.ndarray, of: np.ndarray, bit: np.ndarray, weight: np.ndarray, rate: float = 0.15) -> None:
         """x, known: `odds` of pairs; of: which pair each predictor has at each byte; weight: of each byte."""
-        self.step([x[k] for k in of], sum(known[k].astype(np.int64) for k in of[2:]), np.arange(8), bit, np.repeat(weight, 8).reshape(-1, 8), rate)
+        self.step([x.take(k, axis=0) for k in of], _level(known, of), np.arange(8), bit, np.repeat(weight, 8).reshape(-1, 8), rate)
 
     def step(self, x: list[np.ndarray], level: np.ndarray, place: np.ndarray, bit: np.ndarray, weight: np.ndarray, rate: float = 0.15) -> None:
         """x: odds by predictor; weight: of each bit."""
-        gate, p, _, bin_ = self.predict(x, level, place)
+        gate, p, low, part = self.mixed(x, level, place)
         up, down = np.zeros_like(self.weights), np.ones_like(self.weights)
-        err, bend, flat = weight * (bit - p), weight * p * (1 - p), gate.ravel()
+        err, flat = bit - p, gate.ravel()
+        err *= weight
+        np.subtract(p, p * p, out=p)
+        p *= weight
         for o in range(ORDERS):
-            up[:, o] += np.bincount(flat, weights=(err * x[o]).ravel(), minlength=len(up))
-            down[:, o] += np.bincount(flat, weights=(bend * x[o] * x[o]).ravel(), minlength=len(up))
-        self.refine += np.bincount(((level * BINS + bin_) * 2 + bit).ravel(), weights=weight.ravel(), minlength=self.refine.size).reshape(self.refine.shape)
+            own = err * x[o]
+            up[:, o] += np.bincount(flat, weights=own.ravel(), minlength=len(up))
+            np.multiply(p, x[o], out=own)
+            own *= x[o]
+            down[:, o] += np.bincount(flat, weights=own.ravel(), minlength=len(up))
+        low += part > 0.5
+        low += level * np.int64(BINS)
+        low *= 2
+        low += bit
+        self.refine += np.bincount(low.ravel(), weights=weight.ravel(), minlength=self.refine.size).reshape(self.refine.shape)
         self.weights += rate * up / down
 
     def score(self, looked_up: tuple, spelled: Spelled, n_words: int) -> np.ndarray:
@@ -243,7 +273,7 @@ class Mixer:
 
     def logs(self, x: np.ndarray, known: np.ndarray, of: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """log10 of each byte's probability."""
-        _, _, q, _ = self.predict([x[k] for k in of], sum(known[k].astype(np.int64) for k in of[2:]))
+        q = self.predict([x.take(k, axis=0) for k in of], _level(known, of))
         return np.log10(np.where(bit, q, 1 - q)).sum(axis=1)
 
 
@@ -254,10 +284,10 @@ class Forks:
     def __init__(self, words_: Spelled, of: np.ndarray, parts: np.ndarray, x: np.ndarray, known: np.ndarray, places: np.ndarray):
         """of, x, known: of `looked_up` and `odds`; parts: of `parting`; places: the words' bytes."""
         of = of[:, places]
-        byte, self.place = np.nonzero(parts[of[-1]])
-        self.word, self.bit = words_.word[places][byte], (words_.flat[places][byte] >> (7 - self.place).astype(np.uint8) & 1).astype(bool)
-        at = [o[byte].astype(np.int64) * 8 + self.place for o in of]
-        self.x, self.level = [x.ravel()[k] for k in at], sum(known.ravel()[k].astype(np.int64) for k in at[2:])
+        bit = np.flatnonzero(parts.take(of[-1], axis=0))
+        byte, self.place = bit >> 3, bit & 7
+        self.word, self.bit = words_.word[places].take(byte), np.unpackbits(words_.flat[places]).take(bit).view(bool)
+        self.x, self.level = [x.take(k, axis=0).ravel().take(bit) for k in of], _level(known, of).ravel().take(bit)
 
     @staticmethod
     def parting(found: np.ndarray) -> np.ndarray:
@@ -266,7 +296,7 @@ class Forks:
 
     def logs(self, mixer: Mixer, n_words: int) -> np.ndarray:
         """log10 of the probability of each word, which has its bits here, among training's."""
-        _, _, q, _ = mixer.predict(self.x, self.level, self.place)
+        q = mixer.predict(self.x, self.level, self.place)
         return np.bincount(self.word, weights=np.log10(np.where(self.bit, q, 1 - q)), minlength=n_words)
 
 
@@ -285,16 +315,32 @@ RATE, REFINED, CELLS = 0.02, 0.02, 17
 _MIDDLES = np.linspace(-8, 8, CELLS)
 
 
-def _before(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each place the last one before it with the same key (-1: none), how many there are, and the first with the key."""
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, bool)
-    last, n, first = (np.empty(len(key), np.int32) for _ in range(3))
-    last[order] = np.where(new, -1, np.concatenate([[-1], order[:-1]])) if len(key) else order
-    i = np.arange(len(key))
-    begin = np.maximum.accumulate(np.where(new, i, 0)) if len(key) else order
-    n[order], first[order] = i - begin, order[begin]
-    return last, n, first
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places by key, equal ones as they stand, and the sorted keys. key: 0 or more."""
+    shift = max(1, len(key) - 1).bit_length()
+    if int(key.max(initial=0)).bit_length() + shift < 64:  # one number holds a key and its place, which sorts several times faster
+        packed = key.astype(np.int64) << shift
+        packed |= np.arange(len(key))
+        packed.sort()
+        return (packed & ((1 << shift) - 1)).astype(np.int32), packed >> shift
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    return order, key[order]
+
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places by key, equal ones as they stand, and which of them have another key than the one before."""
+    order, there = _sorted(key)
+    new = np.ones(len(key), bool)
+    new[1:] = there[1:] != there[:-1]
+    return order, new
+
+
+def _last(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with the same key (-1: none), of `_grouped`."""
+    last, found = np.empty(len(order), np.int32), np.full(len(order), -1, np.int32)
+    found[1:] = np.where(new[1:], -1, order[:-1])
+    last[order] = found
+    return last
 
 
 class Course:
@@ -314,21 +360,22 @@ class Course:
         word[inside] = of
         del inside
         self.place = (np.arange(total) - self.first[:-1][self.text]).astype(np.int32)
-        own = self.text * np.int64(m) + word
-        _, had, one = _before(own)
+        order, fresh = _grouped(self.text * np.int64(m) + word)
+        heads = np.flatnonzero(fresh)
+        sizes_ = np.diff(np.append(heads, total))
+        had, one, same = (np.empty(total, np.int32) for _ in range(3))
+        had[order] = np.arange(total) - np.repeat(heads, sizes_)
+        one[order], same[order] = np.repeat(order[heads], sizes_), np.repeat(np.arange(len(heads)), sizes_)
+        del order, fresh, heads, sizes_
         self.had = had
         # distinct words of the text before each token, and the word's number among them
         new = np.cumsum(had == 0, dtype=np.int32)
         self.types = new - (had == 0) - (new[self.first[:-1]] - 1)[self.text]
         self.number = self.types[one]
         del had, one, new
-        # the tokens that followed the last word, and the last two, when the text had them before; places without such words have keys of their own
-        own = np.where(self.place > 0, np.roll(own, 1), -1 - np.arange(total))
-        after_one = _before(own)[0]
-        own = np.unique(own, return_inverse=True)[1] * np.int64(m) + np.roll(word, 2)
-        own = np.where(self.place > 1, own, -1 - np.arange(total))
-        after_two = _before(own)[0]
-        del own
+        # the tokens that followed the last word, and the last two, when the text had them before
+        after_one, after_two = self._after(1, same), self._after(2, same, word)
+        del same
         self.level = np.where(after_two >= 0, 2, np.where(after_one >= 0, 1, 0)).astype(np.int8)
         guess = np.where(after_two >= 0, word[after_two], np.where(after_one >= 0, word[after_one], -1))
         self.bits = np.stack([guess == word, self.had > 0])
@@ -344,6 +391,14 @@ class Course:
         raw = (self.level * np.int16(64) + back(1) * 16 + back(2) * 4 + back(3), (self.level * np.int16(8) + length) * 4 + back(1), (bucket * np.int16(3) + self.level) * 4 + back(1))
         self.contexts = np.stack([slots[c + 1000 * k] for k, c in enumerate(raw)])
 
+    def _after(self, k: int, same: np.ndarray, word: np.ndarray | None = None) -> np.ndarray:
+        """For each place the last one before it in the text that came after the same k words; -1: none. same: which of the texts' words each is."""
+        at = np.flatnonzero(self.place >= k).astype(np.int32)
+        key = same[at - 1] if word is None else same[at - 1] * np.int64(int(word.max(initial=0)) + 1) + word[at - 2]
+        last, out = _last(*_grouped(key)), np.full(len(self.place), -1, np.int32)
+        out[at] = np.where(last >= 0, at[last], -1)
+        return out
+
     def counts(self, held: np.ndarray) -> np.ndarray:
         """How often each bit was 0 and 1 in each context, of the texts that aren't held out."""
         own = ~held[self.text]
@@ -355,6 +410,23 @@ class Course:
         return out
 
 
+def _steps(cell: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of bits in order of their cells: the order in which the first bit of each cell comes before all second ones, and so on, those of cells
+    with more bits first; where each such step begins; and the rank of each cell. So the bits of a step belong to the first cells by
+    rank, and what a cell has learned lies in the same place in all of them."""
+    n = np.bincount(cell, minlength=cells)
+    ranks, rank = np.argsort(-n, kind="stable"), np.empty(cells, np.int32)
+    rank[ranks] = np.arange(cells, dtype=np.int32)
+    most = int(n.max(initial=0))
+    cuts = np.concatenate([[0], np.cumsum(np.searchsorted(-n[ranks], -np.arange(most), "left"))])
+    own = rank[cell]
+    to = cuts[np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n)]
+    to += own
+    order = np.empty(len(cell), np.int32)
+    order[to] = np.arange(len(cell), dtype=np.int32)
+    return order, cuts, rank
+
+
 class Flow:
     """Weights and refinement of the bits of running text; `logs` adapts copies of them along each segment."""
 
@@ -370,49 +442,52 @@ class Flow:
         """log10 of the bits of each token. known: whether training had it."""
         bits = np.concatenate([course.bits, known[None]])
         coded = np.concatenate([course.coded, (~course.bits[0] & ~course.bits[1])[None]])
-        # segments are lanes, the longest first; a step is a token of each lane that has it
-        n = np.diff(course.first)
-        parts = -(-n // SEGMENT)
-        lane_text = np.repeat(np.arange(len(n)), parts)
-        begin = course.first[:-1][lane_text] + (np.arange(len(lane_text)) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
-        size = np.minimum(SEGMENT, course.first[1:][lane_text] - begin)
-        order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
-        lanes = len(begin)
-        out = np.zeros(len(course.word))
-        w = np.tile(self.weights, (3, 3, lanes, 1))  # bit, gate, lane, input
-        refine = np.tile((1 / (1 + np.exp(-_MIDDLES))).astype(np.float32), (3, lanes, 1))
-        own = np.full((3, 2, lanes), 0.4, np.float32)
-        rows = np.arange(lanes)
-        for t in range(int(size.max(initial=0))):
-            a = int(np.searchsorted(-size, -t, "left"))  # lanes of more than t tokens
-            at, lane = begin[:a] + t, rows[:a]
-            level, total = course.level[at], np.zeros(a)
-            for f in (FOLLOWS, AGAIN, KNOWN):
-                do = np.flatnonzero(coded[f][at])
-                if not len(do):
-                    continue
-                on, here, g = at[do], lane[do], level[do]
-                bit = bits[f][on]
-                x = np.empty((len(do), 4), np.float32)
-                for k in range(SEEN):
-                    x[:, k] = self.known if f == KNOWN else self.odds[f, k][course.contexts[k][on]]
-                x[:, 3] = np.log(own[f, 1, here] / own[f, 0, here])
-                gate = w[f, g, here]
-                s = np.clip(np.einsum("ij,ij->i", gate, x), -8, 8)
-                p = 1 / (1 + np.exp(-s))
-                cell = (s + 8) * ((CELLS - 1) / 16)
-                low = np.minimum(cell.astype(np.int64), CELLS - 2)
-                part = cell - low
-                left, right = refine[f, here, low], refine[f, here, low + 1]
-                q = np.clip((p + left * (1 - part) + right * part) / 2, 1e-5, 1 - 1e-5)
-                total[do] += np.log10(np.where(bit, q, 1 - q))
-                w[f, g, here] = gate + (RATE * (bit - p)).astype(np.float32)[:, None] * x
-                refine[f, here, low] = left + (REFINED * (1 - part) * (bit - left)).astype(np.float32)
-                refine[f, here, low + 1] = right + (REFINED * part * (bit - right)).astype(np.float32)
-                own[f, bit.astype(np.int64), here] += 1
-            out[at] = total
-        return out
+        parts = -(-np.diff(course.first) // SEGMENT)
+        lane = ((np.cumsum(parts) - parts)[course.text] + course.place // SEGMENT).astype(np.int32)
+        f, on = np.nonzero(coded)
+        lanes, f, on = int(parts.sum()), f.astype(np.int8), on.astype(np.int32)
+        # each bit of each segment has weights of its own; all go on side by side
+        cell = f * np.int32(lanes) + lane[on]
+        order, cuts, rank = _steps(cell, 3 * lanes)
+        gate = (rank.take(cell) * np.int32(3) + course.level.take(on)).take(order)
+        bit, f, on = bits[f, on].take(order), f.take(order), on.take(order)
+        del order, lane, coded, cell
+        table = np.full((3, SEEN, SLOTS), self.known, np.float32)
+        table[:KNOWN] = self.odds
+        table, slot = table.ravel(), np.empty((len(on), SEEN), np.int16)
+        for k in range(SEEN):
+            slot[:, k] = course.contexts[k].take(on) + (f * np.int16(SEEN) + np.int16(k)) * np.int16(SLOTS)
+        del f, rank
+        w = np.tile(self.weights, (9 * lanes, 1))  # bit, lane, gate; input
+        rows = w.view(np.complex128).ravel()  # four numbers as one are stored faster
+        refine = np.tile((1 / (1 + np.exp(-_MIDDLES))).astype(np.float32), 3 * lanes)
+        ones, zeros = (np.full(3 * lanes, 0.4, np.float32) for _ in range(2))
+        refined = np.arange(3 * lanes, dtype=np.int32) * np.int32(CELLS)
+        out, one = np.empty(len(on), np.float32), np.float32(1)
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            n, g, z = b - a, gate[a:b], bit[a:b]
+            y, x = z.astype(np.float32), np.empty((n, 4), np.float32)
+            x[:, :SEEN] = table.take(slot[a:b])
+            x[:, 3] = np.log(ones[:n] / zeros[:n])
+            weights = w.take(g, axis=0)
+            s = np.clip(np.einsum("ij,ij->i", weights, x), -8, 8)
+            p = one / (one + np.exp(-s))
+            part = (s + np.float32(8)) * np.float32((CELLS - 1) / 16)
+            low = np.minimum(part.astype(np.int32), CELLS - 2)
+            part -= low.astype(np.float32)
+            low += refined[:n]
+            left, right = refine.take(low), refine.take(low + 1)
+            q = np.clip((p + left * (one - part) + right * part) * np.float32(0.5), np.float32(1e-5), np.float32(1 - 1e-5))
+            out[a:b] = np.where(z, q, one - q)
+            x *= (np.float32(RATE) * (y - p))[:, None]
+            x += weights
+            rows[g] = x.view(np.complex128).ravel()
+            part *= np.float32(REFINED)
+            refine[low] = left + (np.float32(REFINED) - part) * (y - left)
+            refine[low + 1] = right + part * (y - right)
+            ones[:n] += y
+            zeros[:n] += one - y
+        return np.bincount(on, weights=np.log10(out.astype(np.float64)), minlength=len(course.word))
 
 
 class Recall:
@@ -477,34 +552,37 @@ class Recall:
         """log10 of the choice of each of the texts' tokens among the words that the text had; 0 for others. Weights are adapted after each bit, and start anew
         every `SEGMENT` tokens."""
         course, token, h = self.course, self.token, self.height
-        mid = ((course.number[token] >> (h + 1)) * 2 + 1) << h
-        right = np.minimum(course.types[token] - mid, 1 << h)
+        right = np.minimum(course.types.take(token) - ((course.number.take(token) >> (h + 1) << 1 | 1) << h), 1 << h)
         most = int(max(self.ones.max(initial=0), self.zeros.max(initial=0), right.max(initial=0), (1 << h).max(initial=0)))
-        x, log = np.empty((len(token), 4), np.float32), np.log(np.arange(most + 1) + 0.4).astype(np.float32)
-        x[:, 0] = log[self.ones] - log[self.zeros]
-        x[:, 1] = log[right] - log[1 << h]
-        x[:, 2] = 2 * self.last - 1
+        log = np.log(np.arange(most + 1) + 0.4).astype(np.float32)
+        x = [log.take(self.ones) - log.take(self.zeros), log.take(right) - log.take(1 << h), (2 * self.last - 1).astype(np.float32)]
+        begin, end, n_heights = self.first[0], self.first[-1], int(h.max(initial=0)) + 1
         parts = -(-np.diff(self.first) // SEGMENT)
-        lane = (np.cumsum(parts) - parts)[course.text[token] - self.base] + course.place[token] // SEGMENT
-        step = (course.place[token] % SEGMENT).astype(np.int16)
-        order = np.argsort(step, kind="stable")
-        cuts = np.searchsorted(step[order], np.arange(SEGMENT + 1))
-        n_heights = int(h.max(initial=0)) + 1
-        x, cell, bit = x[order], (lane * n_heights + h)[order], self.side[order]
-        w = np.tile(np.array(self.WEIGHTS, np.float32), (int(parts.sum()) * n_heights, 1))
-        own, out = np.full((len(w), 2), 0.4, np.float32), np.zeros(len(order))
-        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):  # a token has one bit at a height, so each cell is there once
-            if a == b:
-                continue
-            at, y, z = cell[a:b], x[a:b], bit[a:b]
-            seen = own[at]
-            y[:, 3] = np.log(seen[:, 1] / seen[:, 0])
-            weights = w[at]
-            p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", weights, y), -8, 8)))
-            out[a:b] = np.where(z == 1, p, 1 - p)
-            w[at] = weights + (np.float32(RATE) * (z - p)).astype(np.float32)[:, None] * y
-            own[at, z] += 1
-        return np.bincount(token[order] - self.first[0], weights=np.log10(out), minlength=int(self.first[-1] - self.first[0]))
+        place = course.place[begin:end]
+        key = ((np.cumsum(parts) - parts)[course.text[begin:end] - self.base] + place // SEGMENT) * (n_heights * SEGMENT) + place % SEGMENT
+        cells = int(parts.sum()) * n_heights
+        order, cell = _sorted(key.take(token - begin) + h * np.int64(SEGMENT))  # a token has one bit at a height
+        by_step, cuts, _ = _steps(cell // SEGMENT, cells)
+        order = order.take(by_step)
+        del cell, place, by_step, key, right, h
+        bit, token, x = (self.side == 1).take(order), token.take(order), [v.take(order) for v in x]
+        del order
+        w = [np.full(cells, v, np.float32) for v in self.WEIGHTS]
+        ones, zeros = (np.full(cells, 0.4, np.float32) for _ in range(2))
+        out, one = np.empty(len(token), np.float32), np.float32(1)
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            n, z = b - a, bit[a:b]
+            y, inputs = z.astype(np.float32), [*(v[a:b] for v in x), np.log(ones[:n] / zeros[:n])]
+            s = sum(u[:n] * v for u, v in zip(w, inputs))
+            p = one / (one + np.exp(-np.clip(s, -8, 8)))
+            out[a:b] = np.where(z, p, one - p)
+            p -= y
+            p *= np.float32(RATE)
+            for u, v in zip(w, inputs):
+                u[:n] -= p * v
+            ones[:n] += y
+            zeros[:n] += one - y
+        return np.bincount(token - begin, weights=np.log10(out.astype(np.float64)), minlength=int(end - begin))
 
 
 def text_scores(course: Course, flow: Flow, counts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -533,7 +611,7 @@ def packs(docs: DataFrame, id_column: str, text_column: str, chunk_bytes: int, n
                 null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
                 held = np.array([not x and held_out(i) for x, i in zip(null.tolist(), ids.tolist())], bool)
                 a, b, first = words(data, at, NOT_SPACE)
-                keys, one, of = np.unique(span_hashes(data, a, b), return_index=True, return_inverse=True)
+                keys, one, of = distinct(span_hashes(data, a, b))
                 count = np.bincount(of[np.repeat(~held, np.diff(first))], minlength=len(keys)).astype(np.int64)
                 s, e = a[one], b[one]
                 cuts = np.array([(bucket, i) for bucket, i, _ in _cuts(keys, n_buckets)], np.int32).reshape(-1, 2)
@@ -585,7 +663,7 @@ def counted(chunks: DataFrame, n_buckets: int) -> DataFrame:
         chunks_ = group.column("chunk").to_numpy()
         parts = [_spread(b, "<u8", "<i8", "<i8", "u1") for b in group.column("blob").to_pylist()]
         keys, sizes, counts, data = (np.concatenate(x) for x in zip(*parts))
-        merged, one, of = np.unique(keys, return_index=True, return_inverse=True)
+        merged, one, of = distinct(keys)
         total = np.bincount(of, weights=counts, minlength=len(merged)).astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes)])
         cut = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
@@ -608,9 +686,10 @@ class Bucket:
 
     def __init__(self, at: np.ndarray, text: np.ndarray):
         self.spelled = Spelled(text, at)
-        own = self.spelled.pairs()
-        self.pairs, of = np.unique(own, return_inverse=True)
-        self.of, self.begin = of.reshape(own.shape).astype(np.int32), at + np.arange(len(at))
+        parts = [distinct(x, 8)[::2] for x in self.spelled.pairs()]  # a predictor at a time, which stays in cache
+        self.pairs, _, of = distinct(np.concatenate([x for x, _ in parts]), 8)
+        cuts = np.cumsum([0, *(len(x) for x, _ in parts)])
+        self.of, self.begin = np.stack([of[a:b][x] for (_, x), a, b in zip(parts, cuts, cuts[1:])]), at + np.arange(len(at))
 
     def counts(self, counts: np.ndarray) -> np.ndarray:
         """Of the pairs; 0 where only held-out texts have them."""

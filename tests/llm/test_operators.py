@@ -947,6 +947,74 @@ def test_context_counts_stay_exact_on_large_vocabularies(spark):
         assert (cm._answers(at, counts, text, say).paths(x) == tables.paths(x)).all()
 
 
+def test_sorted_hashes_equal_plain_ones():
+    """Hashes that agree in their first bits are told apart, too."""
+    import numpy as np
+
+    from corpusloom.llm import bytetext as bt
+    from corpusloom.llm import contextmix as cm
+
+    r = np.random.default_rng(3)
+    near = (r.integers(0, 4, 3000).astype(np.uint64) << np.uint64(60)) + r.integers(0, 5, 3000).astype(np.uint64) * np.uint64(256) + r.integers(0, 3, 3000).astype(np.uint64)
+    ends = np.array([2**64 - 1, 0, 2**64 - 1, 2**64 - 257, 1], np.uint64)
+    for keys in (near, np.concatenate([r.integers(0, 2**64, 5000, dtype=np.uint64), near]), ends, ends[:1], ends[:0], np.full(9, 7, np.uint64)):
+        for low in (0, 8):
+            order, there = bt.ranked(keys, low)
+            assert (order == np.argsort(keys, kind="stable")).all() and (there == np.sort(keys)).all()
+            assert all((x == y).all() for x, y in zip(bt.distinct(keys, low), np.unique(keys, return_index=True, return_inverse=True)))
+    for key in (r.integers(0, 50, 999), r.integers(0, 1 << 62, 999), np.zeros(0, np.int64)):
+        order, new = cm._grouped(key)
+        assert (order == np.argsort(key, kind="stable")).all() and new.sum() == len(set(key.tolist()))
+
+
+def test_context_mixing_sorts_no_places_and_takes_few_steps(monkeypatch):
+    """What took most of its time: the places of all pairs and tokens were sorted, and each bit of a token was a step of its own."""
+    import numpy as np
+
+    from corpusloom.llm import contextmix as cm
+
+    r, work = np.random.default_rng(6), collections.Counter()
+
+    def counting(name, f, size):
+        def run(x, *args, **more):
+            work[name] += size(x)
+            return f(x, *args, **more)
+
+        monkeypatch.setattr(np, name, run)
+
+    counting("unique", np.unique, np.size)
+    counting("argsort", np.argsort, np.size)
+    counting("exp", np.exp, lambda x: 1)
+    text, at = r.integers(0x61, 0x6A, 80_000).astype(np.uint8), np.arange(0, 80_001, 8)
+    assert len(cm.Bucket(at, text).pairs) > 10_000 and work["unique"] + work["argsort"] < 1000
+    course = cm.Course(r.integers(0, 60, 3000), np.arange(0, 3001, 500), np.full(60, 5))
+    assert work["unique"] + work["argsort"] < 1000
+    flow = cm.Flow(course.counts(np.zeros(6, bool)), 0.1)
+    work.clear()
+    flow.logs(course, r.random(len(course.word)) < 0.8)
+    assert 0 < work["exp"] <= 502 < course.coded.sum(axis=1).max()
+
+
+def test_bits_go_on_by_steps():
+    """Each cell's bits in their order, a bit of each in a step, and those of a step in the first cells by rank."""
+    import numpy as np
+
+    from corpusloom.llm import contextmix as cm
+
+    cell = np.sort(np.random.default_rng(4).integers(0, 30, 400))
+    cell = cell[cell != 7]  # a cell without bits
+    order, cuts, rank = cm._steps(cell, 31)
+    assert sorted(order.tolist()) == list(range(len(cell))) and cuts[-1] == len(cell)
+    seen = {}
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        assert rank[cell[order[a:b]]].tolist() == list(range(b - a))
+        for i in order[a:b].tolist():
+            seen.setdefault(int(cell[i]), []).append(i)
+    assert all(x == sorted(x) and len(x) == (cell == c).sum() for c, x in seen.items()) and len(cuts) - 1 == np.bincount(cell).max()
+    order, cuts, _ = cm._steps(cell[:0], 3)
+    assert len(order) == 0 and cuts.tolist() == [0]
+
+
 def test_secret_layers_of_any_bytes():
     from corpusloom.llm import secrets as sc
 
