@@ -59,6 +59,8 @@ CLOSE, END = 0x20, 0x0A
 CHUNK = 6 << 20
 #: Words in a batch of online learning, and batches after which weights have settled.
 BATCH, SETTLED = 4096, 12
+#: Bytes whose bits are summed up at a time; so many stay in a core's cache.
+BLOCK = 4096
 LEVELS, BINS = 4, 33
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
@@ -118,14 +120,16 @@ class Spelled:
 def odds(pairs: np.ndarray, found: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs, by their byte's bits: the odds of a 1 that its context gives, in the logistic domain, and whether the context is
     known. found: what `on_path` says. own: the counts hold this very word once; it is left out."""
-    byte, x, known = (pairs & U(255)).astype(np.uint8), np.empty((len(pairs), 8), np.float32), np.empty((len(pairs), 8), bool)
-    for j in range(8):
-        same, other = found[j + 1].astype(np.int64), found[j].astype(np.int64) - found[j + 1].astype(np.int64)
+    bits, x, known = np.unpackbits((pairs & U(255)).astype(np.uint8)[:, None], axis=1), np.empty((len(pairs), 8), np.float32), np.empty((len(pairs), 8), bool)
+    for i in range(0, len(pairs), BLOCK):
+        j = min(i + BLOCK, len(pairs))
+        here = found[:, i:j].astype(np.int64)
+        same, other = here[1:], here[:-1] - here[1:]
         if own:
             same = np.maximum(same - 1, 0)
-        sure = np.log((same + 0.4) / (other + 0.4))
-        x[:, j] = np.where(byte >> np.uint8(7 - j) & np.uint8(1), sure, -sure)
-        known[:, j] = same + other >= 2
+        sure = np.log((same + 0.4) / (other + 0.4)).T
+        x[i:j] = np.where(bits[i:j], sure, -sure)
+        known[i:j] = (same + other >= 2).T
     return x, known
 
 
@@ -243,28 +247,41 @@ class Mixer:
 
     def adapt(self, x: np.ndarray, known: np.ndarray, of: np.ndarray, bit: np.ndarray, weight: np.ndarray, rate: float = 0.15) -> None:
         """x, known: `odds` of pairs; of: which pair each predictor has at each byte; weight: of each byte."""
-        self.step([x.take(k, axis=0) for k in of], _level(known, of), np.arange(8), bit, np.repeat(weight, 8).reshape(-1, 8), rate)
+        total = []
+        for i in range(0, len(bit), BLOCK):
+            own, j = of[:, i : i + BLOCK], i + BLOCK
+            total.append(self.sums([x.take(k, axis=0) for k in own], _level(known, own), np.arange(8), bit[i:j], np.repeat(weight[i:j], 8).reshape(-1, 8)))
+        self.follow(total, rate)
 
     def step(self, x: list[np.ndarray], level: np.ndarray, place: np.ndarray, bit: np.ndarray, weight: np.ndarray, rate: float = 0.15) -> None:
         """x: odds by predictor; weight: of each bit."""
+        self.follow([self.sums([y[i : i + 8 * BLOCK] for y in x], *(y[i : i + 8 * BLOCK] for y in (level, place, bit, weight))) for i in range(0, len(bit), 8 * BLOCK)], rate)
+
+    def sums(self, x: list[np.ndarray], level: np.ndarray, place: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of bits: the slope and the bend of their cost, by weight, and what they add to the refining table."""
         gate, p, low, part = self.mixed(x, level, place)
-        up, down = np.zeros_like(self.weights), np.ones_like(self.weights)
+        up, down = np.empty_like(self.weights), np.empty_like(self.weights)
         err, flat = bit - p, gate.ravel()
         err *= weight
         np.subtract(p, p * p, out=p)
         p *= weight
         for o in range(ORDERS):
             own = err * x[o]
-            up[:, o] += np.bincount(flat, weights=own.ravel(), minlength=len(up))
+            up[:, o] = np.bincount(flat, weights=own.ravel(), minlength=len(up))
             np.multiply(p, x[o], out=own)
             own *= x[o]
-            down[:, o] += np.bincount(flat, weights=own.ravel(), minlength=len(up))
+            down[:, o] = np.bincount(flat, weights=own.ravel(), minlength=len(up))
         low += part > 0.5
         low += level * np.int64(BINS)
         low *= 2
         low += bit
-        self.refine += np.bincount(low.ravel(), weights=weight.ravel(), minlength=self.refine.size).reshape(self.refine.shape)
-        self.weights += rate * up / down
+        return up, down, np.bincount(low.ravel(), weights=weight.ravel(), minlength=self.refine.size).reshape(self.refine.shape)
+
+    def follow(self, sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float) -> None:
+        """A step by the `sums` of a batch."""
+        for _, _, refine in sums:
+            self.refine += refine
+        self.weights += rate * sum(up for up, _, _ in sums) / sum((down for _, down, _ in sums), np.ones_like(self.weights))
 
     def score(self, looked_up: tuple, spelled: Spelled, n_words: int) -> np.ndarray:
         """log10 of each word's probability."""
@@ -505,7 +522,7 @@ class Recall:
         self.first = course.first[begin : (len(course.first) - 1 if stop is None else stop) + 1]
         ends = self.first[1:] - 1
         types, base = course.types[ends], begin
-        heights = np.array([max(0, k - 1).bit_length() for k in range(int(types.max(initial=0)) + 1)])[types]
+        heights = np.frexp(np.maximum(types - 1, 0).astype(float))[1]  # bits of the highest number
         texts = np.argsort(-heights, kind="stable")  # those with more words first, so that each round is of the first ones
         begin, end = self.first[:-1][texts], ends[texts]
         token = gather_spans(np.arange(len(course.word), dtype=np.int32), begin, end)

@@ -995,6 +995,30 @@ def test_context_mixing_sorts_no_places_and_takes_few_steps(monkeypatch):
     assert 0 < work["exp"] <= 502 < course.coded.sum(axis=1).max()
 
 
+def test_blocks_of_bytes_learn_what_the_whole_batch_does(monkeypatch):
+    import numpy as np
+
+    from corpusloom.llm import contextmix as cm
+
+    r = np.random.default_rng(2)
+    text, at = r.integers(0x61, 0x64, 900).astype(np.uint8), np.arange(0, 901, 3)
+    counts, spelled, tables = r.integers(1, 90, 300), cm.Spelled(text, at), cm.empty_tables()
+    cm.count_bits(tables, spelled, counts)
+
+    def learned():
+        mixer, forks = cm.Mixer(), cm.chooser()
+        pairs, found, of = tables.looked_up(spelled)
+        bits = cm.Forks(spelled, of, cm.Forks.parting(found), *cm.odds(pairs, found, True), np.arange(len(spelled.flat)))
+        for _ in range(5):
+            mixer.learn((pairs, found, of), spelled, counts)
+            forks.step(bits.x, bits.level, bits.place, bits.bit, counts[bits.word].astype(float))
+        return mixer.weights, mixer.refine, forks.weights, forks.refine
+
+    whole = learned()
+    monkeypatch.setattr(cm, "BLOCK", 7)
+    assert all(np.allclose(x, y, rtol=1e-9, atol=1e-12) for x, y in zip(whole, learned())) and not np.allclose(whole[0], cm.Mixer().weights)
+
+
 def test_bits_go_on_by_steps():
     """Each cell's bits in their order, a bit of each in a step, and those of a step in the first cells by rank."""
     import numpy as np
